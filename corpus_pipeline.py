@@ -1,15 +1,67 @@
-"""A training corpus out of the documents table, stage by stage."""
+"""A training corpus out of the documents table, stage by stage.
+
+Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet and
+is the next stage's ``docs``.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import bpe, decontaminate, linedup, quality, simhash
+from lamina.llm.common import materialize
+from lamina.llm.queries import vocabulary
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of 0.7 or more)."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_quality(docs, model, name="", least=0.7)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line blocks that an earlier document has; a document of
+    which nothing is left goes.  n_chars follows the text."""
+    out = linedup.remove_repeated_lines(docs)
+    out = out.where((F.col("__cut") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", ""))) > 0))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__cut") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of ten benchmark words occurs."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and the ids themselves."""
+    return bpe.encode_table(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("byte-level BPE", encode),
+]
+#: No SQL can express the classifier, the alignment or the merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as a table of the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
     return docs
