@@ -25,7 +25,7 @@ from lamina.llm.unigram import SPACE
 
 END_SHARE = 0.01  # of tokens, before anything is learned, that end a text
 WORD_END = 0.35  # after a piece, before anything is learned, that the word ends
-BYTE_SHARE = 0.005  # of pieces that spell a character by its bytes
+BYTE_SHARE = 0.002  # of pieces that spell a character by its bytes
 
 
 def rank_weights(pieces: dict[str, float], shift: float = 30.0) -> dict[str, float]:
@@ -39,17 +39,18 @@ class Lattice:
     """Subword probability of a word, as a distribution over all words.
 
     The first piece is drawn from those that begin a word, further ones from the rest,
-    and after each the word ends with probability ``WORD_END``.  A character that is no
+    and after each the word ends with probability ``word_end``.  A character that is no
     piece is spelled in bytes.
     """
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], word_end: float = WORD_END):
         first = {p: w for p, w in weights.items() if p.startswith(SPACE) and SPACE not in p[1:]}
         rest = {p: w for p, w in weights.items() if p and SPACE not in p}
         a, b = sum(first.values()), sum(rest.values())
         self.first = {p: math.log(w / a) for p, w in first.items()}
         inner = math.log(1 - BYTE_SHARE)
         self.rest = {p: math.log(w / b) + inner for p, w in rest.items()}
+        self.word_end = word_end
         self._start()
 
     def _start(self) -> None:
@@ -57,39 +58,60 @@ class Lattice:
 
         self.automaton = ahocorasick.Automaton()
         for p, s in {**self.first, **self.rest}.items():
-            self.automaton.add_word(p, (len(p), s))
+            self.automaton.add_word(p, (len(p), s, p))
         if self.first or self.rest:
             self.automaton.make_automaton()
-        self.go, self.stop = math.log(1 - WORD_END), math.log(WORD_END)
+        self.go, self.stop = math.log(1 - self.word_end), math.log(self.word_end)
         self.byte = math.log(BYTE_SHARE / 256)
 
     def __getstate__(self):
-        return self.first, self.rest
+        return self.first, self.rest, self.word_end
 
     def __setstate__(self, state):
-        self.first, self.rest = state
+        self.first, self.rest, self.word_end = state
         self._start()
 
-    def log10(self, word: str) -> float:
-        text = SPACE + word
+    def _forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float, str]]]]:
+        """Log sums over all segmentations of each prefix; the arcs by their ends, the
+        spelled characters' last, with the steps between pieces in their weights."""
         n = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        arcs: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+        go, exp, log = self.go, math.exp, math.log
         if self.first or self.rest:
-            for end, piece in self.automaton.iter(text):
-                ending[end + 1].append(piece)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        go, exp = self.go, math.exp
+            for end, (length, s, p) in self.automaton.iter(text):
+                arcs[end + 1].append((end + 1 - length, s + go if end >= length else s, p))
+        alpha = [0.0] * (n + 1)
         for e in range(1, n + 1):
-            terms, single = [], False
-            for length, s in ending[e]:
-                single = single or length == 1
-                terms.append(alpha[e - length] + s + (go if e > length else 0.0))
-            if not single:
-                terms.append(0.0 if e == 1 else alpha[e - 1] + (go + self.byte) * len(text[e - 1].encode()))
-            top = max(terms)
-            alpha[e] = top if len(terms) == 1 or top == -math.inf else top + math.log(sum([exp(t - top) for t in terms]))
-        return (alpha[n] + self.stop) / math.log(10)
+            here = arcs[e]
+            if not here or here[-1][0] != e - 1:
+                here.append((e - 1, 0.0 if e == 1 else (go + self.byte) * len(text[e - 1].encode()), ""))
+            if len(here) == 1:
+                alpha[e] = alpha[here[0][0]] + here[0][1]
+            else:
+                terms = [alpha[i] + s for i, s, _ in here]
+                top = max(terms)
+                alpha[e] = top + log(sum([exp(t - top) for t in terms]))
+        return alpha, arcs
+
+    def log10(self, word: str) -> float:
+        return (self._forward(SPACE + word)[0][-1] + self.stop) / math.log(10)
+
+    def expect(self, word: str, times: float, into: dict[str, float]) -> None:
+        """Add the word's expected pieces over all segmentations, and under the empty
+        name the number of words."""
+        alpha, arcs = self._forward(SPACE + word)
+        share = [0.0] * len(alpha)
+        share[-1] = times
+        into[""] = into.get("", 0.0) + times
+        exp = math.exp
+        for e in range(len(alpha) - 1, 0, -1):
+            whole, a = share[e], alpha[e]
+            if whole > 1e-9:
+                for i, s, p in arcs[e]:
+                    part = whole * exp(alpha[i] + s - a)
+                    share[i] += part
+                    if p:
+                        into[p] = into.get(p, 0.0) + part
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -111,6 +133,32 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w binary, c int, n long")
 
 
+def _learn(counted: DataFrame, weights: dict[str, float], prior: float = 50.0) -> Lattice:
+    """A lattice whose weights are the expected piece counts under the vocabulary's own
+    weights, over all distinct words learned from, with the vocabulary's weights as
+    ``prior`` further pieces.  Distinct words count once each: unseen words are like
+    rare ones.  Sums leave a task as a row for each piece, so the driver gets no more
+    rows than the vocabulary has."""
+    before = Lattice(weights)
+    shared = counted.sparkSession.sparkContext.broadcast(before)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, float] = {}
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                shared.value.expect(w.decode(), 1.0, sums)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["p", "n"])
+
+    seen = counted.where(F.exists("c", lambda x: x > 0)).select("w")
+    got = {r.p: r.n for r in seen.mapInArrow(expect, "p string, n double").groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    words = got.pop("", 0.0)
+    if not words:
+        return before
+    pieces = sum(got.values())
+    new = {p: got.get(p, 0.0) + prior * math.exp(s) for p, s in {**before.first, **before.rest}.items()}
+    return Lattice(new, min(0.9, max(0.05, words / max(pieces, words))))
+
+
 class _Model:
     """Totals that turn a word's counts into log10 probabilities."""
 
@@ -156,7 +204,8 @@ def score_documents(
     Learns from rows whose id's crc32 mod ``mod`` is not ``held`` (rows without an id are
     not learned from, nor held out).  The ``classes`` most frequent languages have counts
     of their own; other and null ones share one more.  All words are counted, summed
-    before the shuffle; each distinct word's lattice is computed once.  The ``head`` most
+    before the shuffle; the vocabulary's weights are re-estimated once over all distinct
+    words, and each distinct word's lattice is then computed once.  The ``head`` most
     frequent words, a fixed number, are broadcast, and only the others, none of which is
     frequent, are joined to the table of words, which may be of any size.
 
@@ -182,7 +231,8 @@ def score_documents(
     by_class = _count(rows.select("text", F.when(F.col("learn"), of).otherwise(F.lit(-1)).alias("c")))
     sums = [F.sum(F.when(F.col("c") == i, F.col("n")).otherwise(F.lit(0))).alias(f"c{i}") for i in range(k)]
     counted = by_class.groupBy("w").agg(*sums).select("w", F.array(*(f"c{i}" for i in range(k))).alias("c"))
-    lattice = spark.sparkContext.broadcast(Lattice(weights))
+    counted = materialize(counted, "counts")
+    lattice = spark.sparkContext.broadcast(_learn(counted, weights))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = lattice.value.log10
