@@ -1,15 +1,637 @@
-"""The engine's queries by name, each with equivalent SQL."""
+"""The engine's queries by name, each with equivalent SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lamina.functions import encoding as E
+from lamina.functions import fnv
+from lamina.model import TableSpec
+from lamina.operators import chunks, diff, edits, history, integrity, merge, radix, scan
+from lamina.operators.ranges import numbered
+from lamina.plans import inputs as I
+from lamina.sources.repository import NAME
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+KEYED = TableSpec(("key",), ("status", "cents"))
+BITS = 6
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+def _diff_sql(a: str, b: str) -> str:
+    return f"""SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'ADD' WHEN b.key IS NULL THEN 'DEL' ELSE 'MOD' END AS diff_type,
+  a.status AS a_status, a.cents AS a_cents, b.status AS b_status, b.cents AS b_cents
+FROM ({a}) a FULL JOIN ({b}) b ON a.key = b.key
+WHERE a.key IS NULL OR b.key IS NULL OR a.status IS DISTINCT FROM b.status OR a.cents IS DISTINCT FROM b.cents"""
+
+
+DIFF_SQL = _diff_sql(I.BASE_SQL, I.V2_SQL)
+
+
+# differences ------------------------------------------------------------
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    return diff.diff(I.base(spark, d), I.v2(spark, d), I.ORDERS)
+
+
+@query(DIFF_SQL)
+def diff_orders(spark, d):
+    return _changes(spark, d)
+
+
+@query(f"SELECT diff_type, count(*) AS n FROM ({DIFF_SQL}) GROUP BY diff_type")
+def diff_summary(spark, d):
+    return diff.summary(_changes(spark, d))
+
+
+@query(f"SELECT * FROM ({DIFF_SQL}) ORDER BY key LIMIT 20")
+def diff_first(spark, d):
+    return diff.first_changes(_changes(spark, d), I.ORDERS, 20)
+
+
+@query(f"SELECT count(*) > 0 AS changed FROM ({DIFF_SQL})")
+def diff_any(spark, d):
+    return _changes(spark, d).limit(1).agg((F.count(F.lit(1)) > 0).alias("changed"))
+
+
+@query(DIFF_SQL)
+def diff_pruned(spark, d):
+    return diff.pruned_diff(I.base(spark, d), I.v2(spark, d), I.ORDERS, bits=BITS)
+
+
+@query(I.V2_SQL)
+def apply_diff_roundtrip(spark, d):
+    return diff.apply_diff(I.base(spark, d), _changes(spark, d), I.ORDERS)
+
+
+@query(I.BASE_SQL)
+def invert_diff_roundtrip(spark, d):
+    return diff.apply_diff(I.v2(spark, d), diff.invert(_changes(spark, d), I.ORDERS), I.ORDERS)
+
+
+# edits and time travel ----------------------------------------------------
+
+_LAST = "SELECT user_id, value, is_delete, seq, day FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r FROM ({src})) WHERE r = 1"
+_SPLIT = "(SELECT min(day) + 20 FROM log)"
+_LOG = f"WITH log AS ({I.LOG_SQL})"
+
+
+def _as_of_sql(where: str) -> str:
+    return "SELECT user_id, value FROM (" + _LAST.format(src=f"SELECT * FROM log WHERE {where}") + ") WHERE NOT is_delete"
+
+
+def _first_day(log: DataFrame) -> int:
+    return log.agg(F.min("day")).first()[0] or 0
+
+
+@query(f"{_LOG} SELECT user_id, value, is_delete FROM ({_LAST.format(src='SELECT * FROM log')})")
+def compact_edits(spark, d):
+    return edits.compact(I.log(spark, d), I.USERS)
+
+
+@query(f"{_LOG} {_as_of_sql('day <= ' + _SPLIT)}")
+def as_of_day(spark, d):
+    log = I.log(spark, d)
+    return edits.as_of(log, I.USERS, _first_day(log) + 20, version="day")
+
+
+@query(f"{_LOG} SELECT count(*) AS n FROM ({_as_of_sql('day <= ' + _SPLIT)})")
+def snapshot_count(spark, d):
+    return as_of_day(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_LOG} {_as_of_sql('true')}")
+def flush_edits(spark, d):
+    log = I.log(spark, d)
+    late = log.where(F.col("day") > _first_day(log) + 20)
+    return edits.apply_edits(as_of_day(spark, d), edits.compact(late, I.USERS), I.USERS)
+
+
+@query(
+    f"""{_LOG}, b AS ({_as_of_sql('day <= ' + _SPLIT)}), e AS ({_LAST.format(src='SELECT * FROM log WHERE day > ' + _SPLIT)}),
+k AS (SELECT DISTINCT user_id + x AS user_id FROM log, (VALUES (0), (100000)) t(x))
+SELECT k.user_id, CASE WHEN e.user_id IS NOT NULL THEN NOT e.is_delete ELSE b.user_id IS NOT NULL END AS found,
+  CASE WHEN e.user_id IS NOT NULL THEN CASE WHEN NOT e.is_delete THEN e.value END ELSE b.value END AS value
+FROM k LEFT JOIN e ON e.user_id = k.user_id LEFT JOIN b ON b.user_id = k.user_id"""
+)
+def overlay_read(spark, d):
+    log = I.log(spark, d)
+    late = edits.compact(log.where(F.col("day") > _first_day(log) + 20), I.USERS)
+    asked = log.select(F.explode(F.array(F.col("user_id"), F.col("user_id") + 100_000)).alias("user_id")).distinct()
+    return edits.overlay_get(as_of_day(spark, d), late, I.USERS, asked)
+
+
+@query(
+    f"""{_LOG}, b AS ({_as_of_sql('day <= (SELECT min(day) + 10 FROM log)')}), e AS ({_LAST.format(src='SELECT * FROM log WHERE day > ' + _SPLIT)})
+SELECT user_id, value FROM b WHERE user_id NOT IN (SELECT user_id FROM e) UNION ALL SELECT user_id, value FROM e WHERE NOT is_delete"""
+)
+def rebase_edits(spark, d):
+    log = I.log(spark, d)
+    first = _first_day(log)
+    return edits.rebase(log.where(F.col("day") > first + 20), edits.as_of(log, I.USERS, first + 10, version="day"), I.USERS)
+
+
+# merge ----------------------------------------------------------------------
+
+THREE_SQL = f"""SELECT coalesce(b.key, o.key, t.key) AS key, b.key IS NOT NULL AS inb, o.key IS NOT NULL AS ino, t.key IS NOT NULL AS int_,
+  b.status AS base_status, b.cents AS base_cents, o.status AS our_status, o.cents AS our_cents, t.status AS their_status, t.cents AS their_cents,
+  (o.key IS NULL) <> (b.key IS NULL) OR o.status IS DISTINCT FROM b.status OR o.cents IS DISTINCT FROM b.cents AS we,
+  (t.key IS NULL) <> (b.key IS NULL) OR t.status IS DISTINCT FROM b.status OR t.cents IS DISTINCT FROM b.cents AS they,
+  (t.key IS NULL) = (o.key IS NULL) AND t.status IS NOT DISTINCT FROM o.status AND t.cents IS NOT DISTINCT FROM o.cents AS alike
+FROM ({I.BASE_SQL}) b FULL JOIN ({I.OURS_SQL}) o ON o.key = b.key FULL JOIN ({I.THEIRS_SQL}) t ON t.key = coalesce(b.key, o.key)"""
+DECIDED_SQL = f"SELECT *, CASE WHEN NOT we AND NOT they THEN 'same' WHEN we AND NOT they THEN 'ours' WHEN they AND NOT we THEN 'theirs' WHEN alike THEN 'both' ELSE 'conflict' END AS outcome FROM ({THREE_SQL})"
+
+
+def _merged_sql(clash: str) -> str:
+    """clash: which side a conflict takes, as SQL that names base, our or their."""
+    side = f"CASE WHEN outcome = 'conflict' THEN {clash} WHEN outcome = 'theirs' THEN 'their' ELSE 'our' END"
+    return f"""SELECT key, CASE side WHEN 'base' THEN base_status WHEN 'our' THEN our_status ELSE their_status END AS status,
+  CASE side WHEN 'base' THEN base_cents WHEN 'our' THEN our_cents ELSE their_cents END AS cents
+FROM (SELECT *, {side} AS side FROM ({DECIDED_SQL})) WHERE CASE side WHEN 'base' THEN inb WHEN 'our' THEN ino ELSE int_ END"""
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    return merge.three_way(I.base(spark, d), I.ours(spark, d), I.theirs(spark, d), I.ORDERS)
+
+
+@query(_merged_sql("'base'"))
+def merge_orders(spark, d):
+    return merge.merged(_decided(spark, d), I.ORDERS)
+
+
+@query(f"SELECT key, base_status, base_cents, our_status, our_cents, their_status, their_cents FROM ({DECIDED_SQL}) WHERE outcome = 'conflict'")
+def merge_conflicts(spark, d):
+    return merge.conflicts(_decided(spark, d), I.ORDERS)
+
+
+@query(f"SELECT outcome, count(*) AS n FROM ({DECIDED_SQL}) GROUP BY outcome")
+def merge_outcomes(spark, d):
+    return _decided(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_merged_sql("CASE WHEN NOT int_ OR our_cents >= their_cents THEN 'our' ELSE 'their' END"))
+def merge_policy_greatest(spark, d):
+    return merge.merged(_decided(spark, d), I.ORDERS, merge.take_greatest("cents"))
+
+
+@query(_merged_sql("'our'"))
+def merge_policy_ours(spark, d):
+    return merge.merged(_decided(spark, d), I.ORDERS, merge.take_ours)
+
+
+@query(_merged_sql("'their'"))
+def merge_policy_theirs(spark, d):
+    return merge.merged(_decided(spark, d), I.ORDERS, merge.take_theirs)
+
+
+@query(I.OURS_SQL)
+def merge_fast_forward(spark, d):
+    decided = merge.three_way(I.base(spark, d), I.ours(spark, d), I.base(spark, d), I.ORDERS)
+    return merge.merged(decided, I.ORDERS)
+
+
+@query(f"SELECT key FROM ({THREE_SQL}) WHERE NOT (inb AND NOT (ino AND int_))")
+def merge_key_sets(spark, d):
+    return merge.key_set_merge(I.base(spark, d), I.ours(spark, d), I.theirs(spark, d), I.ORDERS)
+
+
+@query(f"SELECT key FROM ({DECIDED_SQL}) WHERE outcome = 'conflict' AND NOT alike")
+def virtual_base_conflicts(spark, d):
+    ours, theirs = I.ours(spark, d), I.theirs(spark, d)
+    base, disputed = merge.virtual_base(I.base(spark, d), ours, theirs, I.ORDERS)
+    decided = merge.contested(merge.three_way(base, ours, theirs, I.ORDERS), disputed, I.ORDERS)
+    return decided.where("outcome = 'conflict'").select("key")
+
+
+_PICK = f"""SELECT key, status, cents FROM ({I.OURS_SQL}) WHERE key NOT IN (SELECT key FROM d)
+UNION ALL SELECT key, {{s}}_status, {{s}}_cents FROM d WHERE diff_type <> '{{gone}}'"""
+
+
+@query(f"WITH d AS ({DIFF_SQL}) " + _PICK.format(s="b", gone="DEL"))
+def cherry_pick(spark, d):
+    return diff.apply_diff(I.ours(spark, d), _changes(spark, d), I.ORDERS)
+
+
+@query(f"WITH d AS ({DIFF_SQL}) " + _PICK.format(s="a", gone="ADD"))
+def revert_commit(spark, d):
+    return diff.apply_diff(I.ours(spark, d), diff.invert(_changes(spark, d), I.ORDERS), I.ORDERS)
+
+
+# history ---------------------------------------------------------------------
+
+
+def _anc(start: str, name: str = "anc") -> str:
+    return f"{name} AS (SELECT '{start}' AS commit_id, 0 AS depth UNION SELECT p.parent, {name}.depth + 1 FROM {name} JOIN e p ON p.commit_id = {name}.commit_id)"
+
+
+_EDGES = f"WITH RECURSIVE dag AS ({I.DAG_SQL}), e AS (SELECT commit_id, unnest(parents) AS parent FROM dag)"
+
+
+@query(f"{_EDGES}, {_anc('m')} SELECT commit_id, CAST(min(depth) AS INTEGER) AS depth FROM anc GROUP BY commit_id")
+def ancestors(spark, d):
+    return history.ancestors(I.dag(spark), "m")
+
+
+_COMMON = f"{_EDGES}, {_anc('a2', 'l')}, {_anc('b2', 'r')}, c AS (SELECT DISTINCT commit_id FROM l WHERE commit_id IN (SELECT commit_id FROM r)), mn AS (SELECT commit_id FROM c WHERE commit_id NOT IN (SELECT e.parent FROM e JOIN c USING (commit_id)))"
+
+
+@query(f"{_COMMON} SELECT commit_id FROM mn")
+def minimal_ancestors(spark, d):
+    return history.minimal_common_ancestors(I.dag(spark), "a2", "b2")
+
+
+@query(f"{_COMMON} SELECT commit_id FROM mn JOIN dag USING (commit_id) ORDER BY ts DESC, commit_id DESC LIMIT 1")
+def merge_base(spark, d):
+    return history.merge_base(I.dag(spark), "a2", "b2")
+
+
+@query(f"{_EDGES}, {_anc('y', 'l')}, {_anc('n', 'r')} SELECT commit_id FROM r WHERE commit_id IN (SELECT commit_id FROM l) ORDER BY depth, commit_id LIMIT 1")
+def sync_merge_base(spark, d):
+    return history.sync_merge_base(I.dag(spark), "y", "n")
+
+
+@query(f"{_EDGES}, {_anc('n')} SELECT count(*) > 0 AS reaches FROM anc WHERE commit_id = 'b'")
+def is_ancestor(spark, d):
+    return history.is_ancestor(I.dag(spark), "n", "b")
+
+
+@query(
+    f"""WITH RECURSIVE dag AS ({I.DAG_SQL}), lg AS (SELECT commit_id, parents, 0 AS depth FROM dag WHERE commit_id = 'n'
+UNION ALL SELECT dag.commit_id, dag.parents, lg.depth + 1 FROM lg JOIN dag ON dag.commit_id = lg.parents[1]) SELECT commit_id, CAST(depth AS INTEGER) AS depth FROM lg"""
+)
+def commit_log(spark, d):
+    return history.first_parent_log(I.dag(spark), "n")
+
+
+@query(f"{_EDGES}, {_anc('n', 'l')}, {_anc('a2', 'r')} SELECT DISTINCT commit_id FROM l WHERE commit_id NOT IN (SELECT commit_id FROM r)")
+def pack_commits(spark, d):
+    dag = I.dag(spark)
+    return history.ancestors(dag, "n").select("commit_id").join(history.ancestors(dag, "a2"), "commit_id", "left_anti")
+
+
+@query(f"SELECT name, commit_id, root FROM (VALUES ('heads/main', 'n'), ('heads/feature', 'y'), ('tags/v1', 'm')) r(name, commit_id) JOIN ({I.DAG_SQL}) USING (commit_id) WHERE starts_with(name, 'heads/')")
+def branch_heads(spark, d):
+    refs = spark.createDataFrame([("heads/main", "n"), ("heads/feature", "y"), ("tags/v1", "m")], "name string, commit_id string")
+    return refs.where(F.col("name").startswith("heads/")).join(I.dag(spark).select("commit_id", "root"), "commit_id").select("name", "commit_id", "root")
+
+
+_STATES = f"""{_LOG}, s AS (SELECT user_id, day, is_delete, CASE WHEN NOT is_delete THEN value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) AS r FROM log) WHERE r = 1),
+p AS (SELECT *, lag(is_delete) OVER w AS pd, lag(value) OVER w AS pv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+ch AS (SELECT user_id, day, value, is_delete FROM p WHERE CASE WHEN pd IS NULL THEN NOT is_delete ELSE pd <> is_delete OR pv IS DISTINCT FROM value END)"""
+
+
+@query(f"{_STATES} SELECT user_id, day, value, is_delete FROM ch")
+def key_changes(spark, d):
+    return history.changes_of_keys(I.log(spark, d), ["user_id"], ["value"], "day", "seq")
+
+
+@query(f"{_STATES} SELECT user_id, day AS blame, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM ch) WHERE r = 1 AND NOT is_delete")
+def blame_users(spark, d):
+    return history.blame(I.log(spark, d), ["user_id"], ["value"], "day", "seq")
+
+
+@query(f"{_LOG}, c AS (SELECT day, count(*) AS n FROM log GROUP BY day), t AS (SELECT day, sum(n) OVER (ORDER BY day) AS n, sum(n) OVER () AS whole FROM c) SELECT min(day) AS first_bad FROM t WHERE 2 * n >= whole HAVING min(day) IS NOT NULL")
+def bisect_first_bad(spark, d):
+    days = I.log(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    run = days.withColumn("so_far", F.sum("n").over(Window.orderBy("day"))).withColumn("whole", F.sum("n").over(Window.partitionBy()))  # a row a day
+    return history.first_bad(run, "day", 2 * F.col("so_far") >= F.col("whole"))
+
+
+# scans ---------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM ({I.BASE_SQL}) WHERE key = 777")
+def point_get(spark, d):
+    return scan.get(I.base(spark, d), I.ORDERS, 777)
+
+
+@query(f"SELECT * FROM ({I.BASE_SQL}) WHERE key >= 1400")
+def range_scan(spark, d):
+    return scan.range_from(I.base(spark, d), I.ORDERS, 1400)
+
+
+@query(f"SELECT * FROM ({I.BASE_SQL}) WHERE key BETWEEN 100 AND 300")
+def range_between(spark, d):
+    return scan.between(I.base(spark, d), I.ORDERS, 100, 300)
+
+
+LINES = TableSpec(("l_orderkey", "l_linenumber"), ("parts",))
+_LINES_SQL = "SELECT l_orderkey, l_linenumber, count(*) AS parts FROM lineitem GROUP BY ALL"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query(f"SELECT * FROM ({_LINES_SQL}) WHERE (l_orderkey, l_linenumber) >= (1200, 3)")
+def range_scan_composite(spark, d):
+    return _lines(spark, d).where(scan._at_least(LINES, (1200, 3)))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000012')")
+def prefix_scan(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    return scan.prefix(c, TableSpec(("c_name",), ("c_custkey",)), "Customer#00000012")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
+def prefix_scan_bytes(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", F.col("c_name").cast("binary").alias("raw"))
+    return scan.prefix_bytes(c, "raw", b"Customer#0000001").drop("raw")
+
+
+@query(f"SELECT * FROM ({I.BASE_SQL}) ORDER BY key DESC LIMIT 25")
+def reverse_scan(spark, d):
+    return scan.ordered(I.base(spark, d), I.ORDERS, reverse=True).limit(25)
+
+
+@query(f"SELECT key, (SELECT count(*) FROM ({I.BASE_SQL}) WHERE key BETWEEN 50 AND 900) > 40 AS truncated FROM ({I.BASE_SQL}) WHERE key BETWEEN 50 AND 900 ORDER BY key LIMIT 40")
+def scan_limit(spark, d):
+    return scan.scan(I.base(spark, d), I.ORDERS, 50, 900, 40)
+
+
+@query(f"SELECT min(key) AS first_key, max(key) AS last_key FROM ({I.BASE_SQL})")
+def first_last(spark, d):
+    return scan.first_last(I.base(spark, d), I.ORDERS)
+
+
+@query(f"SELECT * FROM ({I.V2_SQL}) WHERE key >= 97 ORDER BY key LIMIT 1")
+def lower_bound(spark, d):
+    return scan.lower_bound(I.v2(spark, d), I.ORDERS, 97)
+
+
+@query("SELECT k AS key FROM (SELECT o_orderkey - 700 AS k FROM orders) WHERE k >= -5 ORDER BY k LIMIT 1")
+def raw_lower_bound(spark, d):
+    k = I.base(spark, d).select((F.col("key") - 700).alias("key"))
+    return scan.raw_lower_bound(k, E.encode_int64("key"), bytes.fromhex("7ffffffffffffffb"))
+
+
+@query(f"SELECT p AS probe, (SELECT min(key) FROM ({I.V2_SQL}) v WHERE v.key >= p) AS key FROM (SELECT DISTINCT c_custkey * 97 AS p FROM customer)")
+def seek_many(spark, d):
+    probes = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") * 97).alias("probe")).distinct()
+    return scan.seek_many(I.v2(spark, d), "key", probes, "probe")
+
+
+@query(f"SELECT key, lag(key) OVER (ORDER BY key) AS before, lead(key) OVER (ORDER BY key) AS after FROM ({I.V2_SQL})")
+def cursor_steps(spark, d):
+    return scan.neighbours(I.v2(spark, d), I.ORDERS)
+
+
+@query(f"SELECT key FROM ({I.V2_SQL}) ORDER BY key LIMIT 1 OFFSET 1234")
+def rank_nth(spark, d):
+    return scan.rank_nth(I.v2(spark, d), I.ORDERS, 1234)
+
+
+@query(f"SELECT count(*) AS ordinal FROM ({I.V2_SQL}) WHERE key < 1000")
+def ordinal_of_key(spark, d):
+    return scan.ordinal_of(I.v2(spark, d), I.ORDERS, 1000)
+
+
+@query(f"SELECT key, row_number() OVER (ORDER BY key) - 1 AS ordinal FROM ({I.V2_SQL})")
+def ordinals(spark, d):
+    return numbered(I.v2(spark, d).select("key"), ["key"])
+
+
+@query(f"SELECT count(*) AS n FROM ({I.V2_SQL}) WHERE key BETWEEN 500 AND 1100")
+def range_cardinality(spark, d):
+    return scan.cardinality(I.v2(spark, d), I.ORDERS, 500, 1100)
+
+
+# chunks ------------------------------------------------------------------------
+
+
+def _fnv_sql(key: str = "key") -> str:
+    h = str(fnv.OFFSET)
+    for i in range(4):
+        h = f"((xor({h}::BIGINT, ({key} >> {8 * i}) & 255) * {fnv.PRIME}) & {fnv.MASK})"
+    return h
+
+
+def _entry_sql(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-;' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) || ';' END" for c in columns)
+
+
+def _chunked_sql(src: str) -> str:
+    return f"SELECT key, status, cents, coalesce(sum(CAST(closes AS INTEGER)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM (SELECT *, {_fnv_sql()} & {(1 << BITS) - 1} = 0 AS closes FROM ({src}))"
+
+
+def _leaves_sql(src: str) -> str:
+    return f"SELECT chunk, count(*) AS n, min(key) AS first_key, max(key) AS last_key, substr(sha256(string_agg({_entry_sql('key', 'status', 'cents')}, '' ORDER BY key)), 1, 40) AS address FROM ({_chunked_sql(src)}) GROUP BY chunk"
+
+
+def _leaves(df: DataFrame) -> DataFrame:
+    return chunks.leaf_chunks(df, I.ORDERS, BITS).select("chunk", "n", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"), "address")
+
+
+@query(f"SELECT key, {_fnv_sql()} AS hash, {_fnv_sql()} & {(1 << BITS) - 1} = 0 AS closes FROM ({I.BASE_SQL})")
+def fnv_boundaries(spark, d):
+    return I.base(spark, d).select("key", fnv.key_hash("key").alias("hash"), fnv.is_boundary("key", BITS).alias("closes"))
+
+
+@query(f"SELECT key, chunk FROM ({_chunked_sql(I.BASE_SQL)})")
+def partition_chunks(spark, d):
+    return chunks.partition(I.base(spark, d).select("key"), ["key"], fnv.is_boundary("key", BITS))
+
+
+@query(_leaves_sql(I.BASE_SQL))
+def chunk_addresses(spark, d):
+    return _leaves(I.base(spark, d))
+
+
+@query(f"SELECT chunk, n, sum(n) OVER (ORDER BY chunk)::BIGINT AS prefix_count FROM ({_leaves_sql(I.BASE_SQL)})")
+def subtree_counts(spark, d):
+    return chunks.subtree_counts(_leaves(I.base(spark, d)).select("chunk", "n"))
+
+
+@query(f"SELECT count(n) AS chunks, avg(n) AS mean, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n, 0.99) AS BIGINT) AS p99, min(n) AS smallest, max(n) AS largest FROM ({_leaves_sql(I.BASE_SQL)})")
+def chunk_stats(spark, d):
+    return chunks.size_stats(_leaves(I.base(spark, d)))
+
+
+_LEVEL1 = f"""WITH lv AS ({_leaves_sql(I.BASE_SQL)}),
+m AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM (SELECT *, (('0x' || substr(address, 1, 8))::BIGINT & 3) = 0 AS closes FROM lv))
+SELECT pos, sum(n)::BIGINT AS n, min(first_key) AS first_key, max(last_key) AS last_key, substr(sha256(string_agg(address || ':' || n, ';' ORDER BY chunk)), 1, 40) AS address FROM m GROUP BY pos"""
+
+
+@query(_LEVEL1)
+def chunk_level1(spark, d):
+    up = chunks.parent_level(chunks.leaf_chunks(I.base(spark, d), I.ORDERS, BITS).withColumnRenamed("chunk", "pos"), 2)
+    return up.select("pos", "n", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"), "address")
+
+
+@query(f"SELECT address FROM ({_leaves_sql(I.V2_SQL)}) WHERE address NOT IN (SELECT address FROM ({_leaves_sql(I.BASE_SQL)}))")
+def changed_chunks(spark, d):
+    return chunks.changed_chunks(_leaves(I.base(spark, d)), _leaves(I.v2(spark, d)))
+
+
+@query()
+def root_address(spark, d):
+    levels = chunks.tree(I.base(spark, d), I.ORDERS, BITS)
+    return chunks.all_addresses(levels).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.max("address").alias("last_address"))
+
+
+@query()
+def clamped_chunks(spark, d):
+    return chunks.clamped(I.base(spark, d), "key", BITS, 16, 256)
+
+
+@query()
+def content_clamped_chunks(spark, d):
+    return chunks.content_clamped(I.base(spark, d), "key", BITS, 16, 256)
+
+
+@query()
+def rolling_hash_chunks(spark, d):
+    return chunks.rolling_chunks(I.base(spark, d), I.ORDERS)
+
+
+@query(f"SELECT key, address, (('0x' || substr(address, 1, 8))::BIGINT & 63) = 0 AS direct, (xor(xor(xor(xor({', '.join(f'''('0x' || substr(address, {8 * i + 1}, 8))::BIGINT''' if i < 2 else '' for i in range(2))}), ('0x' || substr(address, 17, 8))::BIGINT), ('0x' || substr(address, 25, 8))::BIGINT), ('0x' || substr(address, 33, 8))::BIGINT) & 63) = 0 AS lanes FROM (SELECT key, substr(sha256({_entry_sql('key')}), 1, 40) AS address FROM ({I.BASE_SQL}))")
+def boundary_strategies(spark, d):
+    a = I.base(spark, d).select("key", E.address(E.entry("key")).alias("address"))
+    return a.select("key", "address", fnv.address_boundary("address", BITS).alias("direct"), fnv.lane_xor_mask("address", BITS).alias("lanes"))
+
+
+@query()
+def gear_hashes(spark, d):
+    return I.base(spark, d).select("key", fnv.gear_hash(E.encode_int64("key")).alias("gear"))
+
+
+@query()
+def radix_dictionary_pages(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").cast("binary").alias("key"), F.col("c_custkey").alias("id"))
+    nodes, _ = radix.build(c)
+    return radix.pages(nodes).select(F.hex("path").alias("path"), F.lower(F.hex("address")).alias("address"), "page")
+
+
+# encodings ---------------------------------------------------------------------
+
+
+@query(f"SELECT key, lpad(hex(xor(key - 700, (-9223372036854775807 - 1)::BIGINT)), 16, '0') AS code FROM ({I.BASE_SQL})")
+def encode_int64_key(spark, d):
+    return I.base(spark, d).select("key", F.hex(E.encode_int64(F.col("key") - 700)).alias("code"))
+
+
+@query("SELECT true AS same_order, true AS decodes")
+def encoded_order(spark, d):
+    k = I.base(spark, d).select((F.col("key") - 700).alias("k")).withColumn("c", E.encode_int64("k"))
+    both = numbered(numbered(k, ["k"], "by_value").withColumn("h", F.hex("c")), ["h"], "by_code")
+    return both.agg(F.bool_and(F.col("by_value") == F.col("by_code")).alias("same_order"), F.bool_and(E.decode_int64("c") == F.col("k")).alias("decodes"))
+
+
+@query()
+def float64_encoding(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") - 1000).alias("x"))
+    return o.select("o_orderkey", F.hex(E.encoded_double("x")).alias("code"), E.decode_float64(E.encoded_double("x")).alias("back"))
+
+
+@query(f"SELECT key, {_entry_sql('key', 'status', 'cents')} AS entry, substr(sha256({_entry_sql('key', 'status', 'cents')}), 1, 40) AS address FROM ({I.BASE_SQL})")
+def entry_addresses(spark, d):
+    e = E.entry("key", "status", "cents")
+    return I.base(spark, d).select("key", e.alias("entry"), E.address(e).alias("address"))
+
+
+@query(rf"SELECT s_name, lower(replace(replace(s_name, '#', '-'), ' ', '')) AS name, regexp_full_match(lower(replace(replace(s_name, '#', '-'), ' ', '')), '{NAME.pattern}') AND s_suppkey IS NOT NULL AS valid FROM supplier")
+def repo_name_valid(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    name = F.lower(F.replace(F.replace("s_name", F.lit("#"), F.lit("-")), F.lit(" "), F.lit("")))
+    return s.select("s_name", name.alias("name"), (name.rlike(f"^{NAME.pattern}$") & F.col("s_suppkey").isNotNull()).alias("valid"))
+
+
+_PCT = ", ".join(f"CAST(quantile_disc(v, {p}) AS BIGINT) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99))
+
+
+@query(f"SELECT event_type, count(*) AS n, avg(v) AS mean, {_PCT}, max(v) AS slowest FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY event_type")
+def latency_percentiles(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
+    ps = [F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY v) AS BIGINT)").alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), *ps, F.max("v").alias("slowest"))
+
+
+# chunk stores --------------------------------------------------------------------
+
+_STORE = "SELECT DISTINCT substr(sha256(text), 1, 40) AS hash, length(text) AS size FROM documents WHERE text IS NOT NULL"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(E.address("text").alias("hash"), F.col("text").alias("data"), F.lit(0).alias("level"), "doc_id")
+
+
+@query(f"SELECT hash, size FROM ({_STORE})")
+def dedup_store(spark, d):
+    return integrity.dedup(_texts(spark, d).select("hash", F.length("data").cast("long").alias("size")))
+
+
+@query("SELECT DISTINCT substr(sha256(text), 1, 40) AS hash FROM documents WHERE doc_id % 3 = 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL)")
+def sync_missing(spark, d):
+    t = _texts(spark, d)
+    return integrity.missing(t.where("doc_id % 3 = 0").select("hash"), t.where("doc_id % 3 = 1"))
+
+
+_GRAPH = f"""lv AS ({_leaves_sql(I.BASE_SQL)}), v2 AS ({_leaves_sql(I.V2_SQL)}),
+e AS (SELECT 'base' AS parent, address AS child FROM lv UNION ALL SELECT 'v2', address FROM v2 UNION ALL SELECT 'head', 'base')"""
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    a = _leaves(I.base(spark, d)).select(F.lit("base").alias("parent"), F.col("address").alias("child"))
+    b = _leaves(I.v2(spark, d)).select(F.lit("v2").alias("parent"), F.col("address").alias("child"))
+    return a.unionByName(b).unionByName(spark.createDataFrame([("head", "base")], "parent string, child string"))
+
+
+_REACH = f"WITH RECURSIVE {_GRAPH}, r AS (SELECT 'head' AS hash UNION SELECT e.child FROM r JOIN e ON e.parent = r.hash)"
+_NODES = "(SELECT child AS hash FROM e UNION SELECT parent FROM e)"
+
+
+def _reach(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from lamina.sources.shared import materialize
+
+    graph = materialize(_graph(spark, d), "graph")
+    return graph, integrity.reachable(graph, spark.createDataFrame([("head",)], "hash string"))
+
+
+@query(f"{_REACH} SELECT hash FROM r")
+def reachable_chunks(spark, d):
+    return _reach(spark, d)[1]
+
+
+@query(f"{_REACH} SELECT hash FROM {_NODES} WHERE hash NOT IN (SELECT hash FROM r)")
+def gc_swept(spark, d):
+    graph, keep = _reach(spark, d)
+    nodes = graph.select(F.explode(F.array("parent", "child")).alias("hash")).distinct()
+    return nodes.join(keep, "hash", "left_anti")
+
+
+@query(f"{_REACH} SELECT count(*) FILTER (hash IN (SELECT hash FROM r)) AS reachable, count(*) FILTER (hash NOT IN (SELECT hash FROM r)) AS swept FROM {_NODES}")
+def gc_result(spark, d):
+    graph, keep = _reach(spark, d)
+    return integrity.gc_result(graph.select(F.explode(F.array("parent", "child")).alias("hash")).distinct(), keep)
+
+
+@query("SELECT DISTINCT substr(sha256(text), 1, 40) AS hash, 'mismatch' AS problem FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL")
+def fsck_chunks(spark, d):
+    t = _texts(spark, d)
+    broken = t.select("hash", "level", F.when(F.col("doc_id") % 50 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")).alias("data"))
+    return integrity.verify(broken, spark.createDataFrame([], "parent string, child string"))
