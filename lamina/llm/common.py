@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.sources.shared import materialize, shared_dir
+
 #: Rows without an id sort after every row that has one.
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a temporary one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = tempfile.mkdtemp(prefix="lamina-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs a read of the table, not the jobs before it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -68,3 +42,6 @@ def check_columns(df: DataFrame, *names: str) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+__all__ = ["NO_ID", "check_columns", "documents", "drop_path", "materialize", "new_path", "order_key", "remainder", "shared_dir"]
