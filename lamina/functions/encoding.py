@@ -10,11 +10,10 @@ import hashlib
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 LOW64 = -(2**63)
 ADDRESS_HEX = 40  # 20 bytes
@@ -38,33 +37,27 @@ def decode_int64(x: Column | str) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(F.lit(LOW64))
 
 
-@pandas_udf(T.BinaryType())
-def encode_float64(x: pd.Series) -> pd.Series:
-    """Order-preserving 8 bytes of a double: -0.0 before 0.0, one NaN last."""
-    v = x.to_numpy(dtype=np.float64, na_value=np.nan)
+@F.arrow_udf(T.BinaryType())
+def encode_float64(x: pa.Array) -> pa.Array:
+    """Order-preserving 8 bytes of a double: -0.0 before 0.0, one NaN last; null stays null."""
+    v = x.to_numpy(zero_copy_only=False).astype(np.float64)
     bits = v.view(np.uint64).copy()
     bits[np.isnan(v)] = np.uint64(0x7FF8000000000000)
     top = np.uint64(1 << 63)
-    out = np.where(bits & top, ~bits, bits | top).astype(">u8")
-    return pd.Series([b.tobytes() for b in out], dtype=object)
+    raw = np.where(bits & top, ~bits, bits | top).astype(">u8").tobytes()
+    missing = x.is_null().to_pylist()
+    return pa.array([None if m else raw[8 * i : 8 * i + 8] for i, m in enumerate(missing)], pa.binary())
 
 
-def encoded_double(x: Column | str) -> Column:
-    """``encode_float64`` that keeps null null (a batch function sees null as NaN)."""
-    return F.when(_c(x).isNotNull(), encode_float64(_c(x)))
-
-
-@pandas_udf(T.DoubleType())
-def decode_float64(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def decode_float64(x: pa.Array) -> pa.Array:
     """The double whose ``encode_float64`` is x."""
 
     def one(b):
-        if b is None:
-            return None
         u = int.from_bytes(b, "big")
         return struct.unpack(">d", (u ^ (1 << 63) if u >> 63 else ~u & (1 << 64) - 1).to_bytes(8, "big"))[0]
 
-    return x.map(one)
+    return pa.array([None if b is None else one(b) for b in x.to_pylist()], pa.float64())
 
 
 def read_int(x: Column | str, width: int) -> Column:
@@ -73,7 +66,9 @@ def read_int(x: Column | str, width: int) -> Column:
     digits = F.concat(*pairs)
     high = F.conv(F.substring(digits, 1, 2 * width - 8), 16, 10).cast("long") if width == 8 else F.lit(0).cast("long")
     low = F.conv(F.substring(digits, 2 * width - 7, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low) if width == 8 else low.cast("int")
+    if width == 8:
+        return F.shiftleft(high, 32).bitwiseOR(low)
+    return F.when(low >= 2**31, low - 2**32).otherwise(low).cast("int")
 
 
 def read_string(x: Column | str) -> Column:
@@ -136,6 +131,6 @@ def address(content: Column | str, algorithm: str = "sha256") -> Column:
     raise ValueError(f"unknown hash {algorithm!r}: one of sha256, sha512, blake2b")
 
 
-@pandas_udf(T.StringType())
-def _blake2b(x: pd.Series) -> pd.Series:
-    return x.map(lambda b: None if b is None else hashlib.blake2b(b, digest_size=20).hexdigest())
+@F.arrow_udf(T.StringType())
+def _blake2b(x: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else hashlib.blake2b(b, digest_size=20).hexdigest() for b in x.to_pylist()], pa.string())

@@ -545,7 +545,7 @@ def encoded_order(spark, d):
 @query()
 def float64_encoding(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") - 1000).alias("x"))
-    return o.select("o_orderkey", F.hex(E.encoded_double("x")).alias("code"), E.decode_float64(E.encoded_double("x")).alias("back"))
+    return o.select("o_orderkey", F.hex(E.encode_float64("x")).alias("code"), E.decode_float64(E.encode_float64("x")).alias("back"))
 
 
 @query(f"SELECT key, {_entry_sql('key', 'status', 'cents')} AS entry, substr(sha256({_entry_sql('key', 'status', 'cents')}), 1, 40) AS address FROM ({I.BASE_SQL})")
