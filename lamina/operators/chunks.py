@@ -129,6 +129,42 @@ def edges(levels: list[DataFrame]) -> DataFrame:
     return out if out is not None else levels[0].select(F.col("address").alias("parent"), F.col("address").alias("child")).where(F.lit(False))
 
 
+def inspect(levels: list[DataFrame]) -> DataFrame:
+    """Every node from the root down: ``depth, pos, address, entries, first_key, last_key,
+    children``.  One row a node, in breadth-first order when sorted by depth and pos."""
+    top, out = len(levels) - 1, None
+    for i, lv in enumerate(levels):
+        part = lv.select(F.lit(top - i).alias("depth"), "pos", "address", F.col("n").alias("entries"), "first_key", "last_key", F.coalesce(F.size("children"), F.lit(0)).alias("children"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def summary(levels: list[DataFrame]) -> DataFrame:
+    """One row ``root, entries, height, nodes``."""
+    return inspect(levels).agg(
+        F.coalesce(F.max(F.when(F.col("depth") == 0, F.col("address"))), F.lit(EMPTY_ROOT)).alias("root"),
+        F.coalesce(F.max(F.when(F.col("depth") == 0, F.col("entries"))), F.lit(0)).alias("entries"),
+        F.lit(len(levels)).alias("height"),
+        F.count(F.lit(1)).alias("nodes"),
+    )
+
+
+def find_path(levels: list[DataFrame], spec: TableSpec, key: tuple) -> DataFrame:
+    """The nodes that a search for the key reads: of each level the first that ends at or
+    after it.  Filters on chunk metadata; no data is read."""
+    wanted = F.struct(*(F.lit(k).alias(n) for k, n in zip(key, spec.keys)))
+    nodes = inspect(levels).where(F.col("last_key") >= wanted)
+    return nodes.groupBy("depth").agg(F.min_by(F.struct("pos", "address"), "pos").alias("x")).select("depth", "x.pos", "x.address")
+
+
+def nth_entry_chunk(level: DataFrame, n: int, order: str = "pos") -> DataFrame:
+    """The leaf that holds the n-th entry (from 0) and the entry's place in it, by the
+    counts of the leaves alone."""
+    sized = subtree_counts(level, order)
+    before = F.col("prefix_count") - F.col("n")
+    return sized.where((before <= n) & (F.col("prefix_count") > n)).select(order, "address", (F.lit(n) - before).alias("offset"))
+
+
 def changed_chunks(a: DataFrame, b: DataFrame) -> DataFrame:
     """Addresses that b's chunks have and a's have not."""
     return b.select("address").distinct().join(a.select("address"), "address", "left_anti")

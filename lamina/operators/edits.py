@@ -18,10 +18,6 @@ def compact(edits: DataFrame, spec: TableSpec, order: str = "seq") -> DataFrame:
     return edits.groupBy(*spec.keys).agg(last).select(*spec.keys, "e.*")
 
 
-def _same_key(a: DataFrame, b: DataFrame, spec: TableSpec):
-    return [a[k].eqNullSafe(b[k]) for k in spec.keys]
-
-
 def apply_edits(base: DataFrame, edits: DataFrame, spec: TableSpec) -> DataFrame:
     """base with compacted edits laid over it.  Deleting what is not there does nothing."""
     a, e = spec.select(base).alias("a"), edits
@@ -52,3 +48,11 @@ def as_of(edits: DataFrame, spec: TableSpec, at, order: str = "seq", version: st
     deletes go.  No snapshot between is built."""
     log = edits.where(F.col(version or order) <= F.lit(at))
     return compact(log, spec, order).where(~F.col("is_delete")).select(*spec.columns)
+
+
+def mutate(base: DataFrame, puts: DataFrame, deletes: DataFrame, spec: TableSpec) -> DataFrame:
+    """base with rows put and keys deleted; a key in both is put."""
+    gone = deletes.select(*spec.keys).distinct().join(puts.select(*spec.keys), list(spec.keys), "left_anti")
+    nothing = [F.lit(None).cast(puts.schema[v].dataType).alias(v) for v in spec.values]
+    edits = puts.select(*spec.columns, F.lit(False).alias("is_delete")).unionByName(gone.select(*spec.keys, *nothing, F.lit(True).alias("is_delete")))
+    return apply_edits(base, edits, spec)

@@ -494,6 +494,34 @@ def root_address(spark, d):
     return chunks.all_addresses(levels).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.max("address").alias("last_address"))
 
 
+@query()
+def tree_summary(spark, d):
+    return chunks.summary(chunks.tree(I.base(spark, d), I.ORDERS, BITS))
+
+
+@query()
+def search_path(spark, d):
+    return chunks.find_path(chunks.tree(I.base(spark, d), I.ORDERS, BITS), I.ORDERS, (700,))
+
+
+@query(f"SELECT chunk, address, 700 - before AS offset FROM (SELECT *, (sum(n) OVER (ORDER BY chunk) - n)::BIGINT AS before FROM ({_leaves_sql(I.BASE_SQL)})) WHERE before <= 700 AND before + n > 700")
+def counted_rank(spark, d):
+    return chunks.nth_entry_chunk(_leaves(I.base(spark, d)), 700, "chunk").withColumn("offset", F.col("offset").cast("long"))
+
+
+@query(f"""SELECT key, status, cents FROM ({I.BASE_SQL}) WHERE key % 9 <> 0 AND key NOT IN (SELECT key FROM ({I.V2_SQL}) WHERE key % 13 = 0)
+UNION ALL SELECT key, status, cents FROM ({I.V2_SQL}) WHERE key % 13 = 0""")
+def put_and_delete(spark, d):
+    base, other = I.base(spark, d), I.v2(spark, d)
+    return edits.mutate(base, other.where("key % 13 = 0"), base.where("key % 9 = 0"), I.ORDERS)
+
+
+@query(f"SELECT name, count(*) AS entries, sum(cents)::BIGINT AS cents FROM (SELECT 'base' AS name, cents FROM ({I.BASE_SQL}) UNION ALL SELECT 'v2', cents FROM ({I.V2_SQL}) UNION ALL SELECT 'ours', cents FROM ({I.OURS_SQL})) GROUP BY name")
+def compare_versions(spark, d):
+    parts = [f(spark, d).select(F.lit(n).alias("name"), "cents") for n, f in (("base", I.base), ("v2", I.v2), ("ours", I.ours))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count(F.lit(1)).alias("entries"), F.sum("cents").alias("cents"))
+
+
 @query()
 def clamped_chunks(spark, d):
     return chunks.clamped(I.base(spark, d), "key", BITS, 16, 256)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import encoding as E
@@ -44,6 +44,15 @@ class ChunkStore:
     def verified(self) -> DataFrame:
         return integrity.checked(self.all(), self.algorithm)
 
+    def observed(self, name: str) -> tuple[DataFrame, Observation]:
+        """The chunks, and what is read of them, counted as they pass: ``chunks, bytes``."""
+        seen = Observation(name)
+        return self.all().observe(seen, F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("bytes")), seen
+
+    def added(self, before: DataFrame) -> DataFrame:
+        """Hashes that are stored now and were not among ``before``: what an operation wrote."""
+        return self.hashes().join(before.select("hash"), "hash", "left_anti")
+
     def hashes(self) -> DataFrame:
         return self.all().select("hash")
 

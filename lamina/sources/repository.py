@@ -235,6 +235,16 @@ class Repository:
         made = Commit.make(self.store(df), parents if parents is not None else [expected] if expected else [], author, message, int(time.time() * 1000) if ts is None else ts)
         return self._publish(branch, made, expected)
 
+    def update(self, branch: str, change, author: str, message: str, empty: DataFrame | None = None, tries: int = 10) -> Commit:
+        """Commit ``change(head table)``; a writer that loses the race starts again on the new
+        head, at most ``tries`` times."""
+        for _ in range(tries):
+            head = self.ref(branch)
+            made = self.commit(branch, change(self.branch(branch, empty)), head, author, message)
+            if made is not None:
+                return made
+        raise RuntimeError(f"{branch} kept moving")
+
     # changes between commits -------------------------------------------
 
     def diff(self, a: str, b: str) -> DataFrame:
@@ -323,13 +333,18 @@ class Repository:
 
     # housekeeping --------------------------------------------------------
 
-    def gc(self, heads_only: bool = False) -> tuple[int, int]:
+    def gc(self, heads_only: bool = False, last: int | None = None) -> tuple[int, int]:
         """Delete commits and snapshots that no ref reaches: (kept, swept) snapshots.  Tags
-        keep what they name unless ``heads_only``."""
+        keep what they name unless ``heads_only``.  With ``last``, of each branch only so
+        many commits of its first-parent line are kept; a tagged one always is."""
         keep: set[str] = set()
         table = self.commits()
         for name, commit_id in self.refs().items():
-            if not heads_only or name.startswith("heads/"):
+            if last is not None and name.startswith("heads/"):
+                keep |= {r.commit_id for r in history.first_parent_log(table, commit_id).where(F.col("depth") < last).collect()}
+            elif last is not None:
+                keep.add(commit_id)
+            elif not heads_only or name.startswith("heads/"):
                 keep |= {r.commit_id for r in history.ancestors(table, commit_id).collect()}
         roots = {self.commit_of(c).root for c in keep}
         for x in self.files.list("commits"):
@@ -340,6 +355,16 @@ class Repository:
             self.files.delete(f"snapshots/{root}")
         return len(stored & roots), len(stored - roots)
 
+    def stats(self) -> DataFrame:
+        """``root, files, bytes`` of each stored snapshot, from the file listing."""
+        rows: dict[str, list[int]] = {}
+        for x in self.files.list("snapshots"):
+            if x.endswith(".parquet"):
+                size = self.files.fs.getFileStatus(self.files._path(f"snapshots/{x}")).getLen()
+                row = rows.setdefault(x.split("/")[0], [0, 0])
+                row[0], row[1] = row[0] + 1, row[1] + size
+        return self.spark.createDataFrame([(r, *v) for r, v in sorted(rows.items())], "root string, files int, bytes long")
+
     def verify(self) -> list[str]:
         """Snapshots whose content does not make the root id they are stored under, and
         commits whose snapshot is missing."""

@@ -193,3 +193,27 @@ def test_stream_commits(spark, repo, tmp_path):
     spark.createDataFrame([(2, None, True, 4)], schema).coalesce(1).write.mode("append").parquet(src)
     commit_batches(stream(), repo, "main", empty, f"file://{tmp_path}/cp").awaitTermination()
     assert content(repo.branch("main")) == {1: "c"} and repo.log("main").count() == 2
+
+
+def test_race_and_retention(repo):
+    put(repo, "main", {1: "a"})
+    lost = []
+
+    def change(df):
+        if not lost:
+            lost.append(put(repo, "main", {1: "b"}))  # another writer comes first
+        return df.withColumn("k", F.col("k") + 1)
+
+    repo.update("main", change, "me", "mine")
+    assert content(repo.branch("main")) == {2: "b"}
+    assert repo.stats().count() == 3
+    assert repo.gc(last=1) == (1, 2) and content(repo.branch("main")) == {2: "b"}
+
+
+def test_observed(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/s")
+    before = s.hashes()
+    s.write(spark.createDataFrame([(0, "abc"), (0, "de")], "level int, data string"))
+    df, seen = s.observed("reads")
+    assert df.count() == 2 and seen.get["chunks"] == 2
+    assert s.added(before).count() == 2
