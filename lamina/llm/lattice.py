@@ -3,9 +3,9 @@
 A word's subword probability is its marginal over all segmentations into vocabulary
 pieces: a log-space forward recursion over the lattice that an automaton finds, with
 arcs weighted by the vocabulary's scores.  What is learned from the corpus are counts
-of whole words, as further arcs of the lattice, smoothed towards the subword marginal
-(Witten-Bell), for each language and pooled; a document's probability is the marginal
-over the languages too, so a text needs no language label to be scored.
+of whole words, as further arcs of the lattice, for each language, smoothed (Witten-Bell)
+towards the subword marginal and the pooled counts; a document's probability is the
+marginal over the languages too, so a text needs no language label to be scored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from lamina.llm.unigram import SPACE
 
 END_SHARE = 0.01  # of tokens, before anything is learned, that end a text
 WORD_END = 0.35  # after a piece, before anything is learned, that the word ends
+POOL_SHARE = 0.1  # of words new to a language, that another language has
 BYTE_SHARE = 0.002  # of pieces that spell a character by its bytes
 
 
@@ -163,10 +164,10 @@ class _Model:
     """Totals that turn a word's counts into log10 probabilities."""
 
     def __init__(self, ends: list[int], totals: list[int], kinds: list[int], n: int, v: int):
-        self.ends, self.n, self.v = ends, n, v
+        self.ends, self.n = ends, n
         self.n_of = totals
         self.v_of = [max(1, k) for k in kinds]
-        self.vs = max(1, v)
+        self.pool = POOL_SHARE if n else 0.0
         docs = sum(ends)
         self.share = [math.log10(e / docs) if e else -math.inf for e in ends] if docs else [0.0] + [-math.inf] * (len(ends) - 1)
         self.base = -math.log10(n + v + 1)
@@ -175,7 +176,8 @@ class _Model:
         """(words x classes) log10 probabilities, of (words x classes) counts and log10
         subword probabilities."""
         total = counts.sum(axis=1)
-        pooled = np.where(total > 0, np.log10(np.maximum(total + self.vs * 10.0**sub, 1e-300)), math.log10(self.vs) + sub) - math.log10(self.n + self.vs)
+        spelled = math.log10(1 - self.pool) + sub
+        pooled = np.where(total > 0, np.log10(self.pool * total / max(self.n, 1) + 10.0**spelled + 1e-300), spelled)
         v, n = np.array(self.v_of, float), np.array(self.n_of, float)
         seen = np.log10(np.maximum(counts + v * 10.0 ** pooled[:, None], 1e-300))
         return np.where(counts > 0, seen, np.log10(v) + pooled[:, None]) - np.log10(n + v)
@@ -183,7 +185,8 @@ class _Model:
     def tail(self, k: int, counts: Column, total: Column, sub: Column) -> Column:
         """The same as an expression."""
         ten = F.lit(10.0)
-        pooled = F.when(total > 0, F.log10(total + self.vs * F.pow(ten, sub))).otherwise(math.log10(self.vs) + sub) - math.log10(self.n + self.vs)
+        spelled = sub + math.log10(1 - self.pool)
+        pooled = F.when(total > 0, F.log10(total * (self.pool / max(self.n, 1)) + F.pow(ten, spelled))).otherwise(spelled)
         mine, v = F.element_at(counts, k + 1), self.v_of[k]
         return F.when(mine > 0, F.log10(mine + v * F.pow(ten, pooled))).otherwise(math.log10(v) + pooled) - math.log10(self.n_of[k] + v)
 
