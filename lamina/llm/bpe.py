@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns
-from lamina.llm.segment import PATTERN, Memo, segments
+from lamina.llm.segment import PATTERN, Memo, byte_level_pieces, slices, tokens_of
 
 
 class PerfectHash:
@@ -137,7 +137,7 @@ class ByteBPE:
 
     def _start(self) -> None:
         self.split = regex.compile(self.pattern)
-        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 600_000)
+        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 300_000)
         size = len(self.bytes_of)
         width = len(str(size)) + 1
         self.digits = np.array([f"{i} ".encode() for i in range(size)], dtype=f"S{width}").view(np.uint8).reshape(size, width)
@@ -161,14 +161,17 @@ class ByteBPE:
 
     def _segments(self, pieces: list[str]) -> Iterator[bytes]:
         for piece in pieces:
-            tokens = self.split.findall(piece)
-            known = self.by_token.fill(tokens)
-            yield b"".join([known[t] for t in tokens])
+            tokens = tokens_of(piece, self.split)
+            yield b"".join(self.by_token.all(tokens))
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        pieces = byte_level_pieces(texts, self.split)
+        ids, at = pieces.lay_out(self.memo.all(pieces.distinct), np.uint32)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def encode(self, text: str | None) -> np.ndarray:
-        pieces = segments(text or "", self.split)
-        known = self.memo.fill(set(pieces))
-        return np.frombuffer(b"".join([known[p] for p in pieces]), np.uint32)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, gathered from the vocabulary's, laid end to end."""
@@ -204,18 +207,15 @@ def encode_table(docs: DataFrame, vocabulary: str, text: str = "text", with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value
-        for batch in batches:
-            counts, shas, backs, lists = [], [], [], []
-            for t in batch.column(len(keep)):
-                ids = bpe.encode(t.as_py())
-                counts.append(len(ids))
-                shas.append(bpe.digest(ids))
-                backs.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        for whole in batches:
+            for batch in slices(whole, len(keep)):
+                encoded = bpe.encode_all(batch.column(len(keep)))
+                shas = [bpe.digest(ids) for ids in encoded]
+                backs = [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in encoded]
+                out = [*batch.columns[: len(keep)], pa.array([len(ids) for ids in encoded], pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
                 if with_ids:
-                    lists.append(ids.tolist())
-            out = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
-            if with_ids:
-                out.append(pa.array(lists, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names)
+                    ends = np.cumsum([0, *map(len, encoded)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(encoded).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select(*(F.col(f"`{n}`") for n in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)

@@ -1,29 +1,95 @@
-"""Cutting a text at places where no byte-level BPE token can cross, and remembering
-the work done for a piece."""
+"""Cutting texts at places where no token can cross, each distinct piece being worked on once.
+
+A batch's texts are cut, and the pieces' numbers found, by Arrow's compute functions;
+Python sees distinct pieces only, and what it makes of them is laid out by number again.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the pattern that splits a text before the merges of the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_ODD = re.compile(r"\x00| (?:\s|\Z)")
+#: A space before white space of any kind, or at the end.
+_ODD = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text, of one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(batch):
+        base = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _mark(texts: pa.Array) -> str:
+    """A character that no text has."""
+    for i in range(0x110000):
+        if not pc.any(pc.match_substring(texts, chr(i))).as_py():
+            return chr(i)
+    raise ValueError("the texts use every character")
+
 
+class Pieces:
+    """The distinct pieces of some texts, each text's pieces by number, and where each
+    text's begin."""
 
-def segments(text: str, pattern) -> list[str]:
-    """Pieces of ``text`` that the pattern splits one by one just as it splits the whole.
+    def __init__(self, texts: pa.Array, regular: Callable[[pa.Array, str], pa.Array], odd: pa.Array, cut: Callable[[str], list[str]]):
+        """``regular`` puts a mark between pieces; texts that are ``odd`` are cut by ``cut``."""
+        mark = _mark(texts)
+        marked = regular(texts, mark)
+        if pc.any(odd).as_py():
+            own = [mark.join(cut(t.as_py())) if o else None for t, o in zip(texts, odd.to_pylist())]
+            marked = pc.if_else(odd, pa.array(own, marked.type), marked)
+        lists = pc.split_pattern(marked, mark)
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy()
+        self.starts = starts - starts[0]
+
+    def lay_out(self, made: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+        """What was made of each distinct piece, end to end in the texts' order, and the
+        texts' bounds in it."""
+        unit = np.dtype(kind).itemsize
+        size = np.fromiter(map(len, made), np.int64, len(made)) // unit
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), kind)))
+        values = parts.take(pa.array(self.codes)).flatten().to_numpy()
+        return values, np.concatenate(([0], np.cumsum(size[self.codes])))[self.starts]
+
+    def sums(self, made: np.ndarray) -> np.ndarray:
+        """The sum of each text's pieces' numbers."""
+        run = np.concatenate((np.zeros(1, made.dtype), np.cumsum(made[self.codes])))
+        return run[self.starts[1:]] - run[self.starts[:-1]]
+
+
+def byte_level_pieces(texts: pa.Array, split) -> Pieces:
+    """Pieces that ``split`` (the compiled pattern) splits one by one just as the whole.
 
     Before a space that a non-space follows there is always a token boundary: letters,
     digits and signs take a space only as their first character, and a run of white
     space gives its last character away.  Texts with other runs are cut by the pattern.
     """
-    if not text:
-        return []
-    if _ODD.search(text):
-        return pattern.findall(text)
-    return text.replace(" ", "\x00 ").split("\x00") if text[0] != " " else text.replace(" ", "\x00 ")[1:].split("\x00")
+    texts = pc.fill_null(texts, "")
+    return Pieces(texts, lambda t, mark: pc.replace_substring(t, " ", mark + " "), pc.match_substring_regex(texts, _ODD), split.findall)
+
+
+def tokens_of(piece: str, split) -> list[str]:
+    """The piece split by the pattern; a word, or a word and one sign, without it."""
+    word = piece[1:] if piece[:1] == " " else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in (".", ",") and word[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return split.findall(piece)
 
 
 class Memo:
@@ -49,3 +115,7 @@ class Memo:
         if rest:
             young.update(zip(rest, self.compute(rest)))
         return young
+
+    def all(self, pieces: list[str]) -> list:
+        known = self.fill(pieces)
+        return [known[p] for p in pieces]

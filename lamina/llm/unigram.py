@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns
-from lamina.llm.segment import Memo
+from lamina.llm.segment import Memo, Pieces, slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores so much less than the least piece
@@ -88,16 +90,24 @@ class PieceCounter:
             score[e], count[e] = top, count[start] + 1
         return count[n], score[n]
 
-    def count(self, text: str | None) -> tuple[int, float]:
-        if not text:
-            return 0, 0.0
-        text = SPACE + text.replace(" ", SPACE)
+    def count_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and score of each text; of a null or empty one 0 and 0."""
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", SPACE), ""))
         if self.cut is None:
-            return self.best(text)
-        parts = self.cut.findall(text)
-        known = self.memo.fill(parts)
-        got = [known[p] for p in parts]
-        return sum(g[0] for g in got), sum(g[1] for g in got)
+            made = [self.best(t) for t in texts.to_pylist()]
+            return np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], np.float64)
+
+        def regular(t: pa.Array, mark: str) -> pa.Array:
+            return pc.replace_substring(pc.replace_substring(t, SPACE, mark + SPACE), "\n", f"{mark}\n{mark}")
+
+        pieces = Pieces(texts, regular, pc.match_substring(texts, SPACE * 2), self.cut.findall)
+        made = self.memo.all(pieces.distinct)
+        return pieces.sums(np.array([m[0] for m in made], np.int64)), pieces.sums(np.array([m[1] for m in made], np.float64))
+
+    def count(self, text: str | None) -> tuple[int, float]:
+        n, score = self.count_all(pa.array([text], pa.string()))
+        return int(n[0]), float(score[0])
 
 
 def token_counts(docs: DataFrame, pieces: dict[str, float], byte_fallback: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,8 +122,9 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], byte_fallback: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.count(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "n_tokens", "score"])
+            for part in slices(batch, 1):
+                n, score = shared.value.count_all(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(score)], ["doc_id", "n_tokens", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import check_columns, materialize, new_path
-from lamina.llm.segment import PATTERN, Memo, segments
+from lamina.llm.segment import PATTERN, Memo, byte_level_pieces, slices, tokens_of
 
 MAGIC = b"LWM1"
 BLOCK = 1 << 16  # bits of a block
@@ -195,7 +195,7 @@ class Encoder:
 
         self.data, self.end = data, np.array([end_id], "<u4").tobytes()
         self.split, self.tokenizer = regex.compile(PATTERN), None
-        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 600_000)
+        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 500_000)
 
     def _tokens(self, tokens: list[str]) -> Iterator[bytes]:
         if self.tokenizer is None:
@@ -209,14 +209,15 @@ class Encoder:
             yield np.array(e.ids, "<u4").tobytes()
 
     def _segments(self, pieces: list[str]) -> Iterator[bytes]:
-        split = [self.split.findall(p) for p in pieces]
+        split = [tokens_of(p, self.split) for p in pieces]
         known = self.by_token.fill({t for tokens in split for t in tokens})
-        return (b"".join([known[t] for t in tokens]) for tokens in split)
+        return (known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens]) for tokens in split)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [segments(t or "", self.split) for t in texts]
-        known = self.memo.fill({p for pieces in cut for p in pieces})
-        return [b"".join([*[known[p] for p in pieces], self.end]) for pieces in cut]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text and the end id, as unsigned 32-bit numbers."""
+        pieces = byte_level_pieces(texts, self.split)
+        ids, at = pieces.lay_out(self.memo.all(pieces.distinct), "<u4")
+        return [ids[a:b].tobytes() + self.end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
@@ -261,9 +262,8 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc
             return row
 
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                block = batch.slice(k, 256)
-                for d, raw in zip(block.column(0).to_pylist(), encoder.encode(block.column(1).to_pylist())):
+            for block in slices(batch, 1):
+                for d, raw in zip(block.column(0).to_pylist(), encoder.encode(block.column(1))):
                     ids.append(d)
                     raws.append(raw)
                     held += len(raw) // 4
