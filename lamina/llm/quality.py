@@ -108,6 +108,16 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, start: np.ndarray,
     return both[:, :, 1].T, moves, z
 
 
+def _groups(lengths: list[int], most: int = 256, area: int = 200_000) -> Iterator[range]:
+    """Ranges of documents, given by ascending length, whose padded array stays small: a
+    very long document is a group of its own."""
+    start = 0
+    for i in range(1, len(lengths) + 1):
+        if i == len(lengths) or i - start == most or (i + 1 - start) * lengths[i] > area:
+            yield range(start, i)
+            start = i
+
+
 class LineCRF:
     """Weights, and the mean and spread that features are scaled by."""
 
@@ -129,7 +139,7 @@ class LineCRF:
         ends = np.cumsum([len(d) for d in docs])
         starts = ends - [len(d) for d in docs]
         per_line = np.repeat(y, ends - starts)
-        groups = [range(i, min(i + 500, len(docs))) for i in range(0, len(docs), 500)]
+        groups = list(_groups([len(d) for d in docs], 500))
         p = np.zeros(x.shape[1] + 1 + 2 + 4)
         m, v = np.zeros_like(p), np.zeros_like(p)
         k = x.shape[1]
@@ -162,8 +172,8 @@ class LineCRF:
         order = sorted(range(len(texts)), key=lambda i: len(made[i][1]))
         w = (self.weights / self.spread).astype(np.float64)
         base = self.bias - float(self.mean @ w)
-        for k in range(0, len(order), 256):
-            group = order[k : k + 256]
+        for g in _groups([len(made[i][1]) for i in order]):
+            group = [order[k] for k in g]
             padded, lengths = _pad([made[i][0] @ w + base for i in group])
             one, _, _ = forward_backward(padded, lengths, self.start, self.step)
             for row, i in zip(one, group):
@@ -172,11 +182,12 @@ class LineCRF:
         return np.clip(out, 0.0, 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", mod: int = 4, held: int = 2, sample: int = 4000) -> LineCRF:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", mod: int = 4, held: int = 2, sample: int = 4000, longest: int = 5000) -> LineCRF:
     """Fit on ``sample`` labelled rows at most, those of the smallest id hash, among ids
     whose crc32 mod ``mod`` is not ``held``.  Rows with a null id or label are not
-    learned from; an id labelled twice counts twice.  Lines' features are made on the
-    executors; the driver gets those of the sample."""
+    learned from; an id labelled twice counts twice; documents of more than ``longest``
+    lines are not learned from, which bounds what the driver gets.  Lines' features are
+    made on the executors."""
     check_columns(docs, doc_id, text)
     check_columns(labels, label_id, label)
     chosen = (
@@ -189,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            short = [(t or "").count("\n") < longest for t in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(short, pa.bool_()))
             made = [document_features(t.as_py())[0].tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "y"])
 

@@ -84,9 +84,10 @@ def base_scores(docs: list[tuple]) -> dict[int, tuple]:
     return out
 
 
-def cut_repeated_lines(docs: list[tuple], least: int) -> dict[int, str | None]:
-    """doc_id: the text without its aligned blocks; ids are unique and not null.  The longest
-    increasing run is found by plain dynamic programming."""
+def line_pairs(docs: list[tuple]) -> dict[int, tuple]:
+    """doc_id: the text, and for each first holder of its lines the (later, first, words)
+    rows with the length of their longest increasing run, by plain dynamic programming.
+    Ids are unique and not null."""
     lines = {i: [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in docs}
     first: dict[tuple, tuple] = {}
     numbered = {}

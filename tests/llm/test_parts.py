@@ -152,7 +152,7 @@ def test_benchmark_in_blocks(spark, sf):
 @settings(max_examples=200, deadline=None)
 def test_patience(lists):
     """The aligned runs are as long as plain dynamic programming finds, and ascend."""
-    for _, gone in brute.cut_repeated_lines([(i, "\n".join(x)) for i, x in enumerate(lists)], 1).values():
+    for _, gone in brute.line_pairs([(i, "\n".join(x)) for i, x in enumerate(lists)]).values():
         for rows, longest in gone:
             run = linedup.patience([(a, b) for a, b, _ in rows])
             seconds = [rows[i][1] for i in run]
@@ -195,6 +195,13 @@ def test_forward_backward_is_enumeration():
     assert moves == pytest.approx(want)
 
 
+def test_groups_are_small():
+    for lengths in ([], [5], [1] * 700, [1, 2, 300_000], sorted([3] * 10 + [900] * 500)):
+        groups = list(quality._groups(lengths))
+        assert [i for g in groups for i in g] == list(range(len(lengths)))
+        assert all(len(g) == 1 or len(g) <= 256 and len(g) * lengths[g[-1]] <= 200_000 for g in groups)
+
+
 def _segmentations(word, pieces):
     if not word:
         yield []
