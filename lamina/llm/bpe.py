@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns
-from lamina.llm.segment import PATTERN, Memo, byte_level_pieces, slices, tokens_of
+from lamina.llm.segment import PATTERN, TokenMemo, byte_level_pieces, slices
 
 
 class PerfectHash:
@@ -137,7 +137,7 @@ class ByteBPE:
 
     def _start(self) -> None:
         self.split = regex.compile(self.pattern)
-        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 300_000)
+        self.memo = TokenMemo(self._tokens, self.split, 450_000)
         size = len(self.bytes_of)
         width = len(str(size)) + 1
         self.digits = np.array([f"{i} ".encode() for i in range(size)], dtype=f"S{width}").view(np.uint8).reshape(size, width)
@@ -159,11 +159,6 @@ class ByteBPE:
             one = get(raw)
             yield array("I", [one] if one >= 0 else merge(raw, self.ranks)).tobytes()
 
-    def _segments(self, pieces: list[str]) -> Iterator[bytes]:
-        for piece in pieces:
-            tokens = tokens_of(piece, self.split)
-            yield b"".join(self.by_token.all(tokens))
-
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         pieces = byte_level_pieces(texts, self.split)

@@ -6,6 +6,7 @@ Python sees distinct pieces only, and what it makes of them is laid out by numbe
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ODD = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 20 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of text, of one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -52,7 +53,7 @@ class Pieces:
         lists = pc.split_pattern(marked, mark)
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.distinct: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.codes = coded.indices.to_numpy()
         self.starts = starts - starts[0]
 
@@ -100,22 +101,64 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def fill(self, pieces: Iterable[str]) -> dict:
-        """A dict that has at least ``pieces``."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        rest = []
+    def _lacking(self, pieces: Iterable[str]) -> list[str]:
+        """Those that no generation has; those of the old one become young."""
+        young, old, rest = self.young, self.old, []
         for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    rest.append(p)
-        if rest:
-            young.update(zip(rest, self.compute(rest)))
-        return young
+            if p in old:
+                young[p] = old[p]
+            else:
+                rest.append(p)
+        return rest
+
+    def _make(self, pieces: list[str]) -> None:
+        self.young.update(zip(pieces, self.compute(pieces)))
 
     def all(self, pieces: list[str]) -> list:
-        known = self.fill(pieces)
-        return [known[p] for p in pieces]
+        """The results of distinct pieces.  Nothing here makes cycles, so their collector,
+        which would walk over all entries again and again, pauses."""
+        runs = gc.isenabled()
+        gc.disable()
+        try:
+            return self._all(pieces)
+        finally:
+            if runs:
+                gc.enable()
+
+    def _all(self, pieces: list[str]) -> list:
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        got = list(map(self.young.get, pieces))
+        lost = [i for i, g in enumerate(got) if g is None]
+        if lost:
+            rest = self._lacking([pieces[i] for i in lost])
+            if rest:
+                self._make(rest)
+            for i in lost:
+                got[i] = self.young[pieces[i]]
+        return got
+
+
+class TokenMemo(Memo):
+    """Ids, as bytes, by piece.  ``compute`` is asked for tokens only: a piece of several is
+    put together from theirs, which are kept beside the pieces."""
+
+    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]], split, limit: int):
+        super().__init__(compute, limit)
+        self.split = split
+
+    def _make(self, pieces: list[str]) -> None:
+        young, parts, need = self.young, [], []
+        for p in pieces:
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                need.append(p)
+            elif len(tokens := tokens_of(p, self.split)) == 1:
+                need.append(p)
+            else:
+                parts.append((p, tokens))
+        own = set(need)
+        others = {t for _, tokens in parts for t in tokens if t not in young and t not in own}
+        need += self._lacking(others)
+        young.update(zip(need, self.compute(need)))
+        for p, tokens in parts:
+            young[p] = b"".join([young[t] for t in tokens])

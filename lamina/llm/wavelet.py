@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import check_columns, materialize, new_path
-from lamina.llm.segment import PATTERN, Memo, byte_level_pieces, slices, tokens_of
+from lamina.llm.segment import PATTERN, TokenMemo, byte_level_pieces, slices
 
 MAGIC = b"LWM1"
 BLOCK = 1 << 16  # bits of a block
@@ -187,31 +188,47 @@ class WaveletMatrix:
         return self.alphabet[code] if self.n else np.zeros(0, "<u4")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable Latin-1 ones
+    stand for themselves, the others, in order, for those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids by the tokenizers library; a piece that was met before is not encoded again."""
+    """Ids by the tokenizers library's byte-level BPE model, which is given one pre-token at
+    a time; one that was met before is not encoded again.  Strings of special tokens in a
+    text are ordinary text."""
 
     def __init__(self, data: bytes, end_id: int):
         import regex
 
         self.data, self.end = data, np.array([end_id], "<u4").tobytes()
-        self.split, self.tokenizer = regex.compile(PATTERN), None
-        self.memo, self.by_token = Memo(self._segments, 200_000), Memo(self._tokens, 500_000)
+        self.split, self.model = regex.compile(PATTERN), None
+        self.memo = TokenMemo(self._tokens, self.split, 700_000)
 
     def _tokens(self, tokens: list[str]) -> Iterator[bytes]:
-        if self.tokenizer is None:
-            import os
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if self.model is None:
             from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_buffer(self.data)
-        for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    def _segments(self, pieces: list[str]) -> Iterator[bytes]:
-        split = [tokens_of(p, self.split) for p in pieces]
-        known = self.by_token.fill({t for tokens in split for t in tokens})
-        return (known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens]) for tokens in split)
+            whole = json.loads(self.data)
+            if whole["normalizer"] or whole["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+                raise ValueError("not a plain byte-level vocabulary")
+            self.model, self.alphabet = Tokenizer.from_buffer(self.data).model, byte_alphabet()
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        space = alphabet[32]
+        ids = []
+        for t in tokens:
+            if t.isascii() and (t[1:] if t[:1] == " " else t).isalpha():
+                t = space + t[1:] if t[0] == " " else t
+            else:
+                t = t.encode().decode("latin-1").translate(alphabet)
+            ids.append([x.id for x in tokenize(t)])
+        ends = np.cumsum([0, *map(len, ids)]) * 4
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4).tobytes()
+        ends = ends.tolist()
+        return (raw[a:b] for a, b in zip(ends, ends[1:]))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text and the end id, as unsigned 32-bit numbers."""
