@@ -160,6 +160,20 @@ def _learn(counted: DataFrame, weights: dict[str, float], prior: float = 50.0) -
     return Lattice(new, min(0.9, max(0.05, words / max(pieces, words))))
 
 
+def _frequent(words: DataFrame, head: int) -> list:
+    """The most frequent words, ``head`` at most, without an order over the table: counts fall
+    into steps of a sixteenth of a doubling, and the driver gets the words of the highest
+    steps that ``head`` has room for.  A step is whole or absent."""
+    step = F.floor(F.log2("n") * 16)
+    seen = words.where("n > 0")
+    least, room = None, head
+    for r in sorted(seen.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):
+        if r["count"] > room:
+            break
+        least, room = r.s, room - r["count"]
+    return [] if least is None else sorted(seen.where(step >= least).collect(), key=lambda r: bytes(r.w))
+
+
 class _Model:
     """Totals that turn a word's counts into log10 probabilities."""
 
@@ -208,8 +222,8 @@ def score_documents(
     not learned from, nor held out).  The ``classes`` most frequent languages have counts
     of their own; other and null ones share one more.  All words are counted, summed
     before the shuffle; the vocabulary's weights are re-estimated once over all distinct
-    words, and each distinct word's lattice is then computed once.  The ``head`` most
-    frequent words, a fixed number, are broadcast, and only the others, none of which is
+    words, and each distinct word's lattice is then computed once.  The most
+    frequent words, ``head`` at most, are broadcast, and only the others, none of which is
     frequent, are joined to the table of words, which may be of any size.
 
     Null and empty texts are the end token alone.  Repeated rows count and are scored
@@ -255,7 +269,7 @@ def score_documents(
     ).first()
     end = int(all_docs > 0)
     model = _Model(ends, [sums[2 + i] + ends[i] for i in range(k)], [sums[2 + k + i] + (ends[i] > 0) for i in range(k)], sums[0] + all_docs, sums[1] + end)
-    top = words.orderBy(F.col("n").desc(), "w").limit(head).collect()
+    top = _frequent(words, head)
     table = spark.sparkContext.broadcast(
         (
             {bytes(r.w): i for i, r in enumerate(top)},
