@@ -1,10 +1,16 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-A line's first holder is the document of the smallest id that has it.  A later
-document is paired with the first holders of its lines: each shared line brings one
-pair, however many documents share it, so a very common line costs one row for each
-holder and no pairs among them.  Each pair is aligned by patience diff and the aligned
-common blocks are deleted from the later document.
+Each pair of documents with a block of enough words in common is aligned by patience
+diff over all their common lines, and the aligned common blocks are deleted from the
+later document.  The result is that of aligning all pairs; pairs that cannot add to it
+are not made:
+
+A block that is long enough is covered by its shortest runs of neighbouring lines that
+are long enough, from every first line and to every last line.  So only documents with
+such a run in common are paired.  A later document is paired with the first holder of
+each of its runs, and of its whole sequence of lines.  Where a run was not aligned with
+its first holder (it crosses other lines) and is not deleted by another pair, its next
+holders are tried, in growing numbers, until it is deleted or has no earlier holder.
 
 The k-th occurrence of a line in a document is a line of its own.  So every line is
 unique in both documents of a pair, as patience diff needs, and the longest increasing
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,61 +68,147 @@ def aligned_blocks(pairs: list[tuple[int, int, int]], least: int) -> list[int]:
     return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``h, k, pos, words, k1, k2`` of each non-blank line of (text, k1, k2)."""
+def _sequences(docs: DataFrame) -> DataFrame:
+    """``keys, words, k1, k2`` of each document of (text, k1, k2) with lines: the 64-bit
+    keys of its non-blank lines, and their numbers of words as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            h, k, pos, words, doc = [], [], [], [], []
+            keys, words, doc = [], [], []
             for i, t in enumerate(batch.column(0).to_pylist()):
-                seen: dict[int, int] = {}
-                n = 0
+                seen: dict[str, int] = {}
+                own, size = [], []
                 for line in (t or "").split("\n"):
                     if line := line.strip():
-                        key = xxhash.xxh64_intdigest(line.encode())
-                        seen[key] = c = seen.get(key, -1) + 1
-                        h.append(key)
-                        k.append(c)
-                        pos.append(n)
-                        words.append(len(line.split()))
-                        doc.append(i)
-                        n += 1
+                        seen[line] = c = seen.get(line, -1) + 1
+                        own.append(xxhash.xxh64_intdigest(line.encode(), c))
+                        size.append(len(line.split()))
+                if own:
+                    keys.append(np.array(own, np.uint64).tobytes())
+                    words.append(np.array(size, np.int32).tobytes())
+                    doc.append(i)
+            at = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), batch.column(1).take(at), batch.column(2).take(at)], ["keys", "words", "k1", "k2"])
+
+    return docs.mapInArrow(run, "keys binary, words binary, k1 long, k2 long")
+
+
+def covering_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """Bounds of the shortest runs of lines with ``least`` words, from every first and to
+    every last line, and of all lines.  Those inside a run of ``least`` words cover it."""
+    n, out = len(words), set()
+    end = held = 0
+    for start in range(n):
+        while end < n and (held < least or end == start):
+            held += words[end]
+            end += 1
+        if held < least:
+            break
+        out.add((start, end))
+        held -= words[start]
+    start = held = 0
+    for end in range(1, n + 1):
+        held += words[end - 1]
+        while start < end - 1 and held - words[start] >= least:
+            held -= words[start]
+            start += 1
+        if held >= least:
+            out.add((start, end))
+    if out:
+        out.add((0, n))
+    return out
+
+
+def _runs(sequences: DataFrame, least: int) -> DataFrame:
+    """``w, s, n, k1, k2``: key, first line and number of lines of each covering run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            w, s, n, doc = [], [], [], []
+            for i, (raw, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                for a, b in covering_runs(np.frombuffer(size, np.int32).tolist(), least):
+                    w.append(int.from_bytes(raw[8 * a : 8 * b], "little") if b - a == 1 else xxhash.xxh64_intdigest(raw[8 * a : 8 * b], b - a))
+                    s.append(a)
+                    n.append(b - a)
+                    doc.append(i)
             at = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(k, pa.int32()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), batch.column(1).take(at), batch.column(2).take(at)],
-                ["h", "k", "pos", "words", "k1", "k2"],
+                [pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(s, pa.int32()), pa.array(n, pa.int32()), batch.column(2).take(at), batch.column(3).take(at)],
+                ["w", "s", "n", "k1", "k2"],
             )
 
-    return docs.mapInArrow(run, "h long, k int, pos int, words int, k1 long, k2 long")
+    return sequences.mapInArrow(run, "w long, s int, n int, k1 long, k2 long")
 
 
-def deletions(keyed: DataFrame, least: int) -> DataFrame:
-    """``k1, k2, cut array<int>``: for documents (text, k1, k2) with aligned blocks, the
-    numbers of the non-blank lines to delete."""
-    lines = materialize(_lines(keyed), "lines")
-    first = (
-        lines.groupBy("h", "k")
-        .agg(F.min(F.struct("k1", "k2", "pos")).alias("f"), F.max(F.struct("k1", "k2")).alias("z"))
-        .where((F.col("f.k1") != F.col("z.k1")) | (F.col("f.k2") != F.col("z.k2")))
-        .select("h", "k", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.pos").alias("fpos"))
-    )
-    shared = lines.join(first, ["h", "k"]).where("k1 <> f1 or k2 <> f2")
-    found = shared.groupBy("k1", "k2").agg(F.collect_set(F.struct("f1", "f2", "pos", "fpos", "words")).alias("m"))
+def _align(pairs: DataFrame, sequences: DataFrame, least: int) -> DataFrame:
+    """``k1, k2, cut array<int>``: for later documents (k1, k2) of pairs with (f1, f2), the
+    numbers of the lines to delete.  Each pair is aligned over all its common lines."""
+    later = pairs.join(sequences, ["k1", "k2"])
+    first = sequences.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("keys").alias("fkeys"))
+    both = later.join(first, ["f1", "f2"]).select("k1", "k2", "keys", "words", "fkeys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, {}
         for batch in batches:
             cuts = []
-            for rows in batch.column(2).to_pylist():
-                pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for r in rows:
-                    pairs.setdefault((r["f1"], r["f2"]), []).append((r["pos"], r["fpos"], r["words"]))
-                cuts.append(sorted({p for ps in pairs.values() for p in aligned_blocks(ps, least)}))
+            for raw, size, fraw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if fraw != last:
+                    last, at = fraw, {key: p for p, key in enumerate(np.frombuffer(fraw, np.int64).tolist())}
+                words = np.frombuffer(size, np.int32).tolist()
+                common = [(p, at[key], words[p]) for p, key in enumerate(np.frombuffer(raw, np.int64).tolist()) if key in at]
+                cuts.append(aligned_blocks(common, least))
             out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, pa.list_(pa.int32()))], ["k1", "k2", "cut"])
             yield out.filter(pa.array([bool(c) for c in cuts], pa.bool_()))
 
-    return found.mapInArrow(run, "k1 long, k2 long, cut array<int>")
+    found = both.mapInArrow(run, "k1 long, k2 long, cut array<int>")
+    return found.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("cut"))
+
+
+def deletions(keyed: DataFrame, least: int, step: int = 8) -> DataFrame:
+    """``k1, k2, cut array<int>``: for documents (text, k1, k2) with aligned blocks, the
+    numbers of the non-blank lines to delete.  Runs that their first holder did not
+    delete go to the next ``step`` holders, then to ``step`` times as many, and so on."""
+    raw = materialize(_sequences(keyed), "lines")
+    sequences = raw.groupBy("k1", "k2").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
+    runs = materialize(_runs(raw, least), "runs")
+    first = (
+        runs.groupBy("w")
+        .agg(F.min(F.struct("k1", "k2")).alias("f"), F.max(F.struct("k1", "k2")).alias("z"))
+        .where((F.col("f.k1") != F.col("z.k1")) | (F.col("f.k2") != F.col("z.k2")))
+        .select("w", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"))
+    )
+    shared = materialize(runs.join(first, "w").where("k1 <> f1 or k2 <> f2"), "shared")
+    cuts = materialize(_align(shared.select("k1", "k2", "f1", "f2").distinct(), sequences, least), "cuts")
+
+    def uncut(rows: DataFrame, cut: DataFrame) -> DataFrame:
+        """Those of ``rows`` (lines array<int>) with lines that no pair deleted, by these lines."""
+        left = F.coalesce(F.array_except("lines", "cut"), F.col("lines"))
+        return rows.join(cut, ["k1", "k2"], "left").withColumn("lines", left).drop("cut").where(F.size("lines") > 0)
+
+    lines = F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)
+    open_ = materialize(uncut(shared.select("w", "k1", "k2", lines.alias("lines")).distinct(), cuts), "open")
+    if open_.isEmpty():
+        return cuts
+    order = F.row_number().over(Window.partitionBy("w").orderBy("k1", "k2"))
+    holders = shared.join(open_.select("w").distinct(), "w", "left_semi").select("w", "k1", "k2").distinct()
+    holders = materialize(holders.withColumn("r", order), "holders")
+    open_ = open_.join(holders, ["w", "k1", "k2"])
+    others = holders.select("w", F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("r").alias("fr"))
+    low, high = 0, step
+    while True:
+        open_ = materialize(open_.where(F.col("r") > low + 1), "open")
+        if open_.isEmpty():
+            break
+        pairs = open_.join(others.where((F.col("fr") > low) & (F.col("fr") <= high)), "w").where("fr < r")
+        more = materialize(_align(pairs.select("k1", "k2", "f1", "f2").distinct(), sequences, least), "cuts")
+        cuts = cuts.unionByName(more)
+        open_ = uncut(open_, more)
+        low, high = high, high * step
+    return cuts.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
 def cut_lines(text: str | None, cut: list[int] | None) -> str | None:
@@ -140,7 +232,7 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Documents are ordered by id, those without one last, ties by text hash.  Rows equal
     in id and text are one document and keep the same lines.  Null and empty texts have
     no lines.  Blank lines are never deleted and part no block.  A very long document is
-    one list of its shared lines.  An empty table gives no rows.
+    one list of its lines' keys.  An empty table gives no rows.
     """
     check_columns(docs, doc_id, text)
     names = docs.columns

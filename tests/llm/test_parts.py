@@ -175,6 +175,67 @@ def test_line_dedup(spark):
     assert out[5] == ("shared line of five words", 2, 1) and out[6][0] == ""
 
 
+def _cut_of_all_pairs(docs, least=5):
+    """doc_id: the number of deleted lines when every later document is aligned with every
+    earlier one that shares a line."""
+    numbered = []
+    for i, t in sorted(docs):
+        seen: dict = {}
+        rows = []
+        for x in (x.strip() for x in (t or "").split("\n") if x.strip()):
+            seen[x] = seen.get(x, -1) + 1
+            rows.append((x, seen[x]))
+        numbered.append((i, rows, {key: p for p, key in enumerate(rows)}))
+    out = {}
+    for n, (i, rows, _) in enumerate(numbered):
+        gone: set = set()
+        for _, _, at in numbered[:n]:
+            gone.update(linedup.aligned_blocks([(p, at[key], len(key[0].split())) for p, key in enumerate(rows) if key in at], least))
+        out[i] = len(gone)
+    return out
+
+
+def _cut(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r["__cut"] for r in linedup.remove_repeated_lines(df).collect()}
+
+
+def test_line_dedup_partners(spark):
+    """Blocks whose lines have earlier holders elsewhere, and lines crossed in the first holder."""
+    x, y = "one two three four five", "six seven eight nine ten"
+    docs = [
+        (1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"),
+        (11, "Les."), (12, "own a\nOf."), (13, "own b\nTo to."), (14, "own c\nMilk"), (15, "own d\nLes.\nOf.\nTo to.\nMilk"), (16, "own e\nLes.\nOf.\nTo to.\nMilk"),
+    ]
+    cut = _cut(spark, docs)
+    assert cut[3] == 2 and cut[16] == 4 and cut[15] == 0
+    assert cut == _cut_of_all_pairs(docs)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_is_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    lines = ["a", "b", "c d", "e f g", "h i j k l", "m n o p q r", "s t u v w x", "y"] + [f"rare {i}" for i in range(30)] + [f"rare line {i} of words" for i in range(30)]
+    weight = np.r_[np.full(8, 4.0), np.full(60, 0.3)]
+    docs = [(i, "\n".join(rng.choice(lines, rng.integers(1, 9), p=weight / weight.sum()))) for i in range(400)]
+    docs += [(i + 400, docs[int(j)][1]) for i, j in enumerate(rng.integers(0, 400, 60))]
+    assert _cut(spark, docs) == _cut_of_all_pairs(docs)
+
+
+def test_line_dedup_documents(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert _cut(spark, docs) == _cut_of_all_pairs(docs)
+
+
+@given(st.lists(st.integers(1, 7), max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_covering_runs(words):
+    runs = linedup.covering_runs(words, 5)
+    for a, b in itertools.combinations(range(len(words) + 1), 2):
+        if sum(words[a:b]) >= 5:
+            assert {p for s, e in runs if a <= s and e <= b for p in range(s, e)} == set(range(a, b))
+
+
 def test_forward_backward_is_enumeration():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 3, 4])
