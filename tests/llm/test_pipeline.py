@@ -55,6 +55,27 @@ def test_lines(steps):
     assert all(r.n_chars == len(r.text) for r in steps[1][1].where("text is not null").collect())
 
 
+def _copies(before):
+    """Ids of each set of equal texts that have the least words of a block."""
+    sets = {}
+    for i, t in sorted(before.items()):
+        if len((t or "").split()) >= 5:
+            sets.setdefault(t, []).append(i)
+    return [ids for ids in sets.values() if len(ids) > 1]
+
+
+def test_lines_keep_one_copy(spark, sf, steps):
+    """Of equal texts at most the first document is left after the line stage; those of
+    under five words, which no block may delete, go with the near copies."""
+    before, after = map(_texts, steps[1])
+    found = _copies(before)
+    assert found and not {i for ids in found for i in ids[1:]} & after.keys()
+    rows = [(1, "Les."), (2, "one two three four five\nsix seven eight nine ten"), (3, "own line of this text\nLes.\nlast line of this text"), (4, "six seven eight nine ten\none two three four five"), (5, "six seven eight nine ten\none two three four five"), (6, "own line of this text\nLes.\nlast line of this text")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {5, 6}.isdisjoint(_texts(P.dedup_lines(spark, made, sf)))
+    assert len(set(_texts(steps[2][1]).values())) == len(_texts(steps[2][1]))
+
+
 def test_near(steps):
     before, after = map(_texts, steps[2])
     ids = sorted(before)
