@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,14 +199,20 @@ def byte_alphabet() -> dict[int, str]:
 
 class Encoder:
     """Ids by the tokenizers library's byte-level BPE model, which is given one pre-token at
-    a time; one that was met before is not encoded again.  Strings of special tokens in a
-    text are ordinary text."""
+    a time; one that was met before is not encoded again.  As in the library, texts are
+    first cut at the vocabulary's added tokens, which have their own ids."""
 
     def __init__(self, data: bytes, end_id: int):
         import regex
 
         self.data, self.end = data, np.array([end_id], "<u4").tobytes()
         self.split, self.model = regex.compile(PATTERN), None
+        added = [t for t in json.loads(data)["added_tokens"] if t["content"]]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that are not plain strings")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = regex.compile(f"({'|'.join(map(regex.escape, longest))})")
         self.memo = TokenMemo(self._tokens, self.split, 700_000)
 
     def _tokens(self, tokens: list[str]) -> Iterator[bytes]:
@@ -230,11 +237,23 @@ class Encoder:
         ends = ends.tolist()
         return (raw[a:b] for a, b in zip(ends, ends[1:]))
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text and the end id, as unsigned 32-bit numbers."""
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts without added tokens."""
         pieces = byte_level_pieces(texts, self.split)
         ids, at = pieces.lay_out(self.memo.all(pieces.distinct), "<u4")
-        return [ids[a:b].tobytes() + self.end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text and the end id, as unsigned 32-bit numbers."""
+        if not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
+            return [raw + self.end for raw in self._plain(texts)]
+        parts, tokens = [], []
+        for t in texts.to_pylist():
+            cut = self.cut.split(t or "")
+            parts += cut[::2]
+            tokens.append([self.added[x] for x in cut[1::2]])
+        raws = iter(self._plain(pa.array(parts, texts.type)))
+        return [b"".join([next(raws), *chain.from_iterable((x, next(raws)) for x in own), self.end]) for own in tokens]
 
 
 _ENCODERS: dict[tuple[int, int], Encoder] = {}

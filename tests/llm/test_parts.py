@@ -318,3 +318,22 @@ def test_shards_merge(spark):
         want = [int(j) for j in np.lexsort((np.arange(900), far)) if j != q][:5]
         right += len(set(want) & {r.vec_id for r in found if r.query_id == q})
     assert right >= 0.9 * 5 * 18 and len(found) == 5 * 18
+
+
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    texts = ["plain text", f"a {end} b", end, f"a{end}{end}  b", f"x  {end} ", f"{end}\n\n y", f"cut <|endoftext| >{end[:-1]}", f"<{end}>", "", f" {end} 's{end}'s"]
+    with open(path, "rb") as f:
+        encoder = wavelet.Encoder(f.read(), 0)
+    whole = Tokenizer.from_file(path)
+    for got, t in zip(encoder.encode(pa.array([*texts, None])), [*texts, ""]):
+        assert np.frombuffer(got, "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_starts_count_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string")
+    rows = wavelet.token_table(docs, vocabulary("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    assert [(r.start, r.n_tokens) for r in rows] == [(0, 5), (5, 2)]
