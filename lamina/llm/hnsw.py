@@ -24,8 +24,7 @@ class Graph:
     none) of each row on layer l; upper layers are mostly -1 and have half the width."""
 
     def __init__(self, vectors: np.ndarray, m: int = 12, width: int = 80, seed: int = 7):
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        self._hold(vectors)
         self.m, self.width = m, width
         n = len(self.x)
         draw = np.random.default_rng(seed).random(n)
@@ -39,14 +38,20 @@ class Graph:
     @classmethod
     def stored(cls, vectors: np.ndarray, links: list[np.ndarray], entry: int) -> Graph:
         self = cls.__new__(cls)
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        self._hold(vectors)
         self.links, self.entry = links, entry
         return self
 
+    def _hold(self, vectors: np.ndarray) -> None:
+        """Vectors in double precision over a power of two, so that squares do not overflow."""
+        x = np.asarray(vectors, np.float64)
+        self.power = int(np.frexp(np.abs(x).max(initial=0.0))[1])
+        self.x = np.ldexp(x, -self.power)
+
     def _near(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Squared distances less the query's own square."""
-        return self.norm[rows] - 2 * (self.x[rows] @ q)
+        """Squared distances, of differences: they do not cancel far from the origin."""
+        apart = self.x[rows] - q
+        return np.einsum("ij,ij->i", apart, apart)
 
     def _layer(self, q: np.ndarray, starts: list[tuple[float, int]], width: int, layer: int) -> list[tuple[float, int]]:
         """The ``width`` nearest found from the starts, nearest first."""
@@ -77,17 +82,17 @@ class Graph:
                     push(open_, (e, j))
         return sorted((-d, i) for d, i in best)
 
-    def _choose(self, found: list[tuple[float, int]], most: int) -> list[int]:
+    def _choose(self, q: np.ndarray, found: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours that are nearer to the node than to any chosen before; the nearest
         of the rest fill up."""
         if len(found) <= most:
             return [i for _, i in found]
         rows = np.array([i for _, i in found])
-        x = self.x[rows]
-        apart = self.norm[rows][:, None] + self.norm[rows] - 2 * (x @ x.T)
+        x = self.x[rows] - q
+        own = np.einsum("ij,ij->i", x, x)
+        apart = own[:, None] + own - 2 * (x @ x.T)
         kept: list[int] = []
         closest = np.full(len(rows), np.inf)
-        own = np.array([d for d, _ in found]) + self._own
         for k in range(len(rows)):
             if own[k] < closest[k]:
                 kept.append(k)
@@ -110,9 +115,8 @@ class Graph:
             now = self._layer(q, now, 1, lay)
         for lay in range(min(top, level), -1, -1):
             now = self._layer(q, now, self.width, lay)
-            self._own = self.norm[i]
             links = self.links[lay]
-            chosen = self._choose(now, self.m)
+            chosen = self._choose(q, now, self.m)
             links[i, : len(chosen)] = chosen
             for j in chosen:
                 row = links[j]
@@ -123,21 +127,26 @@ class Graph:
                     around = np.append(row, np.int32(i))
                     d = self._near(self.x[j], around)
                     order = np.argsort(d, kind="stable")
-                    self._own = self.norm[j]
-                    keep = self._choose(list(zip(d[order].tolist(), around[order].tolist())), len(row))
+                    keep = self._choose(self.x[j], list(zip(d[order].tolist(), around[order].tolist())), len(row))
                     row[:] = -1
                     row[: len(keep)] = keep
         if level > top:
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, width: int) -> list[int]:
+    def found(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest nodes that are found and their distances."""
         if not len(self.x):
-            return []
-        q = q.astype(np.float32)
+            return np.zeros(0, np.int64), np.zeros(0)
+        q = np.ldexp(np.asarray(q, np.float64), -self.power)
         now = [(float(self._near(q, np.array([self.entry]))[0]), self.entry)]
         for lay in range(len(self.links) - 1, 0, -1):
             now = self._layer(q, now, 1, lay)
-        return [i for _, i in self._layer(q, now, max(width, k), 0)[:k]]
+        rows = np.array([i for _, i in self._layer(q, now, width, 0)], np.int64)
+        return rows, np.ldexp(np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1)), self.power)
+
+    def search(self, q: np.ndarray, k: int, width: int) -> list[int]:
+        rows, far = self.found(q, max(width, k))
+        return rows[np.argsort(far, kind="stable")[:k]].tolist()
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -205,9 +214,9 @@ def _search(index: DataFrame, queries: list[tuple[int, list[float]]], m: int, k:
                 out: list[tuple[int, list[int], float]] = []
                 for q, v in shared.value:
                     if len(v) == dim:
-                        found = g.search(v, k, width)
-                        far = np.sqrt(((x[found] - v) ** 2).sum(axis=1))
-                        out += [(q, row["ids"][i], float(d)) for i, d in zip(found, far)]
+                        found, far = g.found(v, max(width, k))
+                        best = sorted((d, row["ids"][i]) for i, d in zip(found.tolist(), far.tolist()))
+                        out += [(q, ids, d) for d, ids in best[:k]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.float64())],
                     ["q", "ids", "score"],

@@ -306,6 +306,22 @@ def test_graph_recall():
     assert hnsw.Graph(x[:1]).search(x[0], 5, 10) == [0]
 
 
+@pytest.mark.parametrize("shift,scale", [(1000.0, 1.0), (0.0, 1e30), (1e30, 1e20), (0.0, 1e200)])
+def test_graph_recall_anywhere(shift, scale):
+    """Vectors away from the origin, and large ones, are found as well as centred ones."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16)) * scale + shift
+    x[0] = shift - 30 * scale
+    g = hnsw.Graph(x)
+    hits = 0
+    for q in rng.normal(size=(30, 16)) * scale + shift:
+        want = set(np.argsort((((x - q) / scale) ** 2).sum(axis=1))[:10].tolist())
+        hits += len(want & set(g.search(q, 10, 128)))
+        rows, far = g.found(q, 128)
+        assert len(rows) == 128 and far == pytest.approx(scale * np.sqrt((((x[rows] - q) / scale) ** 2).sum(axis=1)))
+    assert hits >= 0.9 * 300
+
+
 def test_shards_merge(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(900, 8)), 1)
