@@ -16,14 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns
-from lamina.llm.segment import PATTERN, TokenMemo, byte_level_pieces, slices
+from lamina.llm.segment import TokenStore, slices
 
 
 class PerfectHash:
@@ -126,9 +125,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder over a rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int]):
         self.whole, self.ranks = PerfectHash(ranks), ranks
-        self.pattern = pattern
         size = max(ranks.values(), default=-1) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for k, v in ranks.items():
@@ -136,8 +134,7 @@ class ByteBPE:
         self._start()
 
     def _start(self) -> None:
-        self.split = regex.compile(self.pattern)
-        self.memo = TokenMemo(self._tokens, self.split, 450_000)
+        self.store = TokenStore(self._tokens)
         size = len(self.bytes_of)
         width = len(str(size)) + 1
         self.digits = np.array([f"{i} ".encode() for i in range(size)], dtype=f"S{width}").view(np.uint8).reshape(size, width)
@@ -146,23 +143,28 @@ class ByteBPE:
         self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def __getstate__(self):
-        return self.whole, self.ranks, self.pattern, self.bytes_of
+        return self.whole, self.ranks, self.bytes_of
 
     def __setstate__(self, state):
-        self.whole, self.ranks, self.pattern, self.bytes_of = state
+        self.whole, self.ranks, self.bytes_of = state
         self._start()
 
-    def _tokens(self, tokens: list[str]) -> Iterator[bytes]:
-        get = self.whole.get
-        for token in tokens:
-            raw = token.encode()
+    def _tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        get, ranks, flat, size = self.whole.get, self.ranks, array("I"), []
+        for raw in tokens.cast(pa.binary()).to_pylist():
             one = get(raw)
-            yield array("I", [one] if one >= 0 else merge(raw, self.ranks)).tobytes()
+            if one >= 0:
+                flat.append(one)
+                size.append(1)
+            else:
+                ids = merge(raw, ranks)
+                flat.extend(ids)
+                size.append(len(ids))
+        return np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), np.array(size, np.int64)
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        pieces = byte_level_pieces(texts, self.split)
-        ids, at = pieces.lay_out(self.memo.all(pieces.distinct), np.uint32)
+        ids, at = self.store.encode(texts)
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns
-from lamina.llm.segment import Memo, Pieces, slices
+from lamina.llm.segment import Memo, marked_pieces, slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores so much less than the least piece
@@ -101,8 +101,8 @@ class PieceCounter:
         def regular(t: pa.Array, mark: str) -> pa.Array:
             return pc.replace_substring(pc.replace_substring(t, SPACE, mark + SPACE), "\n", f"{mark}\n{mark}")
 
-        pieces = Pieces(texts, regular, pc.match_substring(texts, SPACE * 2), self.cut.findall)
-        made = self.memo.all(pieces.distinct)
+        pieces = marked_pieces(texts, regular, pc.match_substring(texts, SPACE * 2), self.cut.findall)
+        made = self.memo.all(pieces.distinct())
         return pieces.sums(np.array([m[0] for m in made], np.int64)), pieces.sums(np.array([m[1] for m in made], np.float64))
 
     def count(self, text: str | None) -> tuple[int, float]:
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], byte_fallback: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 20 << 20):
                 n, score = shared.value.count_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(score)], ["doc_id", "n_tokens", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import check_columns, materialize, new_path
-from lamina.llm.segment import PATTERN, TokenMemo, byte_level_pieces, slices
+from lamina.llm.segment import TokenStore, slices
 
 MAGIC = b"LWM1"
 BLOCK = 1 << 16  # bits of a block
@@ -199,61 +199,47 @@ def byte_alphabet() -> dict[int, str]:
 
 class Encoder:
     """Ids by the tokenizers library's byte-level BPE model, which is given one pre-token at
-    a time; one that was met before is not encoded again.  As in the library, texts are
-    first cut at the vocabulary's added tokens, which have their own ids."""
+    a time; one that is held is not encoded again.  As in the library, texts are first cut
+    at the vocabulary's added tokens, which have their own ids."""
 
     def __init__(self, data: bytes, end_id: int):
         import regex
+        from tokenizers import Tokenizer
 
-        self.data, self.end = data, np.array([end_id], "<u4").tobytes()
-        self.split, self.model = regex.compile(PATTERN), None
-        added = [t for t in json.loads(data)["added_tokens"] if t["content"]]
+        whole = json.loads(data)
+        if whole["normalizer"] or whole["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("not a plain byte-level vocabulary")
+        added = [t for t in whole["added_tokens"] if t["content"]]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that are not plain strings")
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.model, shown = Tokenizer.from_buffer(data).model, byte_alphabet()
+        self.alphabet, self.parted = np.array([ord(shown[b]) for b in range(256)], "<u4"), shown[255]
+        self.end = np.array([end_id], np.uint32)
+        self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, longest))})")
-        self.memo = TokenMemo(self._tokens, self.split, 700_000)
-
-    def _tokens(self, tokens: list[str]) -> Iterator[bytes]:
-        if self.model is None:
-            from tokenizers import Tokenizer
-
-            whole = json.loads(self.data)
-            if whole["normalizer"] or whole["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-                raise ValueError("not a plain byte-level vocabulary")
-            self.model, self.alphabet = Tokenizer.from_buffer(self.data).model, byte_alphabet()
-        tokenize, alphabet = self.model.tokenize, self.alphabet
-        space = alphabet[32]
-        ids = []
-        for t in tokens:
-            if t.isascii() and (t[1:] if t[:1] == " " else t).isalpha():
-                t = space + t[1:] if t[0] == " " else t
-            else:
-                t = t.encode().decode("latin-1").translate(alphabet)
-            ids.append([x.id for x in tokenize(t)])
-        ends = np.cumsum([0, *map(len, ids)]) * 4
-        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4).tobytes()
-        ends = ends.tolist()
-        return (raw[a:b] for a, b in zip(ends, ends[1:]))
-
-    def _plain(self, texts: pa.Array) -> list[bytes]:
-        """The ids of texts without added tokens."""
-        pieces = byte_level_pieces(texts, self.split)
-        ids, at = pieces.lay_out(self.memo.all(pieces.distinct), "<u4")
-        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
+        self.store = TokenStore(self._tokens)
+
+    def _tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"\xff".join(tokens.cast(pa.binary()).to_pylist()), np.uint8)  # no text has the byte
+        shown = self.alphabet[raw].tobytes().decode("utf-32-le").split(self.parted) if len(tokens) else []
+        ids = [[x.id for x in made] for made in map(self.model.tokenize, shown)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text and the end id, as unsigned 32-bit numbers."""
         if not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
-            return [raw + self.end for raw in self._plain(texts)]
+            ids, at = self.store.encode(texts)
+            return [np.append(ids[a:b], self.end) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         parts, tokens = [], []
         for t in texts.to_pylist():
             cut = self.cut.split(t or "")
             parts += cut[::2]
             tokens.append([self.added[x] for x in cut[1::2]])
-        raws = iter(self._plain(pa.array(parts, texts.type)))
-        return [b"".join([next(raws), *chain.from_iterable((x, next(raws)) for x in own), self.end]) for own in tokens]
+        ids, at = self.store.encode(pa.array(parts, pa.string()))
+        plain = iter([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+        return [np.concatenate([next(plain), *chain.from_iterable((x, next(plain)) for x in own), self.end]) for own in tokens]
 
 
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
@@ -288,8 +274,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc
 
         def close() -> pa.RecordBatch:
             nonlocal ids, raws, held, shard
-            lengths = np.array([len(r) // 4 for r in raws], np.int64)
-            file = build(np.frombuffer(b"".join(raws), "<u4"), ids, lengths)
+            file = build(np.concatenate(raws), ids, np.array([len(r) for r in raws], np.int64))
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([file], pa.binary())],
                 ["part", "shard", "docs", "tokens", "file"],
@@ -302,7 +287,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, doc_id: str = "doc
                 for d, raw in zip(block.column(0).to_pylist(), encoder.encode(block.column(1))):
                     ids.append(d)
                     raws.append(raw)
-                    held += len(raw) // 4
+                    held += len(raw)
                     if held >= shard_tokens:
                         yield close()
         if ids:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, components, decontaminate, hnsw, lattice, linedup, quality, simhash, unigram, wavelet
+from lamina.llm import bpe, components, decontaminate, hnsw, lattice, linedup, quality, segment, simhash, unigram, wavelet
 from lamina.llm.queries import vocabulary
 from tests.llm import brute
 
@@ -27,7 +27,7 @@ def coder():
 def library(coder):
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=coder.pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=segment.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
 
 
 @given(st.lists(TEXT, min_size=1, max_size=5))
@@ -38,6 +38,26 @@ def test_bpe_is_the_library(coder, library, texts):
     assert [coder.decode(i) for i in ids] == [t.encode() for t in texts]
 
 
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("abstmdrevl''\" \n\t\x85\u3000\x1c1²!é日🙂\u0308"), max_size=16)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_pretokens_are_the_patterns_matches(texts):
+    import regex
+
+    pieces = segment.pretokens(pa.array([None, "x", *texts], pa.string()).slice(2))
+    own = pieces.distinct()
+    got = [[own[c] for c in pieces.codes[a:b]] for a, b in zip(pieces.starts, pieces.starts[1:])]
+    assert got == [regex.findall(segment.PATTERN, t or "") for t in texts]
+
+
+def test_store_forgets(coder):
+    texts = pa.array([f"w{i % 50} x{i} w{i % 50}, x{i}" for i in range(400)])
+    want = [i.tolist() for i in coder.encode_all(texts)]
+    small = bpe.ByteBPE(coder.ranks)
+    small.store.limit = 20
+    got = [i.tolist() for k in range(0, 400, 16) for i in small.encode_all(texts.slice(k, 16))]
+    assert got == want and len(small.store.place) < 200
+
+
 def test_perfect_hash(coder):
     h = coder.whole
     assert sorted(h.ids) == list(range(h.n)) and all(h.get(k) == v for k, v in coder.ranks.items())
@@ -53,7 +73,7 @@ def test_token_ids_are_the_library(texts):
     with open(path, "rb") as f:
         mine = wavelet.Encoder(f.read(), 0).encode(pa.array(texts))
     t = Tokenizer.from_file(path)
-    assert [np.frombuffer(m, "<u4").tolist() for m in mine] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert [m.tolist() for m in mine] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
 @pytest.mark.parametrize("n,sigma", [(0, 1), (1, 1), (70_000, 1), (200_000, 900), (5_000, 70_000)])
