@@ -57,7 +57,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         body = b"".join(blocks)
         sizes.append([len(before), len(ends), len(body)])
         parts += [before, ends, body]
-        now = np.concatenate((now[~bits], now[bits]))
+        now = np.concatenate((np.compress(~bits, now), np.compress(bits, now)))  # by places: bits are hard to guess
     known = [d is not None for d in doc_ids]
     head = {"n": len(ids), "docs": len(doc_ids), "sigma": len(alphabet), "zeros": zeros, "planes": sizes, "no_id": [i for i, k in enumerate(known) if not k]}
     text = json.dumps(head).encode()
@@ -182,9 +182,10 @@ class WaveletMatrix:
             unpack = zstandard.ZstdDecompressor().decompress
             raw = b"".join(unpack(body[s:e].tobytes()) for s, e in zip(starts, ends.tolist()))
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n].view(bool)
-            up = np.empty_like(code)
-            up[~bits] = code[: self.zeros[p]]
-            up[bits] = code[self.zeros[p] :] | (1 << (depth - 1 - p))
+            up, few = np.empty_like(code), self.zeros[p]
+            even = self.n < 8 * min(few, self.n - few)  # then places are faster than flags
+            up[np.flatnonzero(~bits) if even else ~bits] = code[:few]
+            up[np.flatnonzero(bits) if even else bits] = code[few:] | (1 << (depth - 1 - p))
             code = up
         return self.alphabet[code] if self.n else np.zeros(0, "<u4")
 
@@ -213,7 +214,7 @@ class Encoder:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that are not plain strings")
         self.model, shown = Tokenizer.from_buffer(data).model, byte_alphabet()
-        self.alphabet, self.parted = np.array([ord(shown[b]) for b in range(256)], "<u4"), shown[255]
+        self.alphabet = np.array([ord(shown[b]) for b in range(256)], "<u4")
         self.end = np.array([end_id], np.uint32)
         self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
         longest = sorted(self.added, key=len, reverse=True)
@@ -221,9 +222,13 @@ class Encoder:
         self.store = TokenStore(self._tokens)
 
     def _tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"\xff".join(tokens.cast(pa.binary()).to_pylist()), np.uint8)  # no text has the byte
-        shown = self.alphabet[raw].tobytes().decode("utf-32-le").split(self.parted) if len(tokens) else []
-        ids = [[x.id for x in made] for made in map(self.model.tokenize, shown)]
+        if not len(tokens):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        _, offsets, data = tokens.buffers()
+        at = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+        shown = self.alphabet[np.frombuffer(data, np.uint8)[at[0] : at[-1]]].tobytes().decode("utf-32-le")  # a character a byte
+        at = (at - at[0]).tolist()
+        ids = [[x.id for x in self.model.tokenize(shown[a:b])] for a, b in zip(at, at[1:])]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
