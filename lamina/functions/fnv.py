@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,8 +45,14 @@ def lane_xor_mask(digest_hex: Column | str, bits: int, lanes: int = 5) -> Column
     return reduce(lambda a, b: a.bitwiseXOR(b), parts).bitwiseAND(F.lit((1 << bits) - 1)) == 0
 
 
-def gear_hash(data: Column, table_seed: int = 0) -> Column:
-    """A gear hash over bytes: shift, then add a word for the byte; the words come from a rule."""
+def word_table(seed: bytes = b"", bits: int = 32) -> list[int]:
+    """A word for each byte, from a rule: the digest of seed and the byte's decimal digits."""
+    return [int.from_bytes(hashlib.sha256(seed + str(i).encode()).digest()[: bits // 8], "big") for i in range(256)]
+
+
+def gear_hash(data: Column, seed: bytes = b"gear") -> Column:
+    """A 32-bit gear hash over bytes: shift, then add the byte's word of ``word_table``."""
+    words = F.array(*(F.lit(w).cast("long") for w in word_table(seed)))
     digits = F.hex(data)
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, b: (h * 2 + F.xxhash64(b, F.lit(table_seed)).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, b: (h * 2 + F.get(words, b)).bitwiseAND(F.lit(MASK)))

@@ -3,43 +3,43 @@
 Whether a chunk closes after an entry depends on the entry alone, so chunk numbers are
 running counts of closing entries, and equal contents make equal chunks and an equal
 root whatever the order of edits or the partitions.  Rules that count from the last cut
-(clamps, the rolling hash) need the whole sequence; they stream it through one task.
+(clamps, the rolling hash, masks by size) run range by range, see ``sequential``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lamina.functions import encoding as E
 from lamina.functions import fnv
 from lamina.model import TableSpec
+from lamina.operators import sequential
 from lamina.operators.ranges import running
+from lamina.sources.shared import discard, materialize
 
 
 def partition(df: DataFrame, keys: list[str], closes: Column, name: str = "chunk") -> DataFrame:
     """df with the number of each row's chunk: the closing rows before it."""
-    return running(df, keys, closes.cast("int"), name)
+    return running(df, keys, **{name: closes.cast("int")})
 
 
 def entries(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select("*", E.entry(*spec.columns).alias("entry"))
 
 
-def _closes(spec: TableSpec, bits: int) -> Column:
-    if len(spec.keys) == 1:
-        return fnv.is_boundary(spec.keys[0], bits)
+def closing(spec: TableSpec, bits: int) -> Column:
+    """The boundary test for keys of any types and number: on the address of the key."""
     return fnv.address_boundary(E.address(E.entry(*spec.keys)), bits)
 
 
 def leaf_chunks(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None) -> DataFrame:
     """``chunk, n, first_key, last_key, address``: a row for each leaf; keys are structs."""
-    rows = entries(partition(df, list(spec.keys), closes if closes is not None else _closes(spec, bits)), spec)
+    rows = entries(partition(df, list(spec.keys), closes if closes is not None else closing(spec, bits)), spec)
     whole = F.array_sort(F.collect_list(F.struct(spec.key().alias("k"), F.col("entry").alias("e"))))
     return (
         rows.groupBy("chunk")
@@ -51,18 +51,16 @@ def leaf_chunks(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None
 def chunk_rows(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None) -> DataFrame:
     """The rows with the address of their chunk.  Addresses are made where the rows of a
     chunk already meet, so rows are dealt by chunk once."""
-    rows = entries(partition(spec.select(df), list(spec.keys), closes if closes is not None else _closes(spec, bits)), spec)
+    rows = entries(partition(spec.select(df), list(spec.keys), closes if closes is not None else closing(spec, bits)), spec)
     kept = F.array_sort(F.collect_list(F.struct(spec.key().alias("k"), F.col("entry").alias("e"), spec.value().alias("v"))))
     chunks = rows.groupBy("chunk").agg(kept.alias("es"))
     chunks = chunks.select(E.address(F.array_join(F.transform("es", lambda x: x["e"]), "")).alias("address"), F.explode("es").alias("x"))
     return chunks.select("address", "x.k.*", "x.v.*")
 
 
-def parent_level(level: DataFrame, bits: int) -> DataFrame:
+def parent_level(level: DataFrame, bits: int, ranges: int | None = None) -> DataFrame:
     """The level above ``(pos, n, address, last_key, first_key)``: ``pos`` numbers in order."""
-    over = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = level.withColumn("chunk", F.coalesce(F.sum(fnv.address_boundary("address", bits).cast("long")).over(over), F.lit(0)))
-    return _pack(marked)
+    return _pack(running(level, ["pos"], ranges, chunk=fnv.address_boundary("address", bits).cast("long")))
 
 
 def _pack(marked: DataFrame) -> DataFrame:
@@ -83,24 +81,31 @@ def tree(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None
     """The levels, leaves first, until one node is left.  Each level is some 2**bits times
     smaller than the one below; a level whose entries all close would not shrink, and is
     packed into one node.  Empty tables have one leaf over nothing."""
-    from lamina.sources.shared import materialize
-
     leaves = materialize(
         leaf_chunks(df, spec, bits, closes).select(
             F.col("chunk").alias("pos"), "n", "first_key", "last_key", "address", F.lit(None).cast("array<string>").alias("children"), F.lit(None).cast("array<long>").alias("child_n")
         ),
         "level",
     )
-    levels, size = [leaves], leaves.count()
+    return [leaves, *levels_above(leaves, bits)]
+
+
+#: Nodes of a level that one task numbers.
+PER_TASK = 100_000
+
+
+def levels_above(level: DataFrame, bits: int) -> list[DataFrame]:
+    """The written levels above a written one, up to the root."""
+    size, out = level.count(), []
     while size > 1:
-        up = materialize(parent_level(levels[-1], bits), "level")
+        up = materialize(parent_level(level, bits, -(-size // PER_TASK)), "level")
         new = up.count()
         if new >= size:
-            up = materialize(_pack(levels[-1].withColumn("chunk", F.lit(0).cast("long"))), "level")
-            new = 1
-        levels.append(up)
-        size = new
-    return levels
+            discard(up)
+            up, new = materialize(_pack(level.withColumn("chunk", F.lit(0).cast("long"))), "level"), 1
+        out.append(up)
+        level, size = up, new
+    return out
 
 
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()[: E.ADDRESS_HEX]
@@ -172,7 +177,7 @@ def changed_chunks(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def subtree_counts(level: DataFrame, order: str = "chunk") -> DataFrame:
     """Each chunk's entries and the prefix sum through it."""
-    return running(level, [order], F.col("n"), "before").withColumn("prefix_count", F.col("before") + F.col("n")).drop("before")
+    return running(level, [order], before=F.col("n")).withColumn("prefix_count", F.col("before") + F.col("n")).drop("before")
 
 
 def size_stats(level: DataFrame, column: str = "n") -> DataFrame:
@@ -181,163 +186,129 @@ def size_stats(level: DataFrame, column: str = "n") -> DataFrame:
     return level.agg(
         F.count(c).alias("chunks"),
         F.avg(c).alias("mean"),
+        F.stddev_samp(c).alias("sd"),
         *(F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY {column}) AS BIGINT)").alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))),
         F.min(c).alias("smallest"),
         F.max(c).alias("largest"),
     )
 
 
-def _stream(df: DataFrame, key: str, cutter: Callable[[], Callable[[int], list[tuple[int, int]]]]) -> DataFrame:
-    """``key, chunk`` by a rule that walks the keys in order.  One task sees the ordered
-    keys batch by batch and holds one open chunk."""
+def clamped(df: DataFrame, keys: list[str], closes: Column, least: int, most: int | None, weight: Column | None = None) -> DataFrame:
+    """``keys, chunk`` of chunks of ``least`` to ``most`` rows: earlier boundaries do not count,
+    and a full chunk closes anyhow.  With a ``weight`` it closes after its row of smallest
+    weight (the first of equal ones), so the forced cut too depends on content."""
+    marks = [closes.alias("closes")] + ([weight.cast("long").alias("weight")] if weight is not None else [])
+    return sequential.chunk_by(df.select(*keys, *marks), keys, sequential.clamp(least, most, weight is not None))
+
+
+def second_hash(key: Column | str) -> Column:
+    """The hash that places forced cuts."""
+    return fnv.key_hash(key, seed=b"h2:")  # fixed value: the seed
+
+
+def rolling_table(seed: bytes = b"", bits: int = 32) -> list[int]:
+    """256 words for a rolling hash, from a rule: the digests of seed and the byte's number in
+    decimal digits.  Other tables can be given wherever one is used."""
+    return fnv.word_table(seed, bits)
+
+
+#: Fixed values of the production splitter: bytes hashed, least and greatest chunk size, bits that must be set at first.
+WINDOW, LEAST, MOST, FIRST_BITS = 67, 512, 16384, 15
+
+
+def level_salt(level: int) -> int:
+    """The byte that is laid over every byte of a tree level, so that levels cut apart."""
+    return hashlib.sha512(bytes([level & 255])).digest()[0]
+
+
+def rolling_rule(level: int = 0, table: list[int] | None = None, window: int = WINDOW, least: int = LEAST, most: int = MOST, first_bits: int = FIRST_BITS) -> sequential.Rule:
+    """Cuts by a cyclic-polynomial hash of the last ``window`` bytes.
+
+    A byte cuts if the low bits of its hash are all set: ``first_bits`` of them in a chunk's
+    first KiB and one less in each that follows, so a cut is certain where none are left.
+    Bytes are salted by the tree level.  Entries are not split."""
+    if least < window:
+        raise ValueError("a chunk is at least a window")
+    words = np.array(table or rolling_table(), np.uint32)[np.arange(256) ^ level_salt(level)]
+
+    def test(bits: int) -> Callable[[np.ndarray], np.ndarray]:
+        mask = np.uint32((1 << bits) - 1)
+        return lambda h: h & mask == mask
+
+    return sequential.by_size(least, most, lambda raw: sequential.cyclic_hashes(raw, words, window), [(k << 10, test(first_bits - k)) for k in range(first_bits + 1)])
+
+
+def gear_rule(least: int, target: int, most: int, strict: int, loose: int, table: list[int] | None = None) -> sequential.Rule:
+    """Cuts where the top bits of a gear hash are zero: ``strict`` of them below the
+    ``target`` size, ``loose`` from there on."""
+    if least < 64:
+        raise ValueError("a chunk is at least 64 bytes")
+    words = np.array(table or rolling_table(b"gear", 64), np.uint64)
+    tests = [(size, lambda h, shift=np.uint64(64 - bits): h >> shift == 0) for size, bits in ((0, strict), (target, loose))]
+    return sequential.by_size(least, most, lambda raw: sequential.gear_hashes(raw, words), tests)
+
+
+def masked(df: DataFrame, keys: list[str], size: Column, mix: Column, least: int, target: int, most: int, strict: int, loose: int) -> DataFrame:
+    """``keys, chunk`` by a mask on a number for each key (its first word, or its words'
+    exclusive or): ``strict`` low bits zero below the ``target`` size in bytes, ``loose`` above."""
+
+    def rule(rows) -> list[int]:
+        upto = np.cumsum(rows.column("size").to_numpy())
+        number = rows.column("mix").to_numpy()
+        zero = {b: np.flatnonzero(number & ((1 << b) - 1) == 0) for b in (strict, loose)}
+        ends: list[int] = []
+        at = 0
+
+        def first(bits: int, low: int, high: int) -> int | None:
+            """The first row that ends between the sizes and meets the mask."""
+            k = int(np.searchsorted(zero[bits], np.searchsorted(upto, at + low)))
+            return int(zero[bits][k]) if k < len(zero[bits]) and upto[zero[bits][k]] < at + high else None
+
+        while True:
+            row = first(strict, least, target)
+            if row is None:
+                row = first(loose, max(least, target), most)
+            if row is None:
+                row = int(np.searchsorted(upto, at + most))
+            if row >= len(upto):
+                return ends
+            ends.append(row + 1)
+            at = int(upto[row])
+
+    return sequential.chunk_by(df.select(*keys, size.cast("long").alias("size"), mix.cast("long").alias("mix")), keys, rule)
+
+
+def rolling_chunks(df: DataFrame, spec: TableSpec, level: int = 0, table: list[int] | None = None, rule: sequential.Rule | None = None) -> DataFrame:
+    """``keys, chunk`` by the rolling hash (or another rule on bytes) over canonical entries."""
+    rows = df.select(*spec.keys, E.entry(*spec.columns).cast("binary").alias("entry"))
+    return sequential.chunk_by(rows, list(spec.keys), rule or rolling_rule(level, table))
+
+
+def stream_ends(data: bytes, rule: sequential.Rule, entry_size: int = 1) -> list[int]:
+    """End offsets of closed chunks of a byte stream of equal entries."""
+    import pyarrow as pa
+
+    entries = [data[i : i + entry_size] for i in range(0, len(data), entry_size)]
+    return [min(e * entry_size, len(data)) for e in rule(pa.table({"entry": pa.array(entries, pa.binary())}))]
+
+
+def counter_stream(n: int) -> bytes:
+    """n bytes that look random, the same everywhere: digests of a running 4-byte number."""
+    return b"".join(hashlib.sha256(i.to_bytes(4, "little")).digest() for i in range(-(-n // 32)))[:n]
+
+
+def plain_cuts(data: bytes, window: int = 48, bits: int = 6, table: list[int] | None = None) -> list[int]:
+    """Places at which the hash of the bytes up to there ends in ``bits`` zeros, from the
+    first whole window on: no sizes, no salt."""
+    found = sequential.cyclic_hashes(np.frombuffer(data, np.uint8), np.array(table or rolling_table(), np.uint32), window)
+    return (np.flatnonzero(found[window:] & np.uint32((1 << bits) - 1) == 0) + window).tolist()
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = cutter()
-        for batch in batches:
-            out = [r for k in batch.column(0).to_pylist() for r in step(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], [key, "chunk"])
-        out = step(None)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], [key, "chunk"])
-
-    ordered = df.select(F.col(key).cast("long").alias(key)).repartition(1).sortWithinPartitions(key)
-    return ordered.mapInArrow(run, f"`{key}` long, chunk long")
-
-
-def _fnv(data: bytes) -> int:
-    h = fnv.OFFSET
-    for b in data:
-        h = ((h ^ b) * fnv.PRIME) & fnv.MASK
-    return h
-
-
-def clamped(df: DataFrame, key: str, bits: int, least: int, most: int | None) -> DataFrame:
-    """Chunks of ``least`` to ``most`` keys: earlier boundaries do not count, and a full
-    chunk closes anyhow."""
-    mask = (1 << bits) - 1
-
-    def cutter():
-        chunk = size = 0
-
-        def step(k):
-            nonlocal chunk, size
-            if k is None:
-                return []
-            row = (k, chunk)
-            size += 1
-            if size >= least and _fnv((k & fnv.MASK).to_bytes(4, "little")) & mask == 0 or most is not None and size >= most:
-                chunk, size = chunk + 1, 0
-            return [row]
-
-        return step
-
-    return _stream(df, key, cutter)
-
-
-def content_clamped(df: DataFrame, key: str, bits: int, least: int, most: int) -> DataFrame:
-    """As ``clamped``, but a full chunk closes after its key of the smallest second hash, so
-    the forced cut too depends on content."""
-    mask = (1 << bits) - 1
-
-    def cutter():
-        held: list[int] = []
-        chunk = 0
-
-        def step(k):
-            nonlocal held, chunk
-            if k is None:
-                return [(x, chunk) for x in held]
-            held.append(k)
-            if len(held) >= least and _fnv((k & fnv.MASK).to_bytes(4, "little")) & mask == 0:
-                cut = len(held)
-            elif len(held) >= most:
-                cut = 1 + min(range(len(held)), key=lambda i: (_fnv(b"h2:" + (held[i] & fnv.MASK).to_bytes(4, "little")), held[i]))
-            else:
-                return []
-            out = [(x, chunk) for x in held[:cut]]
-            held, chunk = held[cut:], chunk + 1
-            return out
-
-        return step
-
-    return _stream(df, key, cutter)
-
-
-def rolling_table(seed: bytes = b"") -> list[int]:
-    """256 words for a rolling hash, from a rule: the digests of seed and byte number.  Other
-    tables can be given wherever one is used."""
-    return [int.from_bytes(hashlib.sha256(seed + bytes([i])).digest()[:4], "big") for i in range(256)]
-
-
-class RollingSplitter:
-    """Boundaries in a byte stream by a cyclic-polynomial hash of the last ``window`` bytes.
-
-    No chunk is under ``least`` bytes but the last.  A cut needs 15 low bits of the hash
-    set at first and one less for each further KiB, so it is certain by 15 KiB.  Bytes
-    are salted by the tree level.  Entries are not split: a chunk closes after the entry
-    in which a boundary fell."""
-
-    def __init__(self, level: int = 0, table: list[int] | None = None, window: int = 67, least: int = 512, most: int = 16384):
-        self.table = table or rolling_table()
-        self.salt = hashlib.sha512(bytes([level & 255])).digest()[0]
-        self.window, self.least, self.most = window, least, most
-        self.turn = window % 32
-        self.reset()
-
-    def reset(self) -> None:
-        self.offset, self.hash, self.crossed, self.last = 0, 0, False, bytearray()
-
-    def append(self, data: bytes) -> bool:
-        for raw in data:
-            self.offset += 1
-            if self.crossed:
-                continue
-            b = raw ^ self.salt
-            h = (self.hash << 1 | self.hash >> 31) & fnv.MASK
-            if len(self.last) == self.window:
-                w = self.table[self.last.pop(0)]
-                h ^= (w << self.turn | w >> (32 - self.turn)) & fnv.MASK
-            self.last.append(b)
-            self.hash = h ^ self.table[b]
-            if self.offset >= self.least:
-                mask = (1 << max(0, 15 - (self.offset >> 10))) - 1
-                self.crossed = self.offset >= self.most or self.hash & mask == mask
-        return self.crossed
-
-    def ends(self, data: bytes, entry_size: int = 1) -> list[int]:
-        """End offsets of closed chunks of a stream of equal entries."""
-        out = []
-        for at in range(0, len(data), entry_size):
-            if self.append(data[at : at + entry_size]):
-                out.append(min(at + entry_size, len(data)))
-                self.reset()
-        return out
-
-
-def rolling_chunks(df: DataFrame, spec: TableSpec, level: int = 0, table: list[int] | None = None) -> DataFrame:
-    """``keys, chunk`` by the rolling hash over canonical entries in key order."""
-    fields = [df.schema[k] for k in spec.keys]
-    n = len(spec.keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chunk = RollingSplitter(level, table), 0
-        for batch in batches:
-            out = []
-            for e in batch.column(n).to_pylist():
-                out.append(chunk)
-                if split.append(e.encode()):
-                    chunk += 1
-                    split.reset()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.int64())], [*spec.keys, "chunk"])
-
-    rows = df.select(*spec.keys, E.entry(*spec.columns).alias("entry")).repartition(1).sortWithinPartitions(*spec.keys)
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("chunk", T.LongType())]))
-
-
-def healing(data: bytes, at: int, splitter: Callable[[], RollingSplitter]) -> tuple[int | None, float]:
+def healing(data: bytes, at: int, rule: sequential.Rule) -> tuple[int | None, float]:
     """After a byte is inserted at ``at``: distance to where boundaries agree for good (None:
     never), and the share of later boundaries that came back."""
-    was = [e for e in splitter().ends(data) if e > at]
-    now = {e - 1 for e in splitter().ends(data[:at] + b"Z" + data[at:]) if e - 1 > at}
+    was = [e for e in stream_ends(data, rule) if e > at]
+    now = {e - 1 for e in stream_ends(data[:at] + b"Z" + data[at:], rule) if e - 1 > at}
     if not was:
         return None, 1.0
     good = len(was)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import encoding as E
-from lamina.sources.shared import materialize
+from lamina.sources.shared import discard, materialize, new_path
 
 
 def dedup(chunks: DataFrame) -> DataFrame:
@@ -23,18 +23,31 @@ def missing(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return dedup(chunks).join(store.select("hash"), "hash", "left_anti")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``hash`` of the roots and of all below them.  A step a tree level, each a table in
-    the shared folder; a hash without edges, missing ones too, is kept and not expanded."""
-    seen = materialize(roots.select("hash").distinct(), "reach")
-    front = seen
-    for _ in range(max_depth):
-        below = front.join(edges.withColumnRenamed("parent", "hash"), "hash").select(F.col("child").alias("hash")).distinct()
-        front = materialize(below.join(seen, "hash", "left_anti"), "front")
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``hash`` of the roots and of all below them, however deep.  A step a level: the new
+    ones are appended to a table in the shared folder.  A hash without edges, missing
+    ones too, is kept and not expanded; cycles end."""
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "reach")
+    below = edges.select(F.col("parent").alias("hash"), "child")
+    front = materialize(roots.select("hash").distinct(), "front")
+    while True:
+        front.write.mode("append").parquet(path)
+        seen = spark.read.schema(front.schema).parquet(path)
         if front.isEmpty():
             return seen
-        seen = materialize(seen.unionByName(front), "reach")
-    raise RuntimeError(f"the chunk graph is deeper than {max_depth}")
+        found = front.join(below, "hash").select(F.col("child").alias("hash")).distinct().join(seen, "hash", "left_anti")
+        old, front = front, materialize(found, "front")
+        discard(old)
+
+
+def unknown_below(edges: DataFrame, root: str, known: DataFrame) -> DataFrame:
+    """``hash`` of what has to be copied so that all below the root is there: from the root
+    down, a known chunk is not expanded.  Whoever stores a chunk stores its subtree first,
+    so a known one's is there."""
+    spark = edges.sparkSession
+    start = spark.createDataFrame([(root,)], "hash string").join(known.select("hash"), "hash", "left_anti")
+    fresh = edges.join(known.select(F.col("hash").alias("parent")), "parent", "left_anti").join(known.select(F.col("hash").alias("child")), "child", "left_anti")
+    return reachable(fresh.select("parent", "child"), start)
 
 
 def keep_set(edges: DataFrame, *claims: DataFrame) -> DataFrame:

@@ -32,6 +32,56 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, spec: TableSp
     return all_.withColumn("outcome", outcome)
 
 
+def from_diffs(ours: DataFrame, theirs: DataFrame, spec: TableSpec) -> DataFrame:
+    """The decisions of ``three_way`` for the keys that either side changed, from the two
+    sides' differences to the base: unchanged rows take no part."""
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        old = F.when(F.col("diff_type") != "ADD", F.struct(*(F.col(f"a_{v}").alias(v) for v in spec.values)))
+        new = F.when(F.col("diff_type") != "DEL", F.struct(*(F.col(f"b_{v}").alias(v) for v in spec.values)))
+        return d.select(*(F.col(k).alias(f"__{n}_{k}") for k in spec.keys), old.alias(f"__{n}_old"), new.alias(f"__{n}_new"), F.lit(True).alias(f"__{n}"))
+
+    both = side(ours, "o").join(side(theirs, "t"), [F.col(f"__o_{k}").eqNullSafe(F.col(f"__t_{k}")) for k in spec.keys], "full_outer")
+    we, they = F.col("__o").isNotNull(), F.col("__t").isNotNull()
+    base = F.when(we, F.col("__o_old")).otherwise(F.col("__t_old"))
+    outcome = F.when(~they, "ours").when(~we, "theirs").when(F.col("__o_new").eqNullSafe(F.col("__t_new")), "both").otherwise("conflict")
+    return both.select(
+        *(F.when(we, F.col(f"__o_{k}")).otherwise(F.col(f"__t_{k}")).alias(k) for k in spec.keys),
+        base.alias("base"),
+        F.when(we, F.col("__o_new")).otherwise(base).alias("ours"),
+        F.when(they, F.col("__t_new")).otherwise(base).alias("theirs"),
+        outcome.alias("outcome"),
+    )
+
+
+def resolve(decided: DataFrame, resolutions: DataFrame, spec: TableSpec) -> DataFrame:
+    """Decisions with conflicts settled by ``resolutions``: ``keys, choice`` (ours, theirs, base
+    or value) and, for value, the value columns and ``is_delete``.  A settled key's outcome
+    is theirs or ours, with that side's value replaced; the others stay conflicts, and
+    resolutions of keys that are no conflicts do nothing."""
+    has = set(resolutions.columns)
+    given = F.struct(*(F.col(v) if v in has else F.lit(None).cast(decided.schema["ours"].dataType[v].dataType).alias(v) for v in spec.values))
+    gone = F.coalesce(F.col("is_delete"), F.lit(False)) if "is_delete" in has else F.lit(False)
+    picks = resolutions.select(*(F.col(k).alias(f"__r_{k}") for k in spec.keys), F.col("choice").alias("__choice"), F.when(~gone, given).alias("__given"))
+    joined = decided.join(picks, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in spec.keys], "left")
+    settled = (F.col("outcome") == "conflict") & F.col("__choice").isin("ours", "theirs", "base", "value")
+    value = F.when(F.col("__choice") == "theirs", F.col("theirs")).when(F.col("__choice") == "base", F.col("base")).otherwise(F.col("__given"))
+    mine = settled & (F.col("__choice") == "ours")
+    return (
+        joined.withColumn("theirs", F.when(settled & ~mine, value).otherwise(F.col("theirs")))
+        .withColumn("outcome", F.when(mine, "ours").when(settled, "theirs").otherwise(F.col("outcome")))
+        .select(*decided.columns)
+    )
+
+
+def edits_on_ours(decided: DataFrame, spec: TableSpec, policy: Policy | None = None) -> DataFrame:
+    """``keys, values, is_delete`` that turn our version into the merged one."""
+    clash = F.col("base") if policy is None else policy(F.col("base"), F.col("ours"), F.col("theirs"))
+    won = F.when(F.col("outcome") == "conflict", clash).otherwise(F.col("theirs"))
+    taken = decided.where(F.col("outcome").isin("theirs", "conflict")).select(*spec.keys, won.alias("__v"))
+    return taken.select(*spec.keys, *(F.col(f"__v.{v}").alias(v) for v in spec.values), F.col("__v").isNull().alias("is_delete"))
+
+
 def merged(decided: DataFrame, spec: TableSpec, policy: Policy | None = None) -> DataFrame:
     """The merged table.  A conflicted key keeps base's value, or what ``policy`` makes of
     (base, ours, theirs); null deletes it."""

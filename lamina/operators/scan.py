@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.encoding import increment
 from lamina.model import TableSpec
-from lamina.operators.ranges import numbered
+from lamina.operators.ranges import Ranges, beside
 
 
 def _literal(spec: TableSpec, key) -> Column:
@@ -15,7 +15,7 @@ def _literal(spec: TableSpec, key) -> Column:
     return F.struct(*(F.lit(k).alias(n) for k, n in zip(key, spec.keys)))
 
 
-def _at_least(spec: TableSpec, key) -> Column:
+def at_least(spec: TableSpec, key) -> Column:
     """key >= the given one.  A single key compares as a column, so it is pushed to the scan;
     a composite one also, by its first field."""
     if len(spec.keys) == 1:
@@ -36,14 +36,14 @@ def ordered(df: DataFrame, spec: TableSpec, reverse: bool = False) -> DataFrame:
 
 def range_from(df: DataFrame, spec: TableSpec, start) -> DataFrame:
     """All entries at or after ``start``; there is no upper end."""
-    return ordered(df.where(_at_least(spec, start)), spec)
+    return ordered(df.where(at_least(spec, start)), spec)
 
 
 def between(df: DataFrame, spec: TableSpec, low, high) -> DataFrame:
     """Entries from low to high, both included."""
     k = spec.key() if len(spec.keys) > 1 else F.col(spec.keys[0])
     top = _literal(spec, high) if len(spec.keys) > 1 else F.lit(high)
-    return df.where(_at_least(spec, low) & (k <= top))
+    return df.where(at_least(spec, low) & (k <= top))
 
 
 def scan(df: DataFrame, spec: TableSpec, low, high, limit: int) -> DataFrame:
@@ -75,7 +75,7 @@ def first_last(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def lower_bound(df: DataFrame, spec: TableSpec, key) -> DataFrame:
     """The smallest entry at or after ``key``."""
-    return df.where(_at_least(spec, key)).orderBy(*spec.keys).limit(1)
+    return df.where(at_least(spec, key)).orderBy(*spec.keys).limit(1)
 
 
 def raw_lower_bound(df: DataFrame, encoded: Column, key: bytes) -> DataFrame:
@@ -83,52 +83,61 @@ def raw_lower_bound(df: DataFrame, encoded: Column, key: bytes) -> DataFrame:
     return df.withColumn("__raw", encoded).where(F.col("__raw") >= F.lit(key)).orderBy("__raw").limit(1).drop("__raw")
 
 
-def seek_many(df: DataFrame, key: str, wanted: DataFrame, probe: str) -> DataFrame:
-    """Lower bounds of many probes at once: ``probe, key`` (null: none at or after it).
+def lower_bounds(df: DataFrame, keys: list[str], wanted: DataFrame, value: Column, name: str = "found") -> DataFrame:
+    """The columns of ``wanted``, which has the key columns too, and ``name``: ``value`` of the
+    first row of df at or after the key (null: none).
 
-    Keys and probes are dealt into the same key ranges.  Within a range a running
-    minimum from the end finds the answer; where a range ends first, the smallest key of
-    the ranges after it is taken, one row a range.
+    Rows and probes are dealt into the same key ranges.  Within a range the last row seen
+    from its end is the answer; where a range ends first, the first row of the ranges after
+    it is, carried by a row for each range.
     """
-    from lamina.operators.ranges import bounds, bucket
+    held = df.select(*keys, F.struct(value.alias("v")).alias("__v"))
+    asked = wanted.select(*keys, F.struct(*wanted.columns).alias("__w"))
+    both = held.withColumn("__w", F.lit(None).cast(asked.schema["__w"].dataType)).unionByName(asked.withColumn("__v", F.lit(None).cast(held.schema["__v"].dataType)))
+    both = both.withColumn("__b", Ranges(df, keys).number())
+    back = [F.col(k).desc_nulls_last() for k in keys]
+    later = Window.partitionBy("__b").orderBy(*back, F.col("__v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__hit", F.last("__v", ignorenulls=True).over(later)).where("__w is not null")
+    lows = both.groupBy("__b").agg(F.min_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*keys))).alias("__low"))
+    after = Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    spare = lows.select("__b", F.last("__low", ignorenulls=True).over(after).alias("__next"))
+    joined = found.join(F.broadcast(spare), "__b")
+    return joined.select(*(F.col(f"__w.`{c}`").alias(c) for c in wanted.columns), F.coalesce("__hit", "__next")["v"].alias(name))
 
-    cuts = bounds(df, [key])
-    both = df.select(F.col(key).alias("k"), F.lit(None).cast(df.schema[key].dataType).alias("p")).unionByName(
-        wanted.select(F.lit(None).cast(df.schema[key].dataType).alias("k"), F.col(probe).alias("p"))
-    )
-    both = both.withColumn("at", F.coalesce("k", "p"))
-    both = both.withColumn("b", bucket(["at"], cuts))
-    later = Window.partitionBy("b").orderBy(F.col("at").desc(), F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("hit", F.min("k").over(later)).where("p is not null")
-    lows = both.where("k is not null").groupBy("b").agg(F.min("k").alias("low"))
-    after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    spare = both.select("b").distinct().join(lows, "b", "left").withColumn("next", F.min("low").over(after)).select("b", "next")
-    return found.join(F.broadcast(spare), "b").select(F.col("p").alias(probe), F.coalesce("hit", "next").alias(key))
+
+def seek_many(df: DataFrame, key: str, wanted: DataFrame, probe: str) -> DataFrame:
+    """Lower bounds of many probes at once: ``probe, key`` (null: none at or after it)."""
+    asked = wanted.select(F.col(probe).alias(key)).distinct()
+    return lower_bounds(df.select(key), [key], asked, F.col(key)).select(F.col(key).alias(probe), F.col("found").alias(key))
 
 
 def neighbours(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Each key with the one before and the one after (single keys), as a cursor steps."""
-    n = numbered(df.select(*spec.keys), list(spec.keys))
-    k = spec.keys[0]
-    before = n.select((F.col("ordinal") + 1).alias("ordinal"), F.col(k).alias("before"))
-    after = n.select((F.col("ordinal") - 1).alias("ordinal"), F.col(k).alias("after"))
-    return n.join(before, "ordinal", "left").join(after, "ordinal", "left").select(k, "before", "after")
+    """Each key with the one ``before`` and the one ``after``, as a cursor steps; composite
+    keys as structs."""
+    keys = list(spec.keys)
+    step = spec.key() if len(keys) > 1 else F.col(keys[0])
+    return beside(df.select(*keys), keys, before=(step, -1), after=(step, 1))
 
 
-def rank_nth(df: DataFrame, spec: TableSpec, n: int) -> DataFrame:
+def rank_nth(df: DataFrame, spec: TableSpec, n: int, few: int = 10_000) -> DataFrame:
     """The n-th key, from 0; no row out of range.  Counts of key ranges find the range that
-    holds it, and only that range is ordered."""
-    from lamina.operators.ranges import bounds, bucket
-
-    cuts = bounds(df, list(spec.keys))
-    dealt = df.select(*spec.keys).withColumn("__b", bucket(list(spec.keys), cuts))
-    seen = 0
-    for b, size in sorted((r["__b"], r["count"]) for r in dealt.groupBy("__b").count().collect()):
-        if seen <= n < seen + size:
-            inside = dealt.where(F.col("__b") == b).orderBy(*spec.keys).limit(n - seen + 1)
-            return inside.orderBy(*(F.col(k).desc() for k in spec.keys)).limit(1).select(*spec.keys)
-        seen += size
-    return dealt.where(F.lit(False)).select(*spec.keys)
+    holds it, which is cut into ranges again until ``few`` keys are left to order."""
+    keys = list(spec.keys)
+    rows, left, held = df.select(*keys), n, None
+    while True:
+        ranges = Ranges(rows, keys)
+        dealt = rows.withColumn("__b", ranges.number())
+        counts = sorted((r["__b"], r["count"]) for r in dealt.groupBy("__b").count().collect())
+        whole = held
+        for b, size in counts:
+            if left < size:
+                rows, held = dealt.where(F.col("__b") == b).select(*keys), size
+                break
+            left -= size
+        else:
+            return rows.where(F.lit(False))
+        if held <= few or held == whole:
+            return rows.orderBy(*keys).limit(left + 1).orderBy(*(F.col(k).desc() for k in keys)).limit(1)
 
 
 def ordinal_of(df: DataFrame, spec: TableSpec, key) -> DataFrame:

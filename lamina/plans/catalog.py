@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import encoding as E
 from lamina.functions import fnv
 from lamina.model import TableSpec
-from lamina.operators import chunks, diff, edits, history, integrity, merge, radix, scan
+from lamina.operators import chunks, diff, edits, history, integrity, measure, merge, radix, scan
 from lamina.operators.ranges import numbered
 from lamina.plans import inputs as I
 from lamina.sources.repository import NAME
@@ -218,12 +218,44 @@ def merge_key_sets(spark, d):
     return merge.key_set_merge(I.base(spark, d), I.ours(spark, d), I.theirs(spark, d), I.ORDERS)
 
 
-@query(f"SELECT key FROM ({DECIDED_SQL}) WHERE outcome = 'conflict' AND NOT alike")
+_VIRTUAL = f"""vb AS ({_merged_sql("'base'")}), dis AS (SELECT key FROM ({DECIDED_SQL}) WHERE outcome = 'conflict'),
+w AS (SELECT coalesce(b.key, o.key, t.key) AS key, (o.key IS NULL) <> (b.key IS NULL) OR o.status IS DISTINCT FROM b.status OR o.cents IS DISTINCT FROM b.cents AS we,
+  (t.key IS NULL) <> (b.key IS NULL) OR t.status IS DISTINCT FROM b.status OR t.cents IS DISTINCT FROM b.cents AS they,
+  (t.key IS NULL) = (o.key IS NULL) AND t.status IS NOT DISTINCT FROM o.status AND t.cents IS NOT DISTINCT FROM o.cents AS alike
+  FROM vb b FULL JOIN ({I.V2_SQL}) o ON o.key = b.key FULL JOIN ({I.THEIRS_SQL}) t ON t.key = coalesce(b.key, o.key))"""
+
+
+@query(f"WITH {_VIRTUAL} SELECT key, we AND they AND NOT alike AS plain, key IN (SELECT key FROM dis) AND NOT alike AS disputed FROM w WHERE (we AND they AND NOT alike) OR (key IN (SELECT key FROM dis) AND NOT alike)")
 def virtual_base_conflicts(spark, d):
-    ours, theirs = I.ours(spark, d), I.theirs(spark, d)
-    base, disputed = merge.virtual_base(I.base(spark, d), ours, theirs, I.ORDERS)
-    decided = merge.contested(merge.three_way(base, ours, theirs, I.ORDERS), disputed, I.ORDERS)
-    return decided.where("outcome = 'conflict'").select("key")
+    """A criss-cross merge: the virtual base of two versions is merged with a third and the
+    second.  ``plain``: both sides changed it; ``disputed``: it was in conflict in the base."""
+    ours, theirs, third = I.ours(spark, d), I.theirs(spark, d), I.v2(spark, d)
+    base, asked = merge.virtual_base(I.base(spark, d), ours, theirs, I.ORDERS)
+    plain = merge.three_way(base, third, theirs, I.ORDERS)
+    both = merge.contested(plain, asked, I.ORDERS).select("key", F.col("outcome").alias("after"))
+    out = plain.select("key", "ours", "theirs", F.col("outcome")).join(both, "key").where("after = 'conflict'")
+    named = asked.select("key").distinct().withColumn("asked", F.lit(True))
+    out = out.join(named, "key", "left")
+    return out.select("key", (F.col("outcome") == "conflict").alias("plain"), F.coalesce("asked", F.lit(False)).alias("disputed"))
+
+
+@query(f"SELECT key, outcome, base_cents, our_cents, their_cents FROM ({DECIDED_SQL}) WHERE outcome <> 'same'")
+def merge_from_diffs(spark, d):
+    """The second formulation: from the two sides' differences to the base."""
+    base = I.base(spark, d)
+    decided = merge.from_diffs(diff.diff(base, I.ours(spark, d), I.ORDERS), diff.diff(base, I.theirs(spark, d), I.ORDERS), I.ORDERS)
+    return decided.select("key", "outcome", F.col("base.cents").alias("base_cents"), F.col("ours.cents").alias("our_cents"), F.col("theirs.cents").alias("their_cents"))
+
+
+@query(f"""SELECT key, CASE WHEN outcome <> 'conflict' THEN outcome WHEN key % 4 = 0 THEN 'ours' WHEN key % 4 = 1 OR key % 8 = 2 THEN 'theirs' ELSE 'conflict' END AS outcome,
+  CASE WHEN outcome = 'conflict' AND key % 4 = 1 THEN base_cents WHEN outcome = 'conflict' AND key % 8 = 2 THEN 7 ELSE their_cents END AS their_cents
+FROM ({DECIDED_SQL})""")
+def merge_resolved(spark, d):
+    """Conflicts settled by records: ours, the base's value, a new value; the rest stay."""
+    decided = _decided(spark, d)
+    pick = F.when(F.col("key") % 4 == 0, "ours").when(F.col("key") % 4 == 1, "base").when(F.col("key") % 8 == 2, "value")
+    records = merge.conflicts(decided, I.ORDERS).select("key", pick.alias("choice"), F.lit("X").alias("status"), F.lit(7).cast("long").alias("cents")).where("choice is not null")
+    return merge.resolve(decided, records, I.ORDERS).select("key", "outcome", F.col("theirs.cents").alias("their_cents"))
 
 
 _PICK = f"""SELECT key, status, cents FROM ({I.OURS_SQL}) WHERE key NOT IN (SELECT key FROM d)
@@ -244,58 +276,68 @@ def revert_commit(spark, d):
 
 
 def _anc(start: str, name: str = "anc") -> str:
-    return f"{name} AS (SELECT '{start}' AS commit_id, 0 AS depth UNION SELECT p.parent, {name}.depth + 1 FROM {name} JOIN e p ON p.commit_id = {name}.commit_id)"
+    return f"{name} AS (SELECT {start} AS commit_id, 0 AS depth FROM hd UNION SELECT p.parent, {name}.depth + 1 FROM {name} JOIN e p ON p.commit_id = {name}.commit_id)"
+
 
+_EDGES = f"""WITH RECURSIVE dag AS ({I.DAG_SQL}), e AS (SELECT commit_id, unnest(parents) AS parent FROM dag),
+last AS (SELECT kind, max_by(commit_id, day) AS commit_id FROM dag GROUP BY kind), hd AS (SELECT min_by(commit_id, kind) AS a, max_by(commit_id, kind) AS b FROM last)"""
 
-_EDGES = f"WITH RECURSIVE dag AS ({I.DAG_SQL}), e AS (SELECT commit_id, unnest(parents) AS parent FROM dag)"
 
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, str, str]:
+    from lamina.sources.shared import materialize
 
-@query(f"{_EDGES}, {_anc('m')} SELECT commit_id, CAST(min(depth) AS INTEGER) AS depth FROM anc GROUP BY commit_id")
+    dag = materialize(I.dag(spark, d), "dag")
+    return dag, *I.heads(dag)
+
+
+@query(f"{_EDGES}, {_anc('a')} SELECT commit_id, CAST(min(depth) AS INTEGER) AS depth FROM anc GROUP BY commit_id")
 def ancestors(spark, d):
-    return history.ancestors(I.dag(spark), "m")
+    dag, a, _ = _history(spark, d)
+    return history.ancestors(dag, a)
 
 
-_COMMON = f"{_EDGES}, {_anc('a2', 'l')}, {_anc('b2', 'r')}, c AS (SELECT DISTINCT commit_id FROM l WHERE commit_id IN (SELECT commit_id FROM r)), mn AS (SELECT commit_id FROM c WHERE commit_id NOT IN (SELECT e.parent FROM e JOIN c USING (commit_id)))"
+_COMMON = f"{_EDGES}, {_anc('a', 'l')}, {_anc('b', 'r')}, c AS (SELECT DISTINCT commit_id FROM l WHERE commit_id IN (SELECT commit_id FROM r)), mn AS (SELECT commit_id FROM c WHERE commit_id NOT IN (SELECT e.parent FROM e JOIN c USING (commit_id)))"
 
 
 @query(f"{_COMMON} SELECT commit_id FROM mn")
 def minimal_ancestors(spark, d):
-    return history.minimal_common_ancestors(I.dag(spark), "a2", "b2")
+    return history.minimal_common_ancestors(*_history(spark, d))
 
 
 @query(f"{_COMMON} SELECT commit_id FROM mn JOIN dag USING (commit_id) ORDER BY ts DESC, commit_id DESC LIMIT 1")
 def merge_base(spark, d):
-    return history.merge_base(I.dag(spark), "a2", "b2")
+    return history.merge_base(*_history(spark, d))
 
 
-@query(f"{_EDGES}, {_anc('y', 'l')}, {_anc('n', 'r')} SELECT commit_id FROM r WHERE commit_id IN (SELECT commit_id FROM l) ORDER BY depth, commit_id LIMIT 1")
+@query(f"{_EDGES}, {_anc('a', 'l')}, {_anc('b', 'r')} SELECT commit_id FROM r WHERE commit_id IN (SELECT commit_id FROM l) ORDER BY depth, commit_id LIMIT 1")
 def sync_merge_base(spark, d):
-    return history.sync_merge_base(I.dag(spark), "y", "n")
+    return history.sync_merge_base(*_history(spark, d))
 
 
-@query(f"{_EDGES}, {_anc('n')} SELECT count(*) > 0 AS reaches FROM anc WHERE commit_id = 'b'")
+@query(f"{_EDGES}, {_anc('a')} SELECT k.commit_id AS target, count(anc.commit_id) > 0 AS reaches FROM last k LEFT JOIN anc ON anc.commit_id = k.commit_id GROUP BY k.commit_id")
 def is_ancestor(spark, d):
-    return history.is_ancestor(I.dag(spark), "n", "b")
+    """Whether each type's last commit is behind the first type's."""
+    dag, a, _ = _history(spark, d)
+    out = None
+    for r in dag.groupBy("kind").agg(F.max_by("commit_id", "day").alias("c")).collect():
+        part = history.is_ancestor(dag, a, r.c).select(F.lit(r.c).alias("target"), "reaches")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
-    f"""WITH RECURSIVE dag AS ({I.DAG_SQL}), lg AS (SELECT commit_id, parents, 0 AS depth FROM dag WHERE commit_id = 'n'
+    f"""{_EDGES}, lg AS (SELECT commit_id, parents, 0 AS depth FROM dag JOIN hd ON hd.a = commit_id
 UNION ALL SELECT dag.commit_id, dag.parents, lg.depth + 1 FROM lg JOIN dag ON dag.commit_id = lg.parents[1]) SELECT commit_id, CAST(depth AS INTEGER) AS depth FROM lg"""
 )
 def commit_log(spark, d):
-    return history.first_parent_log(I.dag(spark), "n")
+    dag, a, _ = _history(spark, d)
+    return history.first_parent_log(dag, a)
 
 
-@query(f"{_EDGES}, {_anc('n', 'l')}, {_anc('a2', 'r')} SELECT DISTINCT commit_id FROM l WHERE commit_id NOT IN (SELECT commit_id FROM r)")
+@query(f"{_EDGES}, {_anc('a', 'l')}, {_anc('b', 'r')} SELECT DISTINCT commit_id FROM l WHERE commit_id NOT IN (SELECT commit_id FROM r)")
 def pack_commits(spark, d):
-    dag = I.dag(spark)
-    return history.ancestors(dag, "n").select("commit_id").join(history.ancestors(dag, "a2"), "commit_id", "left_anti")
-
-
-@query(f"SELECT name, commit_id, root FROM (VALUES ('heads/main', 'n'), ('heads/feature', 'y'), ('tags/v1', 'm')) r(name, commit_id) JOIN ({I.DAG_SQL}) USING (commit_id) WHERE starts_with(name, 'heads/')")
-def branch_heads(spark, d):
-    refs = spark.createDataFrame([("heads/main", "n"), ("heads/feature", "y"), ("tags/v1", "m")], "name string, commit_id string")
-    return refs.where(F.col("name").startswith("heads/")).join(I.dag(spark).select("commit_id", "root"), "commit_id").select("name", "commit_id", "root")
+    dag, a, b = _history(spark, d)
+    return history.ancestors(dag, a).select("commit_id").join(history.ancestors(dag, b), "commit_id", "left_anti")
 
 
 _STATES = f"""{_LOG}, s AS (SELECT user_id, day, is_delete, CASE WHEN NOT is_delete THEN value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) AS r FROM log) WHERE r = 1),
@@ -349,7 +391,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({_LINES_SQL}) WHERE (l_orderkey, l_linenumber) >= (1200, 3)")
 def range_scan_composite(spark, d):
-    return _lines(spark, d).where(scan._at_least(LINES, (1200, 3)))
+    return _lines(spark, d).where(scan.at_least(LINES, (1200, 3)))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000012')")
@@ -401,6 +443,12 @@ def cursor_steps(spark, d):
     return scan.neighbours(I.v2(spark, d), I.ORDERS)
 
 
+@query(f"SELECT l_orderkey, l_linenumber, lag(l_orderkey) OVER w AS before_order, lag(l_linenumber) OVER w AS before_line FROM ({_LINES_SQL}) WINDOW w AS (ORDER BY l_orderkey, l_linenumber)")
+def cursor_steps_composite(spark, d):
+    n = scan.neighbours(_lines(spark, d), LINES)
+    return n.select("l_orderkey", "l_linenumber", F.col("before.l_orderkey").alias("before_order"), F.col("before.l_linenumber").alias("before_line"))
+
+
 @query(f"SELECT key FROM ({I.V2_SQL}) ORDER BY key LIMIT 1 OFFSET 1234")
 def rank_nth(spark, d):
     return scan.rank_nth(I.v2(spark, d), I.ORDERS, 1234)
@@ -432,7 +480,8 @@ def _fnv_sql(key: str = "key") -> str:
 
 
 def _entry_sql(*columns: str) -> str:
-    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-;' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) || ';' END" for c in columns)
+    """The canonical entry; of the columns used here only status is no integer."""
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-;' ELSE '{'s' if c == 'status' else 'i'}' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) || ';' END" for c in columns)
 
 
 def _chunked_sql(src: str) -> str:
@@ -444,7 +493,7 @@ def _leaves_sql(src: str) -> str:
 
 
 def _leaves(df: DataFrame) -> DataFrame:
-    return chunks.leaf_chunks(df, I.ORDERS, BITS).select("chunk", "n", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"), "address")
+    return chunks.leaf_chunks(df, I.ORDERS, BITS, fnv.is_boundary("key", BITS)).select("chunk", "n", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"), "address")
 
 
 @query(f"SELECT key, {_fnv_sql()} AS hash, {_fnv_sql()} & {(1 << BITS) - 1} = 0 AS closes FROM ({I.BASE_SQL})")
@@ -467,9 +516,9 @@ def subtree_counts(spark, d):
     return chunks.subtree_counts(_leaves(I.base(spark, d)).select("chunk", "n"))
 
 
-@query(f"SELECT count(n) AS chunks, avg(n) AS mean, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n, 0.99) AS BIGINT) AS p99, min(n) AS smallest, max(n) AS largest FROM ({_leaves_sql(I.BASE_SQL)})")
+@query(f"SELECT count(n) AS chunks, avg(n) AS mean, round(stddev_samp(n), 6) AS sd, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(n, 0.99) AS BIGINT) AS p99, min(n) AS smallest, max(n) AS largest FROM ({_leaves_sql(I.BASE_SQL)})")
 def chunk_stats(spark, d):
-    return chunks.size_stats(_leaves(I.base(spark, d)))
+    return chunks.size_stats(_leaves(I.base(spark, d))).withColumn("sd", F.round("sd", 6))
 
 
 _LEVEL1 = f"""WITH lv AS ({_leaves_sql(I.BASE_SQL)}),
@@ -479,7 +528,7 @@ SELECT pos, sum(n)::BIGINT AS n, min(first_key) AS first_key, max(last_key) AS l
 
 @query(_LEVEL1)
 def chunk_level1(spark, d):
-    up = chunks.parent_level(chunks.leaf_chunks(I.base(spark, d), I.ORDERS, BITS).withColumnRenamed("chunk", "pos"), 2)
+    up = chunks.parent_level(chunks.leaf_chunks(I.base(spark, d), I.ORDERS, BITS, fnv.is_boundary("key", BITS)).withColumnRenamed("chunk", "pos"), 2)
     return up.select("pos", "n", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"), "address")
 
 
@@ -488,20 +537,46 @@ def changed_chunks(spark, d):
     return chunks.changed_chunks(_leaves(I.base(spark, d)), _leaves(I.v2(spark, d)))
 
 
-@query()
+def _levels_sql(leaves: str, mask: int, levels: int = 5, start: int = 0) -> str:
+    """Common tables l0 (the leaves: pos, n, first_key, last_key, address) to l5: each level is
+    empty where the one below has a single node.  A level that would not shrink is one node."""
+    out = [f"l{start} AS ({leaves})"]
+    for k in range(start + 1, start + levels + 1):
+        below = f"l{k - 1}"
+        out.append(f"""m{k} AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g
+  FROM (SELECT *, (('0x' || substr(address, 1, 8))::BIGINT & {mask}) = 0 AS closes FROM {below}))""")
+        out.append(f"""l{k} AS (SELECT CASE WHEN (SELECT count(DISTINCT g) >= count(*) FROM m{k}) THEN 0 ELSE g END AS pos, sum(n)::BIGINT AS n, min(first_key) AS first_key, max(last_key) AS last_key,
+  substr(sha256(string_agg(address || ':' || n, ';' ORDER BY pos)), 1, 40) AS address FROM m{k} WHERE (SELECT count(*) FROM {below}) > 1 GROUP BY 1)""")
+    each = " UNION ALL ".join(f"SELECT {k} AS level, * FROM l{k}" for k in range(start, start + levels + 1))
+    return ", ".join([*out, f"nodes AS ({each})"])
+
+
+_TREE = "WITH " + _levels_sql(f"SELECT chunk AS pos, n, first_key, last_key, address FROM ({_leaves_sql(I.BASE_SQL)})", (1 << BITS) - 1)
+
+
+def _tree(spark: SparkSession, d: str) -> list[DataFrame]:
+    return chunks.tree(I.base(spark, d), I.ORDERS, BITS, fnv.is_boundary("key", BITS))
+
+
+@query(f"{_TREE} SELECT address AS root FROM nodes ORDER BY level DESC LIMIT 1")
 def root_address(spark, d):
-    levels = chunks.tree(I.base(spark, d), I.ORDERS, BITS)
-    return chunks.all_addresses(levels).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.max("address").alias("last_address"))
+    return spark.createDataFrame([(chunks.root_address(_tree(spark, d)),)], "root string")
 
 
-@query()
+@query(f"{_TREE} SELECT max_by(address, level) AS root, max_by(n, level) AS entries, CAST(max(level) + 1 AS INTEGER) AS height, count(*) AS nodes FROM nodes")
 def tree_summary(spark, d):
-    return chunks.summary(chunks.tree(I.base(spark, d), I.ORDERS, BITS))
+    return chunks.summary(_tree(spark, d))
 
 
-@query()
+@query(f"{_TREE} SELECT CAST((SELECT max(level) FROM nodes) - level AS INTEGER) AS depth, min(pos) AS pos, min_by(address, pos) AS address FROM nodes WHERE last_key >= 700 GROUP BY level")
 def search_path(spark, d):
-    return chunks.find_path(chunks.tree(I.base(spark, d), I.ORDERS, BITS), I.ORDERS, (700,))
+    return chunks.find_path(_tree(spark, d), I.ORDERS, (700,))
+
+
+@query(f"{_TREE} SELECT CAST((SELECT max(level) FROM nodes) - level AS INTEGER) AS depth, pos, address, n AS entries, first_key, last_key FROM nodes")
+def tree_nodes(spark, d):
+    n = chunks.inspect(_tree(spark, d))
+    return n.select("depth", "pos", "address", "entries", F.col("first_key.key").alias("first_key"), F.col("last_key.key").alias("last_key"))
 
 
 @query(f"SELECT chunk, address, 700 - before AS offset FROM (SELECT *, (sum(n) OVER (ORDER BY chunk) - n)::BIGINT AS before FROM ({_leaves_sql(I.BASE_SQL)})) WHERE before <= 700 AND before + n > 700")
@@ -516,20 +591,29 @@ def put_and_delete(spark, d):
     return edits.mutate(base, other.where("key % 13 = 0"), base.where("key % 9 = 0"), I.ORDERS)
 
 
-@query(f"SELECT name, count(*) AS entries, sum(cents)::BIGINT AS cents FROM (SELECT 'base' AS name, cents FROM ({I.BASE_SQL}) UNION ALL SELECT 'v2', cents FROM ({I.V2_SQL}) UNION ALL SELECT 'ours', cents FROM ({I.OURS_SQL})) GROUP BY name")
-def compare_versions(spark, d):
-    parts = [f(spark, d).select(F.lit(n).alias("name"), "cents") for n, f in (("base", I.base), ("v2", I.v2), ("ours", I.ours))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count(F.lit(1)).alias("entries"), F.sum("cents").alias("cents"))
+def _clamp_sql(least: int, most: int, content: bool) -> str:
+    """Cuts one after the other: the next is at the first boundary far enough on, or forced."""
+    h2 = fnv.OFFSET
+    for byte in b"h2:":
+        h2 = ((h2 ^ byte) * fnv.PRIME) & fnv.MASK
+    second = _fnv_sql().replace(str(fnv.OFFSET), str(h2), 1)
+    forced = f"(SELECT arg_min(rn, (h2, rn)) FROM k WHERE rn > c.cut AND rn <= c.cut + {most})" if content else f"c.cut + {most}"
+    return f"""WITH RECURSIVE k AS (SELECT key, row_number() OVER (ORDER BY key) AS rn, {_fnv_sql()} & {(1 << BITS) - 1} = 0 AS closes, {second} AS h2 FROM ({I.BASE_SQL})),
+c AS (SELECT CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS no UNION ALL
+  SELECT CASE WHEN near IS NOT NULL AND near <= cut + {most} THEN near ELSE force END, no + 1 FROM (
+    SELECT c.cut, c.no, (SELECT min(rn) FROM k WHERE closes AND rn >= c.cut + {least}) AS near, {forced} AS force, (SELECT max(rn) FROM k) AS size FROM c) x
+  WHERE (near IS NOT NULL AND near <= cut + {most}) OR cut + {most} <= size)
+SELECT key, (SELECT max(no) FROM c WHERE c.cut < k.rn) AS chunk FROM k"""
 
 
-@query()
+@query(_clamp_sql(16, 96, False))
 def clamped_chunks(spark, d):
-    return chunks.clamped(I.base(spark, d), "key", BITS, 16, 256)
+    return chunks.clamped(I.base(spark, d).select("key"), ["key"], fnv.is_boundary("key", BITS), 16, 96)
 
 
-@query()
+@query(_clamp_sql(16, 96, True))
 def content_clamped_chunks(spark, d):
-    return chunks.content_clamped(I.base(spark, d), "key", BITS, 16, 256)
+    return chunks.clamped(I.base(spark, d).select("key"), ["key"], fnv.is_boundary("key", BITS), 16, 96, chunks.second_hash("key"))
 
 
 @query()
@@ -537,21 +621,59 @@ def rolling_hash_chunks(spark, d):
     return chunks.rolling_chunks(I.base(spark, d), I.ORDERS)
 
 
+_MASKED = f"""WITH RECURSIVE k AS (SELECT key, row_number() OVER (ORDER BY key) AS rn, sum(size) OVER (ORDER BY key) AS upto, mix FROM (
+  SELECT key, length({_entry_sql('key', 'status', 'cents')}) AS size, {_fnv_sql()} AS mix FROM ({I.BASE_SQL}))),
+c AS (SELECT CAST(0 AS HUGEINT) AS cut, CAST(0 AS BIGINT) AS no UNION ALL
+  SELECT stop, no + 1 FROM (SELECT c.cut, c.no, coalesce(
+    (SELECT min(upto) FROM k WHERE upto >= c.cut + 512 AND upto < c.cut + 2048 AND mix & 255 = 0),
+    (SELECT min(upto) FROM k WHERE upto >= c.cut + 2048 AND upto < c.cut + 8192 AND mix & 15 = 0),
+    (SELECT min(upto) FROM k WHERE upto >= c.cut + 8192)) AS stop FROM c) x WHERE stop IS NOT NULL)
+SELECT key, (SELECT max(no) FROM c WHERE c.cut < k.upto) AS chunk FROM k"""
+
+
+@query(_MASKED)
+def masked_chunks(spark, d):
+    """Strict below the target size, loose above."""
+    rows = I.base(spark, d).select("key", F.length(E.entry("key", "status", "cents")).alias("size"), fnv.key_hash("key").alias("mix"))
+    return chunks.masked(rows, ["key"], F.col("size"), F.col("mix"), 512, 2048, 8192, 8, 4)
+
+
+@query()
+def gear_chunks(spark, d):
+    return chunks.rolling_chunks(I.base(spark, d), I.ORDERS, rule=chunks.gear_rule(512, 2048, 8192, 13, 9))
+
+
 @query(f"SELECT key, address, (('0x' || substr(address, 1, 8))::BIGINT & 63) = 0 AS direct, (xor(xor(xor(xor({', '.join(f'''('0x' || substr(address, {8 * i + 1}, 8))::BIGINT''' if i < 2 else '' for i in range(2))}), ('0x' || substr(address, 17, 8))::BIGINT), ('0x' || substr(address, 25, 8))::BIGINT), ('0x' || substr(address, 33, 8))::BIGINT) & 63) = 0 AS lanes FROM (SELECT key, substr(sha256({_entry_sql('key')}), 1, 40) AS address FROM ({I.BASE_SQL}))")
 def boundary_strategies(spark, d):
     a = I.base(spark, d).select("key", E.address(E.entry("key")).alias("address"))
     return a.select("key", "address", fnv.address_boundary("address", BITS).alias("direct"), fnv.lane_xor_mask("address", BITS).alias("lanes"))
 
 
-@query()
+_GEAR = f"""WITH g AS (SELECT list_transform(range(256), lambda i: ('0x' || substr(sha256('gear' || i), 1, 8))::BIGINT) AS words),
+c AS (SELECT key, lpad(hex(xor(key, (-9223372036854775807 - 1)::BIGINT)), 16, '0') AS code FROM ({I.BASE_SQL}))
+SELECT key, list_reduce(list_concat([0::BIGINT], list_transform(range(8), lambda i: words[('0x' || substr(code, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT + 1])), lambda h, w: (h * 2 + w) & {fnv.MASK}) AS gear FROM c, g"""
+
+
+@query(_GEAR)
 def gear_hashes(spark, d):
     return I.base(spark, d).select("key", fnv.gear_hash(E.encode_int64("key")).alias("gear"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").cast("binary").alias("key"), F.col("c_custkey").alias("id"))
+
+
+@query("SELECT c_name AS name, c_custkey AS id FROM customer UNION ALL SELECT 'Supplier' || s_suppkey, s_suppkey FROM supplier")
+def radix_entries(spark, d):
+    """What the nodes of a dictionary with insertions say its entries are."""
+    more = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Supplier"), "s_suppkey").cast("binary").alias("key"), F.col("s_suppkey").alias("id"))
+    nodes, _ = radix.build(radix.insert(_names(spark, d), more), part_rows=500)
+    return radix.entries_of(nodes).select(F.col("key").cast("string").alias("name"), "id")
+
+
 @query()
 def radix_dictionary_pages(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").cast("binary").alias("key"), F.col("c_custkey").alias("id"))
-    nodes, _ = radix.build(c)
+    nodes, _ = radix.build(_names(spark, d))
     return radix.pages(nodes).select(F.hex("path").alias("path"), F.lower(F.hex("address")).alias("address"), "page")
 
 
@@ -563,16 +685,26 @@ def encode_int64_key(spark, d):
     return I.base(spark, d).select("key", F.hex(E.encode_int64(F.col("key") - 700)).alias("code"))
 
 
-@query("SELECT true AS same_order, true AS decodes")
+@query(f"SELECT k, code, row_number() OVER (ORDER BY k) - 1 AS by_value, row_number() OVER (ORDER BY code) - 1 AS by_code, k AS back FROM (SELECT key - 700 AS k, lpad(hex(xor(key - 700, (-9223372036854775807 - 1)::BIGINT)), 16, '0') AS code FROM ({I.BASE_SQL}))")
 def encoded_order(spark, d):
-    k = I.base(spark, d).select((F.col("key") - 700).alias("k")).withColumn("c", E.encode_int64("k"))
-    both = numbered(numbered(k, ["k"], "by_value").withColumn("h", F.hex("c")), ["h"], "by_code")
-    return both.agg(F.bool_and(F.col("by_value") == F.col("by_code")).alias("same_order"), F.bool_and(E.decode_int64("c") == F.col("k")).alias("decodes"))
+    """The place of each key by value and by encoded bytes, and the decoded key."""
+    k = I.base(spark, d).select((F.col("key") - 700).alias("k")).withColumn("raw", E.encode_int64("k"))
+    both = numbered(numbered(k, ["k"], "by_value"), ["raw"], "by_code")
+    return both.select("k", F.hex("raw").alias("code"), "by_value", "by_code", E.decode_int64("raw").alias("back"))
 
 
-@query()
+#: The bits of a double from its size: a power of two times a number that 52 bits hold.
+_DOUBLE = """WITH x AS (SELECT o_orderkey, o_totalprice - 150000 AS x FROM orders), a AS (SELECT *, abs(x) AS m, CAST(floor(log2(abs(x))) AS INTEGER) AS e0 FROM x WHERE x <> 0),
+b AS (SELECT *, CASE WHEN m >= pow(2, e0 + 1) THEN e0 + 1 WHEN m < pow(2, e0) THEN e0 - 1 ELSE e0 END AS e FROM a),
+c AS (SELECT o_orderkey, x, (CAST(e + 1023 AS HUGEINT) << 52) + CAST(m * pow(2, 52 - e) AS HUGEINT) - (CAST(1 AS HUGEINT) << 52) AS bits FROM b
+  UNION ALL SELECT o_orderkey, x, CAST(0 AS HUGEINT) FROM x WHERE x = 0),
+d AS (SELECT o_orderkey, x, CASE WHEN x < 0 THEN (CAST(1 AS HUGEINT) << 63) - 1 - bits ELSE (CAST(1 AS HUGEINT) << 63) + bits END AS code FROM c)
+SELECT o_orderkey, lpad(hex(CAST(code AS UBIGINT)), 16, '0') AS code, x AS back FROM d"""
+
+
+@query(_DOUBLE)
 def float64_encoding(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") - 1000).alias("x"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") - 150000).alias("x"))
     return o.select("o_orderkey", F.hex(E.encode_float64("x")).alias("code"), E.decode_float64(E.encode_float64("x")).alias("back"))
 
 
@@ -589,14 +721,13 @@ def repo_name_valid(spark, d):
     return s.select("s_name", name.alias("name"), (name.rlike(f"^{NAME.pattern}$") & F.col("s_suppkey").isNotNull()).alias("valid"))
 
 
-_PCT = ", ".join(f"CAST(quantile_disc(v, {p}) AS BIGINT) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99))
+_PCT = ", ".join(f"CAST(quantile_disc(v, {p}) AS BIGINT) AS p{int(p * 100)}" for p in measure.PERCENTILES)
 
 
-@query(f"SELECT event_type, count(*) AS n, avg(v) AS mean, {_PCT}, max(v) AS slowest FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY event_type")
+@query(f"SELECT event_type, count(v) AS n, avg(v) AS mean, {_PCT}, max(v) AS slowest, CASE WHEN sum(v) > 0 THEN count(v) * 1000000.0::DOUBLE / sum(v) END AS rate FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY event_type")
 def latency_percentiles(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
-    ps = [F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY v) AS BIGINT)").alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), *ps, F.max("v").alias("slowest"))
+    return measure.latency_summary(e, "v", ["event_type"])
 
 
 # chunk stores --------------------------------------------------------------------
@@ -658,8 +789,27 @@ def gc_result(spark, d):
     return integrity.gc_result(graph.select(F.explode(F.array("parent", "child")).alias("hash")).distinct(), keep)
 
 
-@query("SELECT DISTINCT substr(sha256(text), 1, 40) AS hash, 'mismatch' AS problem FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL")
+#: Texts as chunks, each held by the parent of its group of twenty; some are broken, lost or on a wrong level.
+_FSCK = """WITH t AS (SELECT substr(sha256(text), 1, 40) AS hash, min(doc_id) AS d FROM documents WHERE text IS NOT NULL GROUP BY text),
+p AS (SELECT d % 20 AS g, substr(sha256(string_agg(hash, '' ORDER BY hash)), 1, 40) AS parent FROM t GROUP BY d % 20)
+SELECT hash, 'mismatch' AS problem FROM t WHERE d % 50 = 0 AND d % 7 <> 3
+UNION ALL SELECT hash, 'missing' FROM t WHERE d % 7 = 3
+UNION ALL SELECT hash, 'level' FROM t WHERE d % 11 = 4 AND d % 7 <> 3"""
+
+
+@query(_FSCK)
 def fsck_chunks(spark, d):
+    t = _texts(spark, d).groupBy("hash").agg(F.min("doc_id").alias("d"), F.first("data").alias("data"))
+    parents = t.groupBy((F.col("d") % 20).alias("g")).agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("data"))
+    parents = parents.select("g", E.address("data").alias("hash"), "data", F.lit(1).alias("level"))
+    edges = t.join(parents.select("g", F.col("hash").alias("parent")), F.col("d") % 20 == F.col("g")).select("parent", F.col("hash").alias("child"))
+    leaves = t.where("d % 7 <> 3").select("hash", F.when(F.col("d") % 11 == 4, 5).otherwise(0).alias("level"), F.when(F.col("d") % 50 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")).alias("data"))
+    return integrity.verify(leaves.unionByName(parents.select("hash", "level", "data")), edges)
+
+
+@query("""SELECT store, count(*) AS chunks, sum(size)::BIGINT AS bytes, store <> 'part' AS same FROM (
+SELECT 'whole' AS store, hash, max(size) AS size FROM s GROUP BY hash UNION ALL SELECT 'twice', hash, max(size) FROM s GROUP BY hash
+UNION ALL SELECT 'part', hash, max(size) FROM s WHERE doc_id % 3 <> 0 GROUP BY hash) GROUP BY store""".replace(" s ", " (SELECT doc_id, substr(sha256(text), 1, 40) AS hash, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL) s "))
+def compare_stores(spark, d):
     t = _texts(spark, d)
-    broken = t.select("hash", "level", F.when(F.col("doc_id") % 50 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")).alias("data"))
-    return integrity.verify(broken, spark.createDataFrame([], "parent string, child string"))
+    return measure.compare_stores({"whole": t, "twice": t.unionByName(t), "part": t.where("doc_id % 3 <> 0")})

@@ -5,7 +5,7 @@ Keys are order keys; prices are whole cents, so both engines print and add them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.model import TableSpec
@@ -23,20 +23,13 @@ UNION ALL SELECT key + 2000000, status, CASE WHEN key % 300 = 0 THEN cents ELSE
 LOG_SQL = """SELECT user_id, CAST(round(value * 100) AS BIGINT) AS value, event_type = 'error' AS is_delete, event_id AS seq,
   CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events"""
 
-#: commit, parents, time, root: a line, a diamond, a criss-cross, and an unrelated start
-DAG = [
-    ("r", [], 1, "r0"),
-    ("a", ["r"], 2, "ra"),
-    ("b", ["r"], 3, "rb"),
-    ("a2", ["a", "b"], 4, "ra2"),
-    ("b2", ["b", "a"], 5, "rb2"),
-    ("m", ["a2", "b2"], 6, "rm"),
-    ("n", ["m"], 7, "rn"),
-    ("x", ["a"], 8, "rx"),
-    ("y", ["x"], 9, "ry"),
-    ("z", [], 10, "rz"),
-]
-DAG_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {('[' + ', '.join(repr(p) for p in ps) + ']') if ps else 'CAST([] AS VARCHAR[])'}, {t}, '{r}')" for c, ps, t, r in DAG) + ") AS d(commit_id, parents, ts, root)"
+#: Commits made from events: one for each day and event type.  Its first parent is the type's commit of the day before; on every
+#: third day the next type's commit of the day before is merged in.  So lines run beside each other and cross again and again.
+DAG_SQL = """WITH c AS (SELECT DISTINCT event_type AS t, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events),
+  ty AS (SELECT t, coalesce(lead(t) OVER (ORDER BY t), min(t) OVER ()) AS u FROM (SELECT DISTINCT t FROM c))
+  SELECT c.t AS kind, c.day AS day, c.t || '-' || c.day AS commit_id, list_filter([a.t || '-' || a.day, b.t || '-' || b.day], lambda x: x IS NOT NULL) AS parents,
+    CAST(c.day AS BIGINT) AS ts, 'r' || c.t || c.day AS root
+  FROM c JOIN ty ON ty.t = c.t LEFT JOIN c a ON a.t = c.t AND a.day = c.day - 1 LEFT JOIN c b ON b.t = ty.u AND b.t <> c.t AND b.day = c.day - 1 AND c.day % 3 = 0"""
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +73,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dag(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DAG, "commit_id string, parents array<string>, ts long, root string")
+def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = log_days(spark, sf_dir)
+    order = Window.orderBy("t")  # a row for each event type
+    types = c.select("t").distinct().withColumn("u", F.coalesce(F.lead("t").over(order), F.min("t").over(Window.partitionBy())))
+
+    def name(t: str, day: str):
+        return F.concat(F.col(t), F.lit("-"), F.col(day))
+
+    a = c.select(F.col("t").alias("at"), F.col("day").alias("aday"))
+    b = c.select(F.col("t").alias("bt"), F.col("day").alias("bday"))
+    out = c.join(types, "t").join(a, (F.col("at") == F.col("t")) & (F.col("aday") == F.col("day") - 1), "left")
+    out = out.join(b, (F.col("bt") == F.col("u")) & (F.col("bt") != F.col("t")) & (F.col("bday") == F.col("day") - 1) & (F.col("day") % 3 == 0), "left")
+    parents = F.filter(F.array(name("at", "aday"), name("bt", "bday")), lambda x: x.isNotNull())
+    return out.select(F.col("t").alias("kind"), "day", name("t", "day").alias("commit_id"), parents.alias("parents"), F.col("day").cast("long").alias("ts"), F.concat(F.lit("r"), "t", "day").alias("root"))
+
+
+def log_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_type").alias("t"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day")).distinct()
+
+
+def heads(dag: DataFrame) -> tuple[str, str]:
+    """The last commits of the first and of the last event type."""
+    last = sorted(tuple(r) for r in dag.groupBy("kind").agg(F.max_by("commit_id", "day")).collect())
+    return last[0][1], last[-1][1]
