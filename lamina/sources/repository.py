@@ -1,28 +1,47 @@
-"""A repository of table versions: Parquet snapshots, commits, and refs with compare-and-set.
-
-Layout under one folder: ``snapshots/<root id>`` (Parquet, sorted by key), ``commits/<id>.json``
-and ``refs/<name>.json``.  Data is written by Spark jobs; only the driver touches commits
-and refs.  A ref moves by a rename of a file that did not exist, so of two writers one
-loses.  Folders are reached through Hadoop's file system interface; a store whose rename
-is not atomic needs one writer at a time.
+"""A repository of table versions: segments of rows, trees over them, commits, and refs.
+
+Layout under one folder: ``data/<batch>/__seg=<n>`` (Parquet, a folder for each segment),
+``leaves/<batch>`` (the chunks of a batch's segments), ``trees/<id>`` (the levels from
+segments up), ``roots/<root>.json``, ``commits/<id>.json`` and ``refs/<name>/<n>.json``.
+
+A chunk is a run of entries in key order that closes after an entry whose key's hash
+ends in ``bits`` zero bits; a segment closes where ``bits + file_bits`` are zero, so it is
+a run of whole chunks.  Both depend on content alone, whatever the order of commits.  A
+commit of edits reads and writes the segments that hold edited keys; the others are
+named by the new tree as they were by the old one.  Two versions are compared by the
+addresses of their segments, then of their chunks, and only rows of chunks that differ
+are read on.
+
+Data is written by Spark jobs; only the driver touches commits and refs, by files that
+are published whole and once (see ``files``), so of two writers one loses.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.functions import encoding as E
+from lamina.functions import fnv
 from lamina.model import TableSpec
 from lamina.operators import chunks, history, merge
-from lamina.operators.diff import apply_diff, diff, invert
-
+from lamina.operators.diff import as_edits, diff, invert
+from lamina.operators.edits import apply_edits, compact
+from lamina.operators.ranges import Ranges, numbered
+from lamina.operators.scan import lower_bounds
+from lamina.sources.files import Files, Register
+from lamina.sources.shared import discard, materialize
+
+UP_BITS = 4  # a node above the segments has some 2**UP_BITS children
 NAME = re.compile(r"[a-z][a-z0-9-]{0,62}")  # fixed value: the rule for repository names
 
 
@@ -30,69 +49,6 @@ def valid_name(name: str) -> bool:
     return bool(NAME.fullmatch(name))
 
 
-class Files:
-    """Small files by path, through Hadoop."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.base, self.jvm = base.rstrip("/"), spark.sparkContext._jvm
-        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(name))
-
-    def read(self, name: str) -> str | None:
-        if not self.exists(name):
-            return None
-        stream = self.fs.open(self._path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Whole or not at all: a temporary file, then a rename; what is there is replaced."""
-        tmp = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
-        stream = self.fs.create(tmp, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        target = self._path(name)
-        if self.fs.exists(target):
-            self.fs.delete(target, False)
-        if not self.fs.rename(tmp, target):
-            raise OSError(f"cannot write {name}")
-
-    def create(self, name: str, text: str) -> bool:
-        """False if the file is there already."""
-        try:
-            stream = self.fs.create(self._path(name), False)
-        except Exception as e:  # py4j wraps FileAlreadyExistsException
-            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        return True
-
-    def list(self, folder: str) -> list[str]:
-        if not self.exists(folder):
-            return []
-        found, it = [], self.fs.listFiles(self._path(folder), True)
-        root = self.fs.makeQualified(self._path(folder)).toUri().getPath()
-        while it.hasNext():
-            found.append(it.next().getPath().toUri().getPath()[len(root) + 1 :])
-        return sorted(found)
-
-    def delete(self, name: str) -> bool:
-        return self.fs.delete(self._path(name), True)
-
-
 @dataclass(frozen=True)
 class Commit:
     commit_id: str
@@ -103,29 +59,33 @@ class Commit:
     ts: int
 
     @staticmethod
-    def make(root: str, parents: list[str], author: str, message: str, ts: int) -> Commit:
+    def make(root: str, parents: Iterable[str], author: str, message: str, ts: int) -> Commit:
         """The id leaves the time out, so equal histories have equal ids."""
-        import hashlib
-
+        parents = tuple(parents)
         parts = [root, str(len(parents)), *parents, author, message]
         text = "".join(f"{len(p)}:{p};" for p in parts)
-        return Commit(hashlib.sha256(text.encode()).hexdigest()[: E.ADDRESS_HEX], root, tuple(parents), author, message, ts)
+        return Commit(hashlib.sha256(text.encode()).hexdigest()[: E.ADDRESS_HEX], root, parents, author, message, ts)
 
 
 class Conflict(Exception):
-    """A merge that was not committed; ``rows`` are its conflicts."""
+    """A merge that was not committed; ``rows`` are its conflicts, ``decided`` all changed keys."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, decided: DataFrame):
         super().__init__("conflicting changes")
-        self.rows = rows
+        self.rows, self.decided = rows, decided
 
 
 class Repository:
-    """Branches of one table."""
+    """Branches of one table.  ``read`` and ``written`` record the addresses of segments that
+    operations have touched."""
 
-    def __init__(self, spark: SparkSession, path: str, spec: TableSpec, bits: int = 8):
-        self.spark, self.path, self.spec, self.bits = spark, path.rstrip("/"), spec, bits
-        self.files = Files(spark, path)
+    def __init__(self, spark: SparkSession, path: str, spec: TableSpec, bits: int = 8, file_bits: int = 4, files: Files | None = None):
+        self.spark, self.path, self.spec, self.bits, self.file_bits = spark, path.rstrip("/"), spec, bits, file_bits
+        self.files = files or Files(spark, path)
+        self._refs = Register(self.files, "refs")
+        self._roots: dict[str, dict] = {}
+        self.read: set[str] = set()
+        self.written: set[str] = set()
 
     # refs ---------------------------------------------------------------
 
@@ -133,30 +93,23 @@ class Repository:
     def ref_name(name: str) -> str:
         return name if "/" in name else f"heads/{name}"
 
-    def _versions(self, ref: str) -> list[int]:
-        return sorted(int(x[:-5]) for x in self.files.list(f"refs/{ref}") if re.fullmatch(r"\d+\.json", x))
-
     def ref(self, name: str) -> str | None:
         """The commit a ref points to."""
-        ref = self.ref_name(name)
-        versions = self._versions(ref)
-        return json.loads(self.files.read(f"refs/{ref}/{versions[-1]}.json"))["commit"] if versions else None
+        text = self._refs.get(self.ref_name(name))[1]
+        return json.loads(text)["commit"] if text else None
 
     def update_ref(self, name: str, expected: str | None, new: str | None) -> bool:
-        """Compare and set: a ref's next version can be created once."""
-        ref = self.ref_name(name)
-        versions = self._versions(ref)
-        now = json.loads(self.files.read(f"refs/{ref}/{versions[-1]}.json"))["commit"] if versions else None
-        if now != expected:
+        """Compare and set: a ref's next version can be published once."""
+        version, text = self._refs.get(self.ref_name(name))
+        if (json.loads(text)["commit"] if text else None) != expected:
             return False
-        return self.files.create(f"refs/{ref}/{(versions[-1] if versions else 0) + 1}.json", json.dumps({"commit": new}))
+        return self._refs.put(self.ref_name(name), version, json.dumps({"commit": new}))
 
     def delete_ref(self, name: str, expected: str | None) -> bool:
         return self.update_ref(name, expected, None)
 
     def refs(self, start: str = "") -> dict[str, str]:
-        names = {x.rsplit("/", 1)[0] for x in self.files.list("refs")}
-        return {n: c for n in sorted(names) if n.startswith(start) and (c := self.ref(n)) is not None}
+        return {n: c for n in self._refs.names() if n.startswith(start) and (c := self.ref(n)) is not None}
 
     def branches(self) -> list[str]:
         return [n[6:] for n in self.refs("heads/")]
@@ -187,8 +140,9 @@ class Repository:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{self.path}/commits")
 
-    def snapshot(self, root: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/snapshots/{root}")
+    def add_commit(self, commit: Commit) -> None:
+        """An equal one that is there already stays."""
+        self.files.publish(f"commits/{commit.commit_id}.json", json.dumps(asdict(commit)))
 
     def at(self, commit_id: str) -> DataFrame:
         """Time travel."""
@@ -202,92 +156,312 @@ class Repository:
             return self.spec.select(empty).where(F.lit(False))
         return self.at(at)
 
-    def store(self, df: DataFrame) -> str:
-        """Write a snapshot under its content's root id; equal content is written once."""
-        spec = self.spec
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        rows = spec.select(df)
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartitionByRange(n, *spec.keys).sortWithinPartitions(*spec.keys).write.parquet(staged)
-        rows = self.spark.read.schema(rows.schema).parquet(staged)
-        twice = spec.duplicates(rows).first()
-        if twice is not None:
-            self.files.delete(staged[len(self.path) + 1 :])
-            raise ValueError(f"key occurs twice: {twice.asDict()}")
-        root = chunks.root_address(chunks.tree(rows, spec, self.bits))
-        fs, path = self.files.fs, self.files._path
-        if self.files.exists(f"snapshots/{root}"):
-            self.files.delete(staged[len(self.path) + 1 :])
-        else:
-            fs.mkdirs(path("snapshots"))
-            if not fs.rename(path(staged[len(self.path) + 1 :]), path(f"snapshots/{root}")):
-                raise OSError("cannot publish the snapshot")
+    # trees ----------------------------------------------------------------
+
+    def has_root(self, root: str) -> bool:
+        return root in self._roots or self.files.exists(f"roots/{root}.json")
+
+    def root_of(self, root: str) -> dict:
+        """``tree`` (folder) and ``schema`` of a stored version."""
+        if root not in self._roots:
+            text = self.files.read(f"roots/{root}.json")
+            if text is None:
+                raise KeyError(f"no version {root}")
+            self._roots[root] = json.loads(text)
+        return self._roots[root]
+
+    def schema(self, root: str) -> T.StructType:
+        return T.StructType.fromJson(self.root_of(root)["schema"])
+
+    def _key_type(self, schema: T.StructType) -> T.StructType:
+        return T.StructType([schema[k] for k in self.spec.keys])
+
+    def _tree_type(self, schema: T.StructType) -> T.StructType:
+        key = self._key_type(schema)
+        kinds = [("level", T.IntegerType()), ("pos", T.LongType()), ("address", T.StringType()), ("n", T.LongType()), ("first_key", key), ("last_key", key)]
+        kinds += [("children", T.ArrayType(T.StringType())), ("child_n", T.ArrayType(T.LongType())), ("batch", T.StringType()), ("seg", T.StringType())]
+        return T.StructType([T.StructField(n, t) for n, t in kinds])
+
+    def tree(self, root: str) -> DataFrame:
+        """``level, pos, address, n, first_key, last_key, children, child_n, batch, seg`` of the
+        nodes from segments (level 1) up."""
+        info = self.root_of(root)
+        return self.spark.read.schema(self._tree_type(self.schema(root))).parquet(f"{self.path}/{info['tree']}")
+
+    def segments(self, root: str) -> DataFrame:
+        return self.tree(root).where("level = 1")
+
+    def leaves(self, segments: DataFrame, schema: T.StructType) -> DataFrame:
+        """``batch, seg, address, n, first_key, last_key`` of the chunks of some segments."""
+        batches = [r.batch for r in segments.select("batch").distinct().collect()]
+        key = self._key_type(schema)
+        kind = T.StructType([T.StructField("seg", T.StringType()), T.StructField("address", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first_key", key), T.StructField("last_key", key)])
+        out = self.spark.createDataFrame([], T.StructType([T.StructField("batch", T.StringType()), *kind.fields]))
+        for b in batches:
+            part = self.spark.read.schema(kind).parquet(f"{self.path}/leaves/{b}").select(F.lit(b).alias("batch"), *kind.names)
+            out = out.unionByName(part)
+        return out.join(segments.select("batch", "seg").distinct(), ["batch", "seg"], "left_semi")
+
+    def nodes(self, root: str) -> DataFrame:
+        """Every node of a version: the tree and, as level 0, its chunks."""
+        tree = self.tree(root)
+        low = self.leaves(tree.where("level = 1"), self.schema(root))
+        low = low.select(F.lit(0).alias("level"), F.lit(None).cast("long").alias("pos"), "address", "n", "first_key", "last_key", F.lit(None).cast("array<string>").alias("children"), F.lit(None).cast("array<long>").alias("child_n"), "batch", "seg")
+        return tree.unionByName(low)
+
+    def edges(self, root: str) -> DataFrame:
+        return self.tree(root).select(F.col("address").alias("parent"), F.explode("children").alias("child"))
+
+    def _rows(self, segments: DataFrame, schema: T.StructType, leaf: bool = False) -> DataFrame:
+        """The rows of some segments, with their chunk's address as ``__leaf`` if asked for.
+        The driver gets a row for each segment, which names its folder."""
+        found = segments.select("address", "batch", "seg").collect()
+        self.read |= {r.address for r in found}
+        whole = T.StructType([*(schema[c] for c in self.spec.columns), T.StructField("__leaf", T.StringType())])
+        columns = [*self.spec.columns, *(["__leaf"] if leaf else [])]
+        if not found:
+            return self.spark.createDataFrame([], whole).select(*columns)
+        paths = [f"{self.path}/data/{r.batch}/__seg={r.seg}" for r in found]
+        return self.spark.read.schema(whole).parquet(*paths).select(*columns)
+
+    def snapshot(self, root: str) -> DataFrame:
+        return self._rows(self.segments(root), self.schema(root))
+
+    def _hash(self) -> Column:
+        return F.conv(F.substring(E.address(E.entry(*self.spec.keys)), 1, 8), 16, 10).cast("long")
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        """Write rows as segments; ``batch, seg, address, n, first_key, last_key`` of their chunks.
+
+        Ranges are cut after keys that close a segment, so every segment and chunk is whole
+        in one task: rows are shuffled once.  A chunk's rows meet in memory, no more."""
+        spec, keys, batch = self.spec, list(self.spec.keys), uuid.uuid4().hex
+        few, many = (1 << self.bits) - 1, (1 << (self.bits + self.file_bits)) - 1
+        marked = spec.select(rows).withColumn("__h", self._hash())
+        cuts = Ranges(marked.where(F.col("__h").bitwiseAND(F.lit(many)) == 0), keys)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = marked.withColumn("__b", cuts.number(after=True)).repartition(n, "__b")
+        before = Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+
+        def closed(mask: int) -> Column:
+            return F.coalesce(F.sum((F.col("__h").bitwiseAND(F.lit(mask)) == 0).cast("long")).over(before), F.lit(0))
+
+        placed = dealt.select("__b", closed(many).alias("__s"), closed(few).alias("__l"), *spec.columns)
+        entry = F.struct(spec.key().alias("k"), E.entry(*spec.columns).alias("e"), spec.value().alias("v") if spec.values else F.lit(None).alias("v"))
+        made = placed.groupBy("__b", "__s", "__l").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+        once = F.assert_true(F.size(F.array_distinct(F.transform("x", lambda r: r["k"]))) == F.size("x"), F.lit("key occurs twice"))
+        made = made.where(once.isNull()).select(
+            F.concat_ws("-", "__b", "__s").alias("__seg"), E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("__leaf"), F.explode("x").alias("r")
+        )
+        flat = made.select("__seg", "__leaf", "r.k.*", *([f"r.v.{v}" for v in spec.values]))
+        try:
+            flat.sortWithinPartitions("__seg", *keys).write.partitionBy("__seg").parquet(f"{self.path}/data/{batch}")
+        except Exception as e:
+            self.files.delete(f"data/{batch}")
+            if "key occurs twice" in str(e):
+                raise ValueError("a key occurs twice") from None
+            raise
+        key_columns = [rows.schema[k] for k in keys]
+        stored = T.StructType([*key_columns, T.StructField("__leaf", T.StringType()), T.StructField("__seg", T.StringType())])
+        kept = self.spark.read.schema(stored).parquet(f"{self.path}/data/{batch}")
+        leaves = kept.groupBy(F.col("__seg").alias("seg"), F.col("__leaf").alias("address")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(spec.key()).alias("first_key"), F.max(spec.key()).alias("last_key")
+        )
+        leaves.write.parquet(f"{self.path}/leaves/{batch}")
+        return self.spark.read.schema(leaves.schema).parquet(f"{self.path}/leaves/{batch}").select(F.lit(batch).alias("batch"), "*")
+
+    @staticmethod
+    def _over(leaves: DataFrame) -> DataFrame:
+        """The segments' nodes from their chunks."""
+        row = F.struct("first_key", "address", "n")
+        grouped = leaves.groupBy("batch", "seg").agg(F.array_sort(F.collect_list(row)).alias("es"), F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+        text = F.array_join(F.transform("es", lambda x: F.concat_ws(":", x["address"], x["n"].cast("string"))), ";")
+        return grouped.select("batch", "seg", E.address(text).alias("address"), "n", "first_key", "last_key", F.transform("es", lambda x: x["address"]).alias("children"), F.transform("es", lambda x: x["n"]).alias("child_n"))
+
+    def _publish_tree(self, segments: DataFrame, schema: T.StructType) -> str:
+        """Number the segments, make the levels above, and publish their root.  All of it is
+        metadata: a row for each segment and less above."""
+        keys, folder = list(self.spec.keys), f"trees/{uuid.uuid4().hex}"
+        names = [f"__k{i}" for i in range(len(keys))]
+        placed = segments.select("*", *(F.col(f"first_key.{k}").alias(n) for k, n in zip(keys, names)))
+        kind = self._tree_type(schema)
+        ranges = -(-segments.count() // chunks.PER_TASK)
+        level = materialize(numbered(placed, names, "pos", max(1, ranges)).withColumn("level", F.lit(1)).select(*kind.names), "level")
+        above = chunks.levels_above(level, UP_BITS)
+        whole = level
+        for i, up in enumerate(above):
+            full = up.select(F.lit(i + 2).alias("level"), *kind.names[1:8], F.lit(None).cast("string").alias("batch"), F.lit(None).cast("string").alias("seg"))
+            whole = whole.unionByName(full)
+        whole.write.parquet(f"{self.path}/{folder}")
+        top = (above[-1] if above else level).select("address", "n").first()
+        root = top.address if top else chunks.EMPTY_ROOT
+        self._add_root(root, folder, schema, top.n if top else 0, 1 + len(above))
+        for df in (level, *above):
+            discard(df)
         return root
 
-    def _publish(self, branch: str, commit: Commit, expected: str | None) -> Commit | None:
-        self.files.write(f"commits/{commit.commit_id}.json", json.dumps(asdict(commit)))
-        return commit if self.update_ref(branch, expected, commit.commit_id) else None
+    def _add_root(self, root: str, folder: str, schema: T.StructType, n: int, height: int) -> None:
+        """The first writer of a root names its tree; later ones wrote the same."""
+        info = {"tree": folder, "schema": schema.jsonValue(), "n": n, "height": height}
+        if not self.files.publish(f"roots/{root}.json", json.dumps(info)):
+            self.files.delete(folder)
+
+    def _stored_schema(self, df: DataFrame) -> T.StructType:
+        return T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.spec.columns])
+
+    def store(self, df: DataFrame, like: str | None = None) -> str:
+        """Write a version under its content's root id; segments that version ``like`` has
+        are not kept twice."""
+        schema = self._stored_schema(df)
+        made = materialize(self._over(self._write(df)), "segments")
+        if like is not None and self.schema(like) == schema:
+            old = self.segments(like).select("address", F.col("batch").alias("old_batch"), F.col("seg").alias("old_seg"))
+            both = materialize(made.join(old, "address", "left"), "segments")
+            for r in both.select("address", "batch", "seg", "old_batch").collect():
+                if r.old_batch is not None:
+                    self.files.delete(f"data/{r.batch}/__seg={r.seg}")
+                else:
+                    self.written.add(r.address)
+            made = both.withColumn("batch", F.coalesce("old_batch", "batch")).withColumn("seg", F.coalesce("old_seg", "seg")).drop("old_batch", "old_seg")
+        else:
+            self.written |= {r.address for r in made.select("address").collect()}
+        return self._publish_tree(made, schema)
+
+    def store_edits(self, root: str, edits: DataFrame) -> str:
+        """The version that compacted edits (``keys, values, is_delete``) make of another:
+        reads and writes the segments that hold edited keys, and the one after a segment
+        whose closing key goes."""
+        spec, keys, schema = self.spec, list(self.spec.keys), self.schema(root)
+        live = materialize(edits.select(*spec.columns, "is_delete"), "edits")
+        segs = self.segments(root).select("*", *(F.col(f"last_key.{k}").alias(k) for k in keys))
+        last = segs.agg(F.max("pos")).first()[0]
+        if last is None:
+            return self.store(live.where(~F.col("is_delete")).select(*spec.columns))
+        hit = lower_bounds(segs, keys, live.select(*keys), F.col("pos"), "pos").select(F.coalesce("pos", F.lit(last)).alias("pos"))
+        gone = live.where("is_delete").select(*(F.col(k).alias(f"__{k}") for k in keys))
+        after = segs.join(gone, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).select((F.col("pos") + 1).alias("pos"))
+        touched = [r.pos for r in hit.unionByName(after).distinct().collect()]
+        if not touched:
+            return root
+        segs = self.segments(root)
+        inside = F.col("pos").isin(touched)
+        old = self._rows(segs.where(inside), schema)
+        rows = materialize(apply_edits(old, live, spec), "rows")
+        new = materialize(self._over(self._write(rows)), "segments")
+        self.written |= {r.address for r in new.select("address").collect()}
+        kept = segs.where(~inside).select(*new.columns)
+        return self._publish_tree(kept.unionByName(new), schema)
+
+    # committing -------------------------------------------------------------
+
+    def commit_root(self, branch: str, root: str, expected: str | None, author: str, message: str, parents: list[str] | None = None, ts: int | None = None) -> Commit | None:
+        """Publish a stored version; None if the branch has moved from ``expected`` meanwhile."""
+        made = Commit.make(root, parents if parents is not None else [expected] if expected else [], author, message, int(time.time() * 1000) if ts is None else ts)
+        self.add_commit(made)
+        return made if self.update_ref(branch, expected, made.commit_id) else None
 
     def commit(self, branch: str, df: DataFrame, expected: str | None, author: str, message: str, parents: list[str] | None = None, ts: int | None = None) -> Commit | None:
-        """Store and publish; None if the branch has moved from ``expected`` meanwhile."""
+        """Store a whole table and publish it; None if the branch has moved."""
+        if self.ref(branch) != expected:
+            return None
+        like = self.commit_of(expected).root if expected else None
+        return self.commit_root(branch, self.store(df, like), expected, author, message, parents, ts)
+
+    def commit_edits(self, branch: str, edits: DataFrame, expected: str | None, author: str, message: str, ts: int | None = None, order: str | None = None) -> Commit | None:
+        """Store what edits (``keys, values, is_delete``; with ``order``, the last of each key
+        counts) make of the head and publish it; None if the branch has moved."""
         if self.ref(branch) != expected:
             return None
-        made = Commit.make(self.store(df), parents if parents is not None else [expected] if expected else [], author, message, int(time.time() * 1000) if ts is None else ts)
-        return self._publish(branch, made, expected)
+        if order is not None:
+            edits = compact(edits, self.spec, order)
+        if expected is None:
+            root = self.store(edits.where(~F.col("is_delete")).select(*self.spec.columns))
+        else:
+            root = self.store_edits(self.commit_of(expected).root, edits)
+        return self.commit_root(branch, root, expected, author, message, None, ts)
 
-    def update(self, branch: str, change, author: str, message: str, empty: DataFrame | None = None, tries: int = 10) -> Commit:
+    def update(self, branch: str, change: Callable[[DataFrame], DataFrame], author: str, message: str, empty: DataFrame | None = None, tries: int = 10) -> Commit:
         """Commit ``change(head table)``; a writer that loses the race starts again on the new
         head, at most ``tries`` times."""
+        return self._retry(branch, tries, lambda head: self.commit(branch, change(self.branch(branch, empty)), head, author, message))
+
+    def update_edits(self, branch: str, edits: DataFrame, author: str, message: str, order: str | None = None, tries: int = 10) -> Commit:
+        """Commit edits on whatever the head is."""
+        return self._retry(branch, tries, lambda head: self.commit_edits(branch, edits, head, author, message, order=order))
+
+    def _retry(self, branch: str, tries: int, attempt: Callable[[str | None], Commit | None]) -> Commit:
         for _ in range(tries):
-            head = self.ref(branch)
-            made = self.commit(branch, change(self.branch(branch, empty)), head, author, message)
+            made = attempt(self.ref(branch))
             if made is not None:
                 return made
         raise RuntimeError(f"{branch} kept moving")
 
     # changes between commits -------------------------------------------
 
+    def diff_roots(self, a: str, b: str) -> DataFrame:
+        """Between two versions: rows of chunks that only one of them has are joined.  Equal
+        roots have no difference and nothing is read."""
+        schema = self.schema(a)
+        if a == b:
+            none = self.spark.createDataFrame([], schema)
+            return diff(none, none, self.spec)
+        sa, sb = self.segments(a), self.segments(b)
+        only_a, only_b = (materialize(x.join(y.select("address"), "address", "left_anti"), "only") for x, y in ((sa, sb), (sb, sa)))
+        chunks_a, chunks_b = (self.leaves(x, s).select(F.col("address").alias("__leaf")) for x, s in ((only_a, schema), (only_b, self.schema(b))))
+        rows_a = self._rows(only_a, schema, True).join(chunks_b, "__leaf", "left_anti")
+        rows_b = self._rows(only_b, self.schema(b), True).join(chunks_a, "__leaf", "left_anti")
+        return diff(rows_a, rows_b, self.spec)
+
     def diff(self, a: str, b: str) -> DataFrame:
-        """Between two commits; equal roots have no difference and nothing is read."""
-        ca, cb = self.commit_of(a), self.commit_of(b)
-        if ca.root == cb.root:
-            return diff(self.snapshot(ca.root).where(F.lit(False)), self.snapshot(ca.root).where(F.lit(False)), self.spec)
-        return diff(self.snapshot(ca.root), self.snapshot(cb.root), self.spec)
-
-    def _base(self, a: str, b: str) -> tuple[DataFrame | None, DataFrame | None]:
-        """The base snapshot for a merge and the keys disputed in a virtual base."""
+        """Between two commits."""
+        return self.diff_roots(self.commit_of(a).root, self.commit_of(b).root)
+
+    def _base(self, a: str, b: str) -> tuple[str | None, tuple[DataFrame, DataFrame] | None]:
+        """The commit to merge over or, for a criss-cross, a virtual base and its disputed keys."""
         table = self.commits()
         minimal = sorted(r.commit_id for r in history.minimal_common_ancestors(table, a, b).collect())
-        if not minimal:
-            return None, None
         if len(minimal) == 2:
-            below, _ = self._base(*minimal)
             left = self.at(minimal[0])
-            root = below if below is not None else left.where(F.lit(False))
-            return merge.virtual_base(root, left, self.at(minimal[1]), self.spec)
-        if len(minimal) == 1:
-            return self.at(minimal[0]), None
-        return self.at(history.merge_base(table, a, b).first().commit_id), None
-
-    def merge(self, ours: str, theirs: str, author: str, message: str, policy: merge.Policy | None = None, ts: int | None = None) -> Commit | None:
+            below, made = self._base(*minimal)
+            root = made[0] if made else self.at(below) if below else left.where(F.lit(False))
+            return None, merge.virtual_base(root, left, self.at(minimal[1]), self.spec)
+        if len(minimal) > 2:
+            return history.merge_base(table, a, b).first().commit_id, None
+        return (minimal[0] if minimal else None), None
+
+    def decide(self, a: str, b: str) -> DataFrame:
+        """What a merge of two commits does with every key that either changed."""
+        base, made = self._base(a, b)
+        if made is not None:
+            decided = merge.three_way(made[0], self.at(a), self.at(b), self.spec)
+            return merge.contested(decided, made[1], self.spec).where("outcome <> 'same'")
+        if base is None:
+            left = self.at(a)
+            return merge.three_way(left.where(F.lit(False)), left, self.at(b), self.spec)
+        return merge.from_diffs(self.diff(base, a), self.diff(base, b), self.spec)
+
+    def merge(self, ours: str, theirs: str, author: str, message: str, policy: merge.Policy | None = None, ts: int | None = None, resolutions: DataFrame | None = None) -> Commit | None:
         """Merge branch ``theirs`` into ``ours`` by a commit with two parents, also where it
-        could be moved forward.  Conflicts that no policy settles raise ``Conflict``."""
+        could be moved forward.  Where one side is the base its root is taken and nothing is
+        read; else only what their side changed is written.  Conflicts that neither
+        ``resolutions`` (see ``merge.resolve``) nor the policy settles raise ``Conflict``."""
         a, b = self.ref(ours), self.ref(theirs)
         if a is None or b is None:
             raise ValueError("both branches need a commit")
-        left, right = self.at(a), self.at(b)
-        base, disputed = self._base(a, b)
-        decided = merge.three_way(base if base is not None else left.where(F.lit(False)), left, right, self.spec)
-        if disputed is not None:
-            decided = merge.contested(decided, disputed, self.spec)
-        from lamina.sources.shared import materialize
-
+        ra, rb = self.commit_of(a).root, self.commit_of(b).root
+        base, made = self._base(a, b)
+        if base is not None and self.commit_of(base).root in (ra, rb):
+            return self.commit_root(ours, rb if self.commit_of(base).root == ra else ra, a, author, message, [a, b], ts)
+        decided = self.decide(a, b)
+        if resolutions is not None:
+            decided = merge.resolve(decided, resolutions, self.spec)
         decided = materialize(decided, "merge")
         if policy is None:
             found = merge.conflicts(decided, self.spec)
             if not found.isEmpty():
-                raise Conflict(found)
-        return self.commit(ours, merge.merged(decided, self.spec, policy), a, author, message, [a, b], ts)
+                raise Conflict(found, decided)
+        root = self.store_edits(ra, merge.edits_on_ours(decided, self.spec, policy))
+        return self.commit_root(ours, root, a, author, message, [a, b], ts)
 
     def _change(self, commit_id: str) -> DataFrame:
         parents = self.commit_of(commit_id).parents
@@ -297,33 +471,36 @@ class Repository:
 
     def cherry_pick(self, branch: str, commit_id: str, author: str, message: str) -> Commit | None:
         """What the commit changed against its first parent, laid over the branch."""
-        head = self.ref(branch)
-        return self.commit(branch, apply_diff(self.branch(branch), self._change(commit_id), self.spec), head, author, message)
+        return self.commit_edits(branch, as_edits(self._change(commit_id), self.spec), self.ref(branch), author, message)
 
     def revert(self, branch: str, commit_id: str, author: str, message: str) -> Commit | None:
-        head = self.ref(branch)
-        return self.commit(branch, apply_diff(self.branch(branch), invert(self._change(commit_id), self.spec), self.spec), head, author, message)
+        return self.commit_edits(branch, as_edits(invert(self._change(commit_id), self.spec), self.spec), self.ref(branch), author, message)
 
     def log(self, branch: str) -> DataFrame:
         return history.first_parent_log(self.commits(), self.ref(branch)).join(self.commits(), "commit_id")
 
-    def blame(self, branch: str) -> DataFrame:
+    def line(self, branch: str) -> list[str]:
+        """The branch's commits along first parents, the head first."""
+        return [r.commit_id for r in history.first_parent_log(self.commits(), self.ref(branch)).orderBy("depth").collect()]
+
+    def blame(self, branch: str, group: int = 16) -> DataFrame:
         """``keys, commit_id`` of every key of the branch's head: the first-parent commit that
-        gave it its value.  The versions are read as one table of (position, key, value)."""
-        path = [r.commit_id for r in history.first_parent_log(self.commits(), self.ref(branch)).orderBy("depth").collect()]
-        spec, rows = self.spec, None
-        for depth, c in enumerate(path):
-            part = spec.select(self.at(c)).withColumn("__at", F.lit(len(path) - depth))
+        gave it its value, which is the last to have changed it.  Made from the differences
+        between neighbouring versions, some at a time, so unchanged chunks are not read."""
+        path, spec, rows = self.line(branch), self.spec, None
+        for start in range(0, len(path), group):
+            part = None
+            for depth in range(start, min(len(path), start + group)):
+                if depth + 1 < len(path):
+                    one = self.diff(path[depth + 1], path[depth]).select(*spec.keys, (F.col("diff_type") == "DEL").alias("gone"))
+                else:
+                    one = self.at(path[depth]).select(*spec.keys, F.lit(False).alias("gone"))
+                one = one.withColumn("depth", F.lit(depth))
+                part = one if part is None else part.unionByName(one)
+            part = materialize(part.groupBy(*spec.keys).agg(F.min(F.struct("depth", "gone")).alias("x")), "blame")
             rows = part if rows is None else rows.unionByName(part)
-        head = spec.select(self.at(path[0])).select(*(F.col(k).alias(f"__{k}") for k in spec.keys), *(F.col(v).alias(f"__{v}") for v in spec.values))
-        joined = rows.join(head, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in spec.keys])
-        same = F.lit(True)
-        for v in spec.values:
-            same = same & F.col(v).eqNullSafe(F.col(f"__{v}"))
-        held = joined.where(same).groupBy(*spec.keys).agg(F.collect_set("__at").alias("at"))
-        start = F.aggregate(F.sort_array("at", asc=False), F.lit(len(path) + 1), lambda a, x: F.when(x == a - 1, x).otherwise(a))
-        names = F.array(*(F.lit(c) for c in reversed(path)))
-        return held.select(*spec.keys, F.element_at(names, start).alias("commit_id"))
+        last = rows.groupBy(*spec.keys).agg(F.min("x").alias("x")).where("not x.gone")
+        return last.select(*spec.keys, F.get(F.array(*(F.lit(c) for c in path)), F.col("x.depth")).alias("commit_id"))
 
     def bisect(self, good: str, bad: str, is_bad) -> str:
         path = [r.commit_id for r in history.first_parent_log(self.commits(), bad).orderBy(F.col("depth").desc()).collect()]
@@ -331,44 +508,111 @@ class Repository:
             raise ValueError("good is not behind bad on first parents")
         return history.bisect(path[path.index(good) :], lambda c: is_bad(self.commit_of(c)))
 
+    # looking up by the tree ------------------------------------------------
+
+    def get(self, root: str, key) -> DataFrame:
+        """The row of a key, read from the one segment that can hold it."""
+        from lamina.operators import scan
+
+        wanted = F.struct(*(F.lit(k).alias(n) for k, n in zip(key if isinstance(key, tuple) else (key,), self.spec.keys)))
+        near = self.segments(root).where((F.col("first_key") <= wanted) & (F.col("last_key") >= wanted))
+        return scan.get(self._rows(near, self.schema(root)), self.spec, key)
+
+    def nth(self, root: str, n: int) -> DataFrame:
+        """The n-th row in key order, from 0, read from the segment that the counts name."""
+        from lamina.operators import scan
+
+        near = chunks.nth_entry_chunk(self.segments(root), n).first()
+        if near is None:
+            return self.snapshot(root).where(F.lit(False))
+        rows = self._rows(self.segments(root).where(F.col("pos") == near.pos), self.schema(root))
+        return scan.get(rows, self.spec, tuple(scan.rank_nth(rows, self.spec, near.offset).first()))
+
     # housekeeping --------------------------------------------------------
 
-    def gc(self, heads_only: bool = False, last: int | None = None) -> tuple[int, int]:
-        """Delete commits and snapshots that no ref reaches: (kept, swept) snapshots.  Tags
-        keep what they name unless ``heads_only``.  With ``last``, of each branch only so
-        many commits of its first-parent line are kept; a tagged one always is."""
+    def shallow(self) -> set[str]:
+        """Parents that retention has cut off."""
+        return {x[:-5] for x in self.files.list("shallow") if x.endswith(".json")}
+
+    def kept(self, heads_only: bool = False, last: int | None = None) -> set[str]:
+        """Commits that refs hold.  Tags hold what they name unless ``heads_only``.  With
+        ``last``, of each branch only so many commits of its first-parent line are held; a
+        tagged one always is."""
         keep: set[str] = set()
         table = self.commits()
+        known = {x[:-5] for x in self.files.list("commits") if x.endswith(".json")}
         for name, commit_id in self.refs().items():
-            if last is not None and name.startswith("heads/"):
-                keep |= {r.commit_id for r in history.first_parent_log(table, commit_id).where(F.col("depth") < last).collect()}
-            elif last is not None:
-                keep.add(commit_id)
-            elif not heads_only or name.startswith("heads/"):
+            head = name.startswith("heads/")
+            if last is not None:
+                keep |= {r.commit_id for r in history.first_parent_log(table, commit_id).where(F.col("depth") < last).collect()} if head else {commit_id}
+            elif not heads_only or head:
                 keep |= {r.commit_id for r in history.ancestors(table, commit_id).collect()}
-        roots = {self.commit_of(c).root for c in keep}
+        return keep & known
+
+    def gc(self, heads_only: bool = False, last: int | None = None) -> tuple[int, int]:
+        """Delete commits, versions and segments that no ref holds: (kept, swept) versions.
+        Parents that ``last`` cuts off are noted as shallow.  Nobody may write meanwhile."""
+        keep = self.kept(heads_only, last)
+        commits = [self.commit_of(c) for c in keep]
+        for p in {p for c in commits for p in c.parents} - keep:
+            self.files.publish(f"shallow/{p}.json", "{}")
         for x in self.files.list("commits"):
             if x.endswith(".json") and x[:-5] not in keep:
                 self.files.delete(f"commits/{x}")
-        stored = {x.split("/")[0] for x in self.files.list("snapshots")}
+        roots = {c.root for c in commits}
+        stored = {x[:-5] for x in self.files.list("roots") if x.endswith(".json")}
+        live: set[tuple[str, str]] = set()
+        trees = set()
+        for root in stored & roots:
+            trees.add(self.root_of(root)["tree"].split("/")[1])
+            live |= {(r.batch, r.seg) for r in self.segments(root).select("batch", "seg").collect()}
         for root in stored - roots:
-            self.files.delete(f"snapshots/{root}")
+            self.files.delete(f"roots/{root}.json")
+            self._roots.pop(root, None)
+        for tree in set(self.files.folders("trees")) - trees:
+            self.files.delete(f"trees/{tree}")
+        for batch in self.files.folders("data"):
+            for seg in self.files.folders(f"data/{batch}"):
+                if (batch, seg.removeprefix("__seg=")) not in live:
+                    self.files.delete(f"data/{batch}/{seg}")
+            if batch not in {b for b, _ in live}:
+                self.files.delete(f"data/{batch}")
+                self.files.delete(f"leaves/{batch}")
         return len(stored & roots), len(stored - roots)
 
     def stats(self) -> DataFrame:
-        """``root, files, bytes`` of each stored snapshot, from the file listing."""
-        rows: dict[str, list[int]] = {}
-        for x in self.files.list("snapshots"):
-            if x.endswith(".parquet"):
-                size = self.files.fs.getFileStatus(self.files._path(f"snapshots/{x}")).getLen()
-                row = rows.setdefault(x.split("/")[0], [0, 0])
-                row[0], row[1] = row[0] + 1, row[1] + size
-        return self.spark.createDataFrame([(r, *v) for r, v in sorted(rows.items())], "root string, files int, bytes long")
+        """``root, entries, height, segments, bytes`` of each stored version, from metadata and
+        the file listing."""
+        rows = []
+        for x in self.files.list("roots"):
+            if x.endswith(".json"):
+                info, segs = self.root_of(x[:-5]), self.segments(x[:-5]).select("batch", "seg").collect()
+                rows.append((x[:-5], info["n"], info["height"], len(segs), sum(self.files.size(f"data/{r.batch}/__seg={r.seg}") for r in segs)))
+        return self.spark.createDataFrame(rows, "root string, entries long, height int, segments int, bytes long")
 
     def verify(self) -> list[str]:
-        """Snapshots whose content does not make the root id they are stored under, and
-        commits whose snapshot is missing."""
-        stored = {x.split("/")[0] for x in self.files.list("snapshots")}
-        wrong = [f"mismatch {r}" for r in sorted(stored) if chunks.root_address(chunks.tree(self.snapshot(r), self.spec, self.bits)) != r]
+        """Versions whose rows, chunks or nodes do not hash to their addresses, and commits
+        whose version is missing."""
+        out, good = [], set()
+        stored = [x[:-5] for x in self.files.list("roots") if x.endswith(".json")]
+        for root in sorted(stored):
+            tree, schema = self.tree(root), self.schema(root)
+            text = F.array_join(F.transform(F.arrays_zip("children", "child_n"), lambda x: F.concat_ws(":", x["children"], x["child_n"].cast("string"))), ";")
+            wrong = not tree.where(E.address(text) != F.col("address")).isEmpty()
+            segs = tree.where("level = 1")
+            if good:
+                segs = segs.where(~F.col("address").isin(sorted(good)))
+            fresh = {r.address for r in segs.select("address").collect()}
+            rows = self._rows(segs, schema, True)
+            entry = F.struct(self.spec.key().alias("k"), E.entry(*self.spec.columns).alias("e"))
+            made = rows.groupBy("__leaf").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+            made = made.select("__leaf", E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("now"))
+            named = segs.select(F.explode("children").alias("__leaf")).distinct()
+            bad = made.join(named.withColumn("named", F.lit(True)), "__leaf", "full_outer").where("now is null or named is null or now <> __leaf")
+            top = tree.agg(F.max_by("address", "level")).first()[0] or chunks.EMPTY_ROOT
+            if wrong or top != root or not bad.isEmpty():
+                out.append(f"mismatch {root}")
+            else:
+                good |= fresh
         lost = [f"missing {r.root}" for r in self.commits().select("root").distinct().collect() if r.root not in stored]
-        return wrong + sorted(lost)
+        return out + sorted(lost)
