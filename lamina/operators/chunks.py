@@ -48,16 +48,6 @@ def leaf_chunks(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None
     )
 
 
-def chunk_rows(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None) -> DataFrame:
-    """The rows with the address of their chunk.  Addresses are made where the rows of a
-    chunk already meet, so rows are dealt by chunk once."""
-    rows = entries(partition(spec.select(df), list(spec.keys), closes if closes is not None else closing(spec, bits)), spec)
-    kept = F.array_sort(F.collect_list(F.struct(spec.key().alias("k"), F.col("entry").alias("e"), spec.value().alias("v"))))
-    chunks = rows.groupBy("chunk").agg(kept.alias("es"))
-    chunks = chunks.select(E.address(F.array_join(F.transform("es", lambda x: x["e"]), "")).alias("address"), F.explode("es").alias("x"))
-    return chunks.select("address", "x.k.*", "x.v.*")
-
-
 def parent_level(level: DataFrame, bits: int, ranges: int | None = None) -> DataFrame:
     """The level above ``(pos, n, address, last_key, first_key)``: ``pos`` numbers in order."""
     return _pack(running(level, ["pos"], ranges, chunk=fnv.address_boundary("address", bits).cast("long")))

@@ -33,10 +33,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import lamina.plans.stored  # noqa: F401  adds its own
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return SQL
 
 
@@ -77,11 +80,6 @@ def diff_any(spark, d):
     return _changes(spark, d).limit(1).agg((F.count(F.lit(1)) > 0).alias("changed"))
 
 
-@query(DIFF_SQL)
-def diff_pruned(spark, d):
-    return diff.pruned_diff(I.base(spark, d), I.v2(spark, d), I.ORDERS, bits=BITS)
-
-
 @query(I.V2_SQL)
 def apply_diff_roundtrip(spark, d):
     return diff.apply_diff(I.base(spark, d), _changes(spark, d), I.ORDERS)

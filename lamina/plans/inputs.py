@@ -63,8 +63,12 @@ def theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of users' values: an ``error`` event deletes.  A version is a calendar day."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(
+    return as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    """The edits that events, from a table or a stream, stand for."""
+    return events.select(
         "user_id",
         F.round(F.col("value") * 100).cast("long").alias("value"),
         (F.col("event_type") == "error").alias("is_delete"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import encoding as E
 from lamina.functions import fnv
 from lamina.model import TableSpec
-from lamina.operators import chunks, diff, radix, sequential
+from lamina.operators import chunks, radix, sequential
 from lamina.operators.ranges import Ranges, beside, numbered
 
 SPEC = TableSpec(("k",), ("v",))
@@ -49,15 +49,6 @@ def test_one_edit_changes_few_chunks(spark):
     assert chunks.changed_chunks(a, b).count() == 1
 
 
-def test_pruned_diff_is_diff(spark):
-    rng = random.Random(1)
-    a = {k: rng.choice("ab") for k in range(2000)}
-    b = {k: v for k, v in a.items() if k % 400} | {k + 5000: "n" for k in range(3)} | {777: "zz"}
-    da, db = _table(spark, list(a.items())), _table(spark, list(b.items()))
-    full = sorted(map(tuple, diff.diff(da, db, SPEC).collect()), key=repr)
-    assert sorted(map(tuple, diff.pruned_diff(da, db, SPEC, bits=4).collect()), key=repr) == full and len(full) > 5
-
-
 def _fnv(data):
     h = fnv.OFFSET
     for b in data:
