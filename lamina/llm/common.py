@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.sources.shared import materialize, shared_dir
+from lamina.sources.shared import discard, drop_path, materialize, new_path, scratch
 
 #: Rows without an id sort after every row that has one.
 NO_ID = 2**63 - 1
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def order_key(doc_id: Column | str) -> Column:
     """Documents without an id come last in every order by id."""
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(NO_ID))
@@ -44,4 +31,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-__all__ = ["NO_ID", "check_columns", "documents", "drop_path", "materialize", "new_path", "order_key", "remainder", "shared_dir"]
+__all__ = ["NO_ID", "check_columns", "discard", "documents", "drop_path", "materialize", "new_path", "order_key", "remainder", "scratch"]

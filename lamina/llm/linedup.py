@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns, materialize, order_key
+from lamina.llm.segment import slices
+from lamina.operators.ranges import numbered
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -75,7 +77,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             keys, words, doc = [], [], []
             for i, t in enumerate(batch.column(0).to_pylist()):
                 seen: dict[str, int] = {}
@@ -172,15 +174,16 @@ def deletions(keyed: DataFrame, least: int, step: int = 8) -> DataFrame:
     """``k1, k2, cut array<int>``: for documents (text, k1, k2) with aligned blocks, the
     numbers of the non-blank lines to delete.  Runs that their first holder did not
     delete go to the next ``step`` holders, then to ``step`` times as many, and so on."""
-    raw = materialize(_sequences(keyed), "lines")
-    sequences = raw.groupBy("k1", "k2").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
-    runs = materialize(_runs(raw, least), "runs")
+    sequences = _sequences(keyed).groupBy("k1", "k2").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
+    sequences = materialize(sequences, "lines")
+    runs = materialize(_runs(sequences.select("keys", "words", "k1", "k2"), least), "runs")
     first = (
         runs.groupBy("w")
         .agg(F.min(F.struct("k1", "k2")).alias("f"), F.max(F.struct("k1", "k2")).alias("z"))
         .where((F.col("f.k1") != F.col("z.k1")) | (F.col("f.k2") != F.col("z.k2")))
         .select("w", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"))
     )
+    first = materialize(first, "first")  # written, so that the join to it can split a common run's rows
     shared = materialize(runs.join(first, "w").where("k1 <> f1 or k2 <> f2"), "shared")
     cuts = materialize(_align(shared.select("k1", "k2", "f1", "f2").distinct(), sequences, least), "cuts")
 
@@ -193,9 +196,11 @@ def deletions(keyed: DataFrame, least: int, step: int = 8) -> DataFrame:
     open_ = materialize(uncut(shared.select("w", "k1", "k2", lines.alias("lines")).distinct(), cuts), "open")
     if open_.isEmpty():
         return cuts
-    order = F.row_number().over(Window.partitionBy("w").orderBy("k1", "k2"))
-    holders = shared.join(open_.select("w").distinct(), "w", "left_semi").select("w", "k1", "k2").distinct()
-    holders = materialize(holders.withColumn("r", order), "holders")
+    wanted = materialize(open_.select("w").distinct(), "wanted")
+    holders = materialize(shared.join(wanted, "w", "left_semi").select("w", "k1", "k2").distinct(), "holders")
+    placed = materialize(numbered(holders, ["w", "k1", "k2"], "at"), "placed")  # in key ranges: no run's holders meet in one task
+    starts = materialize(placed.groupBy("w").agg(F.min("at").alias("start")), "starts")
+    holders = materialize(placed.join(starts, "w").select("w", "k1", "k2", (F.col("at") - F.col("start") + 1).alias("r")), "holders")
     open_ = open_.join(holders, ["w", "k1", "k2"])
     others = holders.select("w", F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("r").alias("fr"))
     low, high = 0, step
