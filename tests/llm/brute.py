@@ -84,6 +84,52 @@ def base_scores(docs: list[tuple]) -> dict[int, tuple]:
     return out
 
 
+def lattice_scores(docs: list[tuple], weights: dict[str, float], spread: float = 3000.0) -> dict:
+    """doc_id: the score, a word and a class at a time.  docs: (id, text, lang)."""
+    from lamina.llm import lattice
+
+    counts: dict = {}
+    ends: Counter = Counter()
+    for i, t, lang in docs:
+        if i is not None and crc(i) % 7 != 2:
+            counts.setdefault(lang, Counter()).update((t or "").encode().lower().split())
+            ends[lang] += 1
+    langs = sorted(counts, key=lambda x: (x is None, x)) or [None]
+    pooled = sum((counts.get(x, Counter()) for x in langs), Counter())
+    n, all_docs = sum(pooled.values()) + sum(ends.values()), sum(ends.values())
+    lat = lattice.Lattice(weights)
+    seen = sorted(w.decode() for w in pooled)
+    if seen:
+        made, spelled, _ = lat.expect(seen)
+        lat = lat.learned(made, spelled, float(len(seen)))
+    once = sum(1 for x in langs for c in counts.get(x, Counter()).values() if c == 1)
+    other = sum(1 for x in langs for w, c in counts.get(x, Counter()).items() if c == 1 and pooled[w] > 1)
+    pool = (other + lattice.PRIOR * lattice.POOL_SHARE) / (once + lattice.PRIOR) if n else 0.0
+
+    def p(word, x) -> float:
+        c, v = counts.get(x, Counter()), len(counts.get(x, ())) + (ends[x] > 0)
+        total = sum(c.values()) + ends[x]
+        sub = lattice.END_SHARE if word is None else (1 - lattice.END_SHARE) * 10 ** float(lat.log10([word.decode()])[0])
+        mine, all_ = (ends[x], all_docs) if word is None else (c[word], pooled[word])
+        v = max(1, v)
+        return (mine + v * (pool * all_ / max(1, n) + (1 - pool) * sub)) / (total + v)
+
+    out = {}
+    for i, t, _ in docs:
+        words = [*(t or "").encode().lower().split(), None]
+        logs = []
+        for x in langs:
+            used: Counter = Counter()
+            s = math.log(ends[x] / all_docs) if all_docs and ends[x] else 0.0 if not all_docs else -math.inf
+            for k, w in enumerate(words):  # a word after the other: the lattice's share and the text's own
+                s += math.log((spread * p(w, x) + used[w]) / (spread + k))
+                used[w] += 1
+            logs.append(s)
+        top = max(logs)
+        out[i] = (top + math.log(sum(math.exp(s - top) for s in logs))) / math.log(10)
+    return out
+
+
 def line_pairs(docs: list[tuple]) -> dict[int, tuple]:
     """doc_id: the text, and for each first holder of its lines the (later, first, words)
     rows with the length of their longest increasing run, by plain dynamic programming.

@@ -80,6 +80,20 @@ def test_op6(spark, sf, docs):
     assert len(rows) == len(docs)
 
 
+def test_op6_scores(spark):
+    """Against a version that goes through words and classes one by one."""
+    from lamina.llm import lattice, unigram
+
+    rows = [(i, f"alpha beta {w} gamma {w} delta {'x' * (i % 5)} Ärger {w}{i}", lang) for i, (w, lang) in enumerate([("one", "en"), ("zwei", "de"), ("uno", None)] * 6)]
+    rows += [(90, None, "en"), (91, "", "de"), (92, "alpha " * 40 + "neu 日本", "fr")]
+    weights = lattice.rank_weights(unigram.read_pieces(Q.vocabulary("piece_bpe_32k.model"))[0])
+    want = brute.lattice_scores(rows, weights)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for cells in (500_000, 12, 0):
+        got = {r.doc_id: r.score for r in lattice.score_documents(df, weights, head_cells=cells).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_op7(spark, sf):
     vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     ids = np.array(sorted(vectors))
