@@ -106,13 +106,29 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> list[DataFrame]:
-    """The benchmark in so many parts, dealt by text hash, that one is about ``max_bytes``
-    of text; its size is measured, not assumed."""
-    total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = -(-total // max_bytes) or 1
+def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
+    """``item string, w binary``: the windows of each item, their words parted by spaces, once
+    each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [b" ".join(w) for w in dict.fromkeys(windows(words(t), size))]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "w"])
+
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
-    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
+    return rows.mapInArrow(run, "item string, w binary").distinct()
+
+
+_TABLES: list[tuple[dict, WuManber]] = []
+
+
+def _tables(owner: dict[tuple[bytes, ...], list[str]]) -> WuManber:
+    """The tables of a block, built once in a worker, where a broadcast value is one object as
+    long as it is held; only the last block's are."""
+    if not _TABLES or _TABLES[0][0] is not owner:
+        _TABLES[:] = [(owner, WuManber(owner))]
+    return _TABLES[0][1]
 
 
 def find_overlap(
@@ -123,67 +139,72 @@ def find_overlap(
     item_id: str = "item_id",
     item_text: str = "text",
     size: int = 10,
-    max_bytes: int = 32 << 20,
+    most_windows: int = 20_000,
 ) -> DataFrame:
     """The ``keep`` columns, then ``n_words long, spans array<int>, items array<string>``:
     flat [start, end) word spans that lie in occurrences of benchmark windows, and the
     sorted distinct ids of the items they come from.
 
-    A benchmark of up to ``max_bytes`` of text is broadcast whole.  A larger one is
-    searched block by block, each pass adding to the spans and ids of the pass before,
-    which is kept as a table; memory is that of one block.
+    The benchmark is dealt into blocks of about ``most_windows`` windows, each broadcast in
+    turn, so memory is that of one block however large the benchmark is.  Of several
+    blocks each one's hits, by text, are a table, and these are put together and joined
+    to the documents.
     """
     check_columns(docs, doc_text, *keep)
     check_columns(benchmark, item_id, item_text)
     spark = docs.sparkSession
-    names = [*keep, "text", "n_words", "spans", "items"]
-    fields = [docs.schema[n] for n in keep]
-    more = [
-        T.StructField("text", T.StringType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.IntegerType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-    schema = T.StructType([*fields, *more])
-    blocks = benchmark_blocks(benchmark, item_id, item_text, max_bytes)
-    at = len(keep)
-    now = docs.select(*keep, F.col(doc_text).alias("text"))
-    for k, block in enumerate(blocks):
+    parts = materialize(benchmark_windows(benchmark, item_id, item_text, size), "windows")
+    n = max(1, -(-parts.count() // most_windows))
+    found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def search(rows: DataFrame, k: int, hits_only: bool) -> DataFrame:
+        """The rows' columns but the last, their text, and what block k finds in it."""
+        block = parts.where(F.pmod(F.xxhash64("item", "w"), F.lit(n)) == k) if n > 1 else parts
         owner: dict[tuple[bytes, ...], list[str]] = {}
-        for item, text in block.collect():
-            for w in windows(words(text), size):
-                ids = owner.setdefault(w, [])
-                if item is not None and item not in ids:
-                    ids.append(item)
+        for r in block.collect():
+            ids = owner.setdefault(tuple(bytes(r.w).split()), [])
+            if r.item is not None:
+                ids.append(r.item)
         shared = spark.sparkContext.broadcast(owner)
-        last, first = k == len(blocks) - 1, k == 0
+        at, schema = len(rows.columns) - 1, T.StructType([*rows.schema.fields[:-1], *found.fields])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = shared.value
-            search = WuManber(owner)
+            tables = _tables(owner)
             for batch in batches:
-                text = batch.column(at)
-                spans, items, count = [], [], []
-                for i, t in enumerate(text.to_pylist()):
-                    ws = words(t)
-                    found, ids = _spans(ws, search, owner)
-                    if not first:
-                        was = batch.column(at + 2)[i].as_py()
-                        found = _merge([*zip(was[::2], was[1::2]), *zip(found[::2], found[1::2])])
-                        ids.update(batch.column(at + 3)[i].as_py())
+                count, spans, items = [], [], []
+                for t in batch.column(at):
+                    ws = words(t.as_py())
+                    hit, ids = _spans(ws, tables, owner)
                     count.append(len(ws))
-                    spans.append(found)
+                    spans.append(hit)
                     items.append(sorted(ids))
-                kept = pa.nulls(len(text), pa.string()) if last else text
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:at], kept, pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names,
-                )
-
-        now = now.mapInArrow(run, schema)
-        if not last:
-            now = materialize(now, "overlap")
-    return now.drop("text") if "text" not in keep else now
+                cells = [pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([*batch.columns[:at], *cells], schema.names)
+                yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else out
+
+        return rows.mapInArrow(run, schema)
+
+    if n == 1:
+        return search(docs.select(*keep, F.col(doc_text).alias("__text")), 0, False)
+    text = F.col(doc_text)
+    keys = [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
+    hits = None
+    for k in range(n):
+        part = materialize(search(docs.select(*keys, text.alias("__text")), k, True).dropDuplicates(["__h1", "__h2"]), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.groupBy("__h1", "__h2").agg(F.collect_list("spans").alias("__s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__i"))
+    rows = docs.select(*keep, text.alias("__text"), *keys).join(materialize(hits, "hits"), ["__h1", "__h2"], "left").select(*keep, "__i", "__s", "__text")
+    at, schema = len(keep), T.StructType([*(docs.schema[c] for c in keep), *found.fields])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = [len(words(t.as_py())) for t in batch.column(at + 2)]
+            spans = [_merge([p for s in lists or () for p in zip(s[::2], s[1::2])]) for lists in batch.column(at + 1).to_pylist()]
+            items = [i or [] for i in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema.names)
+
+    return rows.mapInArrow(finish, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
@@ -206,7 +227,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+    """The rows of ``docs``, all columns, in which no benchmark window occurs.  Null and empty
+    texts stay, repeated rows stay or go together; an empty table gives no rows."""
     names = docs.columns
     inner = [f"__c{i}" for i in range(len(names))]
     found = find_overlap(docs.toDF(*inner), benchmark, tuple(inner), inner[names.index(text)], item_id, item_text, size)

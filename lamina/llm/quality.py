@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import check_columns, remainder
+from lamina.llm.common import check_columns, materialize, remainder
+from lamina.llm.segment import slices
 
 #: Classes of a text's bytes: Upper and lower letters (all beyond ASCII count as
 #: lower), Digits, Signs, white space.
@@ -182,26 +183,36 @@ class LineCRF:
         return np.clip(out, 0.0, 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", mod: int = 4, held: int = 2, sample: int = 4000, longest: int = 5000) -> LineCRF:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", mod: int = 4, held: int = 2, sample: int = 4000, most_lines: int = 200_000) -> LineCRF:
     """Fit on ``sample`` labelled rows at most, those of the smallest id hash, among ids
-    whose crc32 mod ``mod`` is not ``held``.  Rows with a null id or label are not
-    learned from; an id labelled twice counts twice; documents of more than ``longest``
-    lines are not learned from, which bounds what the driver gets.  Lines' features are
-    made on the executors."""
+    whose crc32 mod ``mod`` is not ``held``, and of these, in that order, on as many as have
+    ``most_lines`` lines together (a longer document than there is room for is passed
+    over), which bounds what the driver gets.  Rows with a null id or label are not
+    learned from; an id labelled twice counts twice.  Lines' features are made on the
+    executors."""
     check_columns(docs, doc_id, text)
     check_columns(labels, label_id, label)
+    order = F.xxhash64("__id")
     chosen = (
         labels.select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("__label"))
         .where(F.col("__label").isin(0, 1) & (remainder("__id", mod) != held))
-        .orderBy(F.xxhash64("__id"), "__label")
+        .orderBy(order, "__label")
         .limit(sample)
     )
+    chosen = materialize(chosen, "chosen")
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1
+    sizes = rows.groupBy("__id", "__label").agg(F.sum(F.coalesce(lines, F.lit(1))).alias("n")).orderBy(order, "__label").collect()  # sample rows
+    room, fit = most_lines, set()
+    for r in sizes:
+        if r.n <= room:
+            fit.add((r[0], r[1]))
+            room -= r.n
+    kept = docs.sparkSession.createDataFrame(sorted(fit, key=str), chosen.schema)
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen.join(F.broadcast(kept), ["__id", "__label"], "left_semi")), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [(t or "").count("\n") < longest for t in batch.column(0).to_pylist()]
-            batch = batch.filter(pa.array(short, pa.bool_()))
             made = [document_features(t.as_py())[0].tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "y"])
 
@@ -212,8 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def with_quality(docs: DataFrame, model: LineCRF, text: str = "text", name: str = "score", least: float | None = None) -> DataFrame:
-    """All columns of ``docs`` and the score (no column if ``name`` is empty), in one pass
-    without a shuffle; with ``least``, only rows that score so much."""
+    """All columns of ``docs`` and the score (no column if ``name`` is empty; one of that name
+    gives way to it), in one pass without a shuffle; with ``least``, only rows that score
+    so much.  A null or empty text is scored as one empty line."""
+    docs = docs.drop(name) if name in docs.columns and name != text else docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     inner = [f"__c{i}" for i in range(len(names))]
@@ -223,14 +236,11 @@ def with_quality(docs: DataFrame, model: LineCRF, text: str = "text", name: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
+            for part in slices(batch, at, 2 << 20):
                 score = pa.array(shared.value.quality(part.column(at).to_pylist()))
                 out = pa.RecordBatch.from_arrays([*part.columns, score], schema.names)
                 yield out if least is None else out.filter(pc.greater_equal(score, least))
 
-
-
     scored = docs.toDF(*inner).mapInArrow(run, schema)
     return scored.toDF(*names, name) if name else scored.drop("__score").toDF(*names)
 

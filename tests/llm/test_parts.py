@@ -163,9 +163,9 @@ def test_wu_manber(texts, items):
 
 def test_benchmark_in_blocks(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    find = lambda most: sorted((r.doc_id, r.n_words, tuple(r.spans), tuple(r["items"])) for r in decontaminate.find_overlap(docs, bench, ("doc_id",), max_bytes=most).collect())
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
-    assert find(size // 3) == find(1 << 25)
+    find = lambda most: sorted((r.doc_id, r.n_words, tuple(r.spans), tuple(r["items"])) for r in decontaminate.find_overlap(docs, bench, ("doc_id",), most_windows=most).collect())
+    assert decontaminate.benchmark_windows(bench, "item_id", "text", 10).count() > 400
+    assert find(150) == find(1 << 25)
 
 
 @given(st.lists(st.lists(st.sampled_from(["a b", "c d e", "f", "g h", "", "  i  "]), max_size=9), min_size=1, max_size=5))
@@ -302,16 +302,38 @@ def test_lattice_is_enumeration():
                 math.exp(lat.first[s[0]] + sum(lat.rest[x] for x in s[1:]) + (len(s) - 1) * lat.go + lat.stop)
                 for s in _segmentations("▁" + word, {**lat.first, **lat.rest}) if s[0] in lat.first and all(x in lat.rest for x in s[1:])
             )
-            assert 10 ** lat.log10(word) == pytest.approx(p)
+            assert 10 ** lat.log10([word, "ba"])[0] == pytest.approx(p)
             total += p
     assert 0.5 < total < 1
-    counts: dict = {}
-    lat.expect("abab", 1.0, counts)
-    found = [(s, math.exp(lat.first[s[0]] + sum(lat.rest[x] for x in s[1:]) + (len(s) - 1) * lat.go)) for s in _segmentations("▁abab", {**lat.first, **lat.rest}) if s[0] in lat.first]
-    z = sum(w for _, w in found)
-    for piece in lat.rest:
-        assert counts.get(piece, 0.0) == pytest.approx(sum(w * s.count(piece) for s, w in found) / z)
-    assert lat.log10("z日") < lat.log10("ab") and lattice.Lattice({}).log10("xy") < 0
+    counts, spelled, steps = lat.expect(["abab", "b"])
+    for word, into in (("abab", 1), ("b", 1)):
+        found = [(s, math.exp(lat.first[s[0]] + sum(lat.rest[x] for x in s[1:]) + (len(s) - 1) * lat.go)) for s in _segmentations("▁" + word, {**lat.first, **lat.rest}) if s[0] in lat.first]
+        z = sum(w for _, w in found)
+        for i, piece in enumerate(lat.pieces):
+            counts[i] -= into * sum(w * s.count(piece) for s, w in found) / z
+        steps -= sum(w * (len(s) - 1) for s, w in found) / z
+    assert np.abs(counts).max() < 1e-9 and abs(spelled) < 1e-9 and abs(steps) < 1e-9
+    odd = lat.log10(["z日", "ab", ""])
+    assert odd[0] < odd[1] and lattice.Lattice({}).log10(["xy"])[0] < 0
+    lone = [float(lat.log10([w])[0]) for w in ("z日", "ab", "", "abba" * 20)]
+    assert lat.log10(["z日", "ab", "", "abba" * 20]) == pytest.approx(lone)
+    assert lat.expect(["zz"])[1] == pytest.approx(2)
+    again = lat.learned(*(x for x in lat.expect(["abab", "zb"])[:2]), 2.0, prior=1e-6)
+    assert again.log10(["abab", "zb"]).sum() > lat.log10(["abab", "zb"]).sum()
+
+
+def test_rising():
+    x, n = np.array([1e-7, 0.3, 5.0, 1e-3, 2.0]), np.array([1, 2, 3, 400, 30])
+    want = [sum(math.log10(a + j) for j in range(b)) for a, b in zip(x, n)]
+    assert lattice.rising(x, n) == pytest.approx(want, rel=1e-10)
+
+
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aBÉé \n\t\x0b\x85\u3000日"), max_size=12)), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_words_of(texts):
+    own, codes, at = lattice.words_of(pa.array([None, "x y", *texts], pa.string()).slice(2))
+    names = own.to_pylist()
+    assert [[names[c] for c in codes[a:b]] for a, b in zip(at, at[1:])] == [(t or "").encode().lower().split() for t in texts]
 
 
 def test_graph_recall():
