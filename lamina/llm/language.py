@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import check_columns, remainder
+from lamina.llm.segment import slices
 
 _PAD = np.uint64(0x1FFFFF)  # beyond any code point
 _LETTERS: np.ndarray | None = None
@@ -80,15 +81,20 @@ class Profiles:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", mod: int = 5, held: int = 0, size: int = 300, sample: int = 2000) -> Profiles:
     """Profiles from ``sample`` documents at most of each language, those of the smallest
     id hash, with a language and an id whose crc32 mod ``mod`` is not ``held``.  The
-    ids are chosen first, without the texts; counts are summed before the shuffle."""
+    ids are chosen first, without the texts: only those whose hash is under a bound that
+    some more than ``sample`` of the language's rows are expected to meet are ordered.
+    Counts are summed before the shuffle."""
     check_columns(docs, doc_id, text, lang)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     able = rows.where(F.col("__lang").isNotNull() & (remainder("__id", mod) != held))
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = able.select("__lang", "__id").withColumn("__n", rank).where(F.col("__n") <= sample).select("__lang", "__id").distinct()
+    sizes = able.groupBy("__lang").agg(F.count(F.lit(1)).alias("__all"))  # a row a language
+    share = F.least(F.lit(1.0), (sample * 1.25 + 200) / F.col("__all"))
+    near = able.select("__lang", "__id").join(F.broadcast(sizes), "__lang").where(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) <= share * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)), "__id"))
+    chosen = near.select("__lang", "__id").distinct().withColumn("__n", rank).where(F.col("__n") <= sample).select("__lang", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             made: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 made.setdefault(name, []).append(ngrams(t))
@@ -118,7 +124,7 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.predict(t.as_py()) for t in batch.column(2)]
+            made = [shared.value.predict(t.as_py()) for t in batch.column(2)]  # a text at a time
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3, keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(keep))], dtype=np.uint64).view(np.int64)
+            bits = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(keep))], dtype=np.uint64).view(np.int64)  # a text at a time
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(bits)], [*keep, "fp"])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
@@ -81,10 +81,13 @@ def _variants(fp: Column) -> Column:
     return F.concat(*(keys(s) for s in range(BITS // SEGMENT)))
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 2, pair_bucket: int = 48) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 2, pair_bucket: int = 48, few: int = 1_000_000) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct ``fp`` within ``distance`` (1 or 2) bits.
 
-    Buckets of up to ``pair_bucket`` fingerprints are verified pair by pair.
+    A bucket of two is its smallest and its greatest member, so counting it yields the
+    pair.  Members of larger buckets are looked up by their keys, which are broadcast where
+    they are ``few`` at most, counted first, and else joined.  Buckets of up to
+    ``pair_bucket`` fingerprints are verified pair by pair.
     Fingerprints of larger buckets take an exact linear way instead: each is put under
     all its ``distance``-wildcard patterns (2,016 at 2 bits), and those that share a
     pattern, at most four and exactly those within ``distance`` bits, are tied to its
@@ -93,8 +96,11 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, pair_bucket: int = 48)
     if distance not in (1, 2):
         raise ValueError("distance is 1 or 2 bits")
     rows = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    sized = materialize(sized, "buckets")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    sizes = materialize(sizes, "sizes")
+    two = sizes.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
+    many = sizes.where("n > 2").select("key", "n")
+    sized = materialize(rows.join(F.broadcast(many) if many.count() <= few else many, "key"), "buckets")
 
     def near(v: Column, x: Column, i: Column) -> Column:
         rest = F.filter(F.slice(v, i + 2, F.size(v)), lambda y: F.bit_count(x.bitwiseXOR(y)) <= distance)
@@ -119,7 +125,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, pair_bucket: int = 48)
     patterns = hot.select("fp", "i", "j", F.col("fp").bitwiseAND(F.bitwise_not(mask)).alias("rest"))
     shared = patterns.groupBy("i", "j", "rest").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("v"))
     large = shared.where(F.size("v") > 1).select("a", F.explode("v").alias("b")).where("a <> b").distinct()
-    return small.unionByName(large)
+    return two.unionByName(small).unionByName(large)
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, distance: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -128,11 +134,13 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, distance: int
     is over distinct fingerprints, so exact copies cost one row each."""
     check_columns(docs, doc_id, text, *extra)
     base = materialize(with_fingerprint(docs, text, width, (doc_id, *extra)), "fingerprints")
-    fps = base.groupBy("fp").agg(F.min(order_key(doc_id)).alias("low"))
+    fps = materialize(base.groupBy("fp").agg(F.min(order_key(doc_id)).alias("low")), "distinct")
     roots = connected_components(fingerprint_links(fps.select("fp"), distance))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    lows = named.groupBy("root").agg(F.min("low").alias("low"))
-    return base.join(named.select("fp", "root"), "fp").join(lows, "root")
+    named = materialize(named, "named")
+    lows = materialize(named.groupBy("root").agg(F.min("low").alias("low")), "lows")
+    named = materialize(named.select("fp", "root").join(lows, "root"), "named")
+    return base.join(named, "fp")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -152,11 +160,18 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component: the one of the smallest
-    id (rows without an id last), of the smaller text hash among equal ids; of fully
-    repeated rows one."""
-    keyed = docs.select("*", order_key(doc_id).alias("__k1"), F.xxhash64(text).alias("__k2"))
-    found = _labelled(keyed.select(doc_id, text, "__k1", "__k2"), doc_id, text, width, distance, ("__k1", "__k2"))
-    kept = found.groupBy("root").agg(F.min(F.struct("__k1", "__k2")).alias("best")).select("best.*")
-    one = keyed.join(kept, ["__k1", "__k2"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(1)))
-    return one.withColumn("__n", rank).where("__n = 1").select(*(F.col(f"`{n}`") for n in docs.columns))
+    id (rows without an id last), of the smaller text hash among equal ids; of rows equal
+    in both one.  Null and empty texts are one component with all else of fingerprint
+    zero.  An empty table gives no rows."""
+    check_columns(docs, doc_id, text)
+    names = docs.columns
+    inner = [f"__c{i}" for i in range(len(names))]
+    keyed = docs.toDF(*inner).select("*", order_key(inner[names.index(doc_id)]).alias("__k1"), F.xxhash64(inner[names.index(text)]).alias("__k2"))
+    found = _labelled(keyed.select(F.col(inner[names.index(doc_id)]).alias("doc_id"), F.col(inner[names.index(text)]).alias("text"), "__k1", "__k2"), "doc_id", "text", width, distance, ("__k1", "__k2"))
+    best = found.groupBy("root").agg(F.min(F.struct("__k1", "__k2")).alias("best")).select("best.*")
+    twice = found.groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialize(best.join(twice, ["__k1", "__k2"]), "kept")
+    chosen = keyed.join(kept, ["__k1", "__k2"])
+    alone = chosen.where("__n = 1").select(*inner)
+    again = chosen.where("__n > 1").groupBy("__k1", "__k2").agg(F.first(F.struct(*inner)).alias("r")).select("r.*")
+    return alone.unionByName(again).toDF(*names)
