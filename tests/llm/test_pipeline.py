@@ -108,3 +108,42 @@ def test_repeated_rows_and_nulls(spark):
     cut = linedup.remove_repeated_lines(df)
     assert cut.count() == 7 and cut.columns[:3] == df.columns
     assert cut.where(F.col("doc_id") == 2).first().text == "a b c d"  # four words: under the least
+
+
+ODD = ["score", "__cut", "__c0", "key", "fp", "spans", "n_tokens", "__k1", "__n", "root"]
+
+
+def test_every_stage_takes_odd_rows(spark, sf):
+    """Nulls, empty texts, repeated rows, clashing and odd column names, an empty table."""
+    rows = [(1, "Good words stand here, and they end well.", "en"), (1, "Good words stand here, and they end well.", "en"), (2, None, None), (3, "", "en"), (None, "no id here but some words", None), (None, None, "x"), (4, "x" * 60_000, "en"), (5, "w " * 20_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = df.select("*", F.lit(None).cast("long").alias("n_chars"), *(F.lit("clash").alias(c) for c in ODD), F.lit(1).alias("odd.name"))
+    for name, stage in P.STAGES:
+        out = stage(spark, df, sf)
+        got = [tuple(r) for r in out.collect()]
+        if name != P.STAGES[-1][0]:
+            assert out.columns == df.columns
+            assert set(map(str, got)) <= {str(tuple(r)) for r in df.collect()}
+        else:
+            assert len(got) == len(rows) and {r.doc_id: r.n_tokens for r in out.where("doc_id in (2, 3)").collect()} == {2: 0, 3: 0}
+        assert stage(spark, df.where("false"), sf).count() == 0
+    assert P.dedup_near(spark, df, sf).count() == 5  # 1, 2 (with 3 and the null text), no id, 4, 5
+    assert P.decontaminate_benchmark(spark, df, sf).count() == len(rows)
+    assert P.dedup_lines(spark, df, sf).where("doc_id = 2 and text is null").count() == 1
+
+
+def test_encoded_columns_give_way(spark):
+    from lamina.llm import bpe
+    from lamina.llm.queries import vocabulary
+
+    df = spark.createDataFrame([(1, "a b", 9, "keep")], "doc_id long, text string, n_tokens int, other string")
+    out = bpe.encode_table(df, vocabulary("byte_bpe_50k.tiktoken"))
+    assert out.columns == ["doc_id", "other", "n_tokens", "ids_sha256", "decoded_sha256"] and out.first().n_tokens == 2
+
+
+def test_a_score_column_gives_way(spark, sf):
+    from lamina.llm import quality
+
+    df = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, score string")
+    out = quality.with_quality(df, quality.LineCRF())
+    assert out.columns == ["doc_id", "text", "score"] and out.first().score == 0.5
