@@ -196,13 +196,22 @@ def build_index(nodes: DataFrame, shard_rows: int, m: int, width: int, count: in
     return nodes.repartition(parts, F.xxhash64("v")).mapInArrow(run, INDEX)
 
 
-def _search(index: DataFrame, queries: list[tuple[int, list[float]]], m: int, k: int, width: int) -> DataFrame:
-    """``q, ids, score``: each shard's k nearest nodes to each query of a block."""
-    shared = index.sparkSession.sparkContext.broadcast([(q, np.array(v, np.float64)) for q, v in queries])
+def _search(index: DataFrame, queries: pa.Table, m: int, k: int, width: int) -> DataFrame:
+    """``q, ids, score``: each shard's k nearest nodes to each query (q, v) of a block, which
+    is broadcast as a matrix for each dimension."""
+    lists = queries.column("v").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes, flat, at = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+    number, by_dim = queries.column("q").to_numpy(), {}
+    for dim in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == dim)
+        by_dim[dim] = (number[own], flat[at[own][:, None] + np.arange(dim)])
+    shared = index.sparkSession.sparkContext.broadcast(by_dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
                 n, dim = row["n"], row["dim"]
                 x = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
                 flat, links, at = np.frombuffer(row["links"], np.int32), [], 0
@@ -212,28 +221,32 @@ def _search(index: DataFrame, queries: list[tuple[int, list[float]]], m: int, k:
                     at += n * w
                 g = Graph.stored(x, links, row["entry"])
                 out: list[tuple[int, list[int], float]] = []
-                for q, v in shared.value:
-                    if len(v) == dim:
-                        found, far = g.found(v, max(width, k))
-                        best = sorted((d, row["ids"][i]) for i, d in zip(found.tolist(), far.tolist()))
-                        out += [(q, ids, d) for d, ids in best[:k]]
+                for q, v in zip(*by_dim_of(shared.value, dim)):
+                    found, far = g.found(v, max(width, k))
+                    best = sorted((d, row["ids"][i]) for i, d in zip(found.tolist(), far.tolist()))
+                    out += [(q, ids, d) for d, ids in best[:k]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.float64())],
                     ["q", "ids", "score"],
                 )
 
+    def by_dim_of(value: dict, dim: int) -> tuple[list[int], np.ndarray]:
+        ids, matrix = value.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
+        return ids.tolist(), matrix
+
     return index.mapInArrow(run, "q long, ids array<long>, score double")
 
 
-def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, shard_rows: int = 8192, m: int = 12, width: int = 80, search_width: int = 128, block: int = 8192) -> DataFrame:
+def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, shard_rows: int = 8192, m: int = 12, width: int = 80, search_width: int = 128, block: int = 65_536) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id ``every`` divides, the ``k``
     nearest of all other rows that the graphs find; ties go to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an id, take no part.  Vectors of another dimension are no candidates.  Rows
     equal in id and vector count once.  Of equal vectors only the k + 1 smallest ids are
-    kept, all that any answer can name.  Every usable row is indexed.  Other columns are
-    not looked at.  An empty table gives no rows.
+    kept, all that any answer can name.  Every usable row is indexed.  Queries go out in
+    blocks of ``block``, and the index is read once a block.  Other columns are not looked
+    at.  An empty table gives no rows.
     """
     check_columns(rows, vec_id, vector)
     good = usable(rows, vec_id, vector)
@@ -248,7 +261,7 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     found = None
     for b in range(blocks):
         part = distinct.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else distinct
-        got = _search(index, [(r.q, r.v) for r in part.collect()], m, k + 1, search_width)
+        got = _search(index, part.toArrow(), m, k + 1, search_width)
         best = F.row_number().over(Window.partitionBy("q").orderBy("score", F.element_at("ids", 1)))
         got = got.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
         if blocks > 1:
