@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +253,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     begins = bounds[:-1][bounds[:-1] < bounds[1:]]
     start[begins] = dark[begins]
     places = np.flatnonzero(start)
-    at = np.append((np.cumsum(dark) - 1)[places], np.count_nonzero(dark)).astype(np.int32)
+    at = np.append((np.cumsum(dark, dtype=np.int32) - 1)[places], np.int32(np.count_nonzero(dark)))
     packed = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(at), pa.py_buffer(np.compress(dark, _LOWER[raw]))])
     coded = packed.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(places, bounds)
@@ -272,7 +273,7 @@ def _count(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 20 << 20):
+            for part in slices(batch, 0):
                 own, codes, at = words_of(part.column(0))
                 kind = np.repeat(part.column(1).to_numpy().astype(np.int64) + 1, np.diff(at))
                 both, times = np.unique(kind * max(1, len(own)) + codes, return_counts=True)
@@ -444,7 +445,7 @@ def score_documents(
             for part in slices(batch, 2):
                 own, doc, word, times, size = _counted(part.column(2))
                 n = len(size)
-                spot = np.fromiter((place.get(w, -1) for w in own.to_pylist()), np.int64, len(own))[word]
+                spot = np.fromiter(map(place.get, own.to_pylist(), repeat(-1)), np.int64, len(own))[word]
                 hit = np.flatnonzero(spot >= 0)
                 at, t, d = spot[hit], times[hit], doc[hit]
                 drawn = model.drawn(shares[at], t)
