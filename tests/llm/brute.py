@@ -130,6 +130,65 @@ def lattice_scores(docs: list[tuple], weights: dict[str, float], spread: float =
     return out
 
 
+def languages(docs: list[tuple], size: int = 300) -> dict:
+    """doc_id: (language, score), by profiles in plain counters.  docs: (id, text, lang)."""
+
+    def grams(text) -> Counter:
+        out: Counter = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {word} "
+            for n in (1, 2, 3):
+                out.update(padded[i : i + n] for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
+        return out
+
+    def order(g: str) -> tuple:
+        """Ties go by code points, the last letter first; what an n-gram lacks comes last, a word's edge first."""
+        return tuple(reversed([*(0 if c == " " else ord(c) for c in g), *[1 << 30] * (3 - len(g))]))
+
+    def ranked(counts: Counter) -> list[str]:
+        return sorted(counts, key=lambda g: (-counts[g], order(g)))[:size]
+
+    learned: dict = {}
+    for i, t, lang in docs:
+        if lang is not None and i is not None and crc(i) % 5 != 0:
+            learned.setdefault(lang, Counter()).update(grams(t))
+    profiles = {x: {g: r for r, g in enumerate(ranked(c))} for x, c in learned.items() if c}
+    out = {}
+    for i, t, _ in docs:
+        mine = ranked(grams(t))
+        if not mine or not profiles:
+            out[i] = ("und", 0.0)
+            continue
+        off = {x: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(mine)) for x, p in profiles.items()}
+        best = min(sorted(off), key=lambda x: off[x])
+        out[i] = (best, 1 - off[best] / (size * len(mine)))
+    return out
+
+
+def crf_score(model, text) -> float:
+    """The length-weighted marginal of label 1 over a text's lines, one path at a time in
+    plain loops."""
+    from lamina.llm import quality
+
+    x, size = quality.document_features(text)
+    emit = [[0.0, float(((row - model.mean) / model.spread) @ model.weights + model.bias)] for row in x.astype(float)]
+    n = len(emit)
+
+    def plus(values) -> float:
+        top = max(values)
+        return top + math.log(sum(math.exp(v - top) for v in values))
+
+    ahead = [[float(model.start[b]) + emit[0][b] for b in (0, 1)]]
+    for i in range(1, n):
+        ahead.append([plus([ahead[-1][a] + float(model.step[a][b]) for a in (0, 1)]) + emit[i][b] for b in (0, 1)])
+    behind = [[0.0, 0.0]]
+    for i in range(n - 2, -1, -1):
+        behind.append([plus([float(model.step[a][b]) + emit[i + 1][b] + behind[-1][b] for b in (0, 1)]) for a in (0, 1)])
+    behind.reverse()
+    z = plus(ahead[-1])
+    return sum(math.exp(a[1] + b[1] - z) * s for a, b, s in zip(ahead, behind, size)) / float(size.sum())
+
+
 def line_pairs(docs: list[tuple]) -> dict[int, tuple]:
     """doc_id: the text, and for each first holder of its lines the (later, first, words)
     rows with the length of their longest increasing run, by plain dynamic programming.

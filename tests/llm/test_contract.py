@@ -133,6 +133,22 @@ def test_op9(spark, sf, labels):
     assert np.mean(held) >= 0.9
 
 
+def test_op9_scores(spark, sf, docs):
+    """Every text's score against plain forward and backward sums under the same model."""
+    from lamina.llm import quality
+
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in Q.op9_quality_crf(spark, sf).collect()}
+    assert got == pytest.approx({i: brute.crf_score(model, d.text) for i, d in docs.items()}, abs=1e-6)
+
+
+def test_op10_predictions(spark, sf, docs):
+    want = brute.languages([(i, d.text, d.lang) for i, d in docs.items()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in Q.op10_language_rank(spark, sf).collect()}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert [got[i][1] for i in sorted(got)] == pytest.approx([want[i][1] for i in sorted(got)], abs=1e-9)
+
+
 def test_op10(spark, sf, docs):
     rows = Q.op10_language_rank(spark, sf).collect()
     assert all(0 <= r.score <= 1 and r.held_out == (brute.crc(r.doc_id) % 5 == 0) for r in rows)

@@ -93,6 +93,13 @@ def test_encoded(steps):
     before = _texts(steps[4][0])
     rows = steps[4][1].collect()
     assert {r.doc_id for r in rows} == before.keys() and all(r.n_tokens == len(r.ids) for r in rows)
+    import tiktoken
+
+    from lamina.llm import bpe, segment
+    from lamina.llm.queries import vocabulary
+
+    library = tiktoken.Encoding("own", pat_str=segment.PATTERN, mergeable_ranks=bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert all(r.ids == library.encode_ordinary(before[r.doc_id] or "") for r in rows)
 
 
 def test_run_is_the_stages(spark, sf, steps):
