@@ -74,8 +74,11 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
 
 @atexit.register
 def _clear() -> None:
-    """What no scope has cleared goes with the driver; a stopped session's stays."""
+    """What no scope has cleared goes with the driver."""
     for path, spark in list(_WRITTEN.items()):
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            continue
         try:
             if spark.sparkContext._jsc is not None:
                 drop_path(spark, path)

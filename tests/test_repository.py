@@ -318,14 +318,14 @@ def test_composite_and_null_keys(spark, tmp_path):
     assert [(r.a, r.b) for r in repo.nth(second.root, 1).collect()] == [(None, 1)]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_edits_make_the_same_version(spark, tmp_path, seed):
     """Commits of random edits against storing the whole table."""
     rng = random.Random(seed)
     repo = Repository(spark, f"file://{tmp_path}/r", SPEC, bits=2, file_bits=1)
     now = {k: "0" for k in rng.sample(range(400), 150)}
     put(repo, "main", now)
-    for turn in range(4):
+    for turn in range(3):
         edits = {}
         for k in rng.sample(range(420), rng.choice([1, 10, 150])):
             edits[k] = None if rng.random() < 0.5 else str(turn)
@@ -438,8 +438,8 @@ def test_shallow_history_travels(spark, repo, tmp_path):
 def test_long_chain(spark):
     from lamina.operators import integrity
 
-    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(90)], "parent string, child string")
-    assert integrity.reachable(edges, spark.createDataFrame([("0",)], "hash string")).count() == 91
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(66)], "parent string, child string")
+    assert integrity.reachable(edges, spark.createDataFrame([("0",)], "hash string")).count() == 67
 
 
 def test_store_in_batches(spark, tmp_path):
@@ -478,7 +478,7 @@ def test_store_in_batches(spark, tmp_path):
 
 def test_cache(spark):
     loads = []
-    cache = SnapshotCache(lambda n: loads.append(n) or spark.createDataFrame([(n,)] * 50, "x string"), 10_000_000)
+    cache = SnapshotCache(lambda n: loads.append(n) or spark.range(50).withColumn("x", F.lit(n)), 10_000_000)
     cache.get("a"), cache.get("a"), cache.get("b")
     assert loads == ["a", "b"] and (cache.hits, cache.misses) == (1, 2) and cache.bytes > 0
     cache.most = 1
