@@ -507,3 +507,18 @@ def test_observed(spark, tmp_path):
     df, seen = s.observed("reads")
     assert df.count() == 2 and seen.get["chunks"] == 2
     assert s.added(before).count() == 2
+
+
+def test_empty_versions(spark, repo, tmp_path):
+    none = table(spark, {1: "a"}).where("false")
+    a = repo.commit("main", none, None, "me", "nothing")
+    assert content(repo.branch("main")) == {} and repo.verify() == []
+    b = put(repo, "main", {1: "a", 2: "b"})
+    gone = spark.createDataFrame([(1, None, True), (2, None, True), (5, None, True)], "k long, v string, is_delete boolean")
+    c = repo.commit_edits("main", gone, b.commit_id, "me", "all gone")
+    assert c.root == a.root and content(repo.branch("main")) == {}
+    assert repo.diff(b.commit_id, c.commit_id).count() == 2
+    assert sync.pull(repo, Repository(spark, f"file://{tmp_path}/o", SPEC, bits=3), "main") == "pulled"
+    assert repo.nth(a.root, 0).count() == 0 and repo.get(a.root, 1).count() == 0
+    same = repo.commit_edits("main", gone.where("false"), c.commit_id, "me", "no edits")
+    assert same.root == c.root
