@@ -18,7 +18,7 @@ from lamina.sources.chunkstore import ChunkStore
 from lamina.sources.repository import UP_BITS, Commit, Conflict, Repository
 from lamina.sources.shared import new_path
 
-LEAF_BITS, FILE_BITS = 6, 4
+LEAF_BITS, FILE_BITS = 6, 6
 
 
 class Versions:
@@ -266,15 +266,15 @@ def repo_verify(spark, d):
     return spark.createDataFrame([(good, len(repo.verify()))], "good int, broken int")
 
 
-_CHAIN = f"{C._LOG}, c AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM log) ORDER BY day LIMIT 6), u AS (SELECT c.no, count(DISTINCT user_id) AS users FROM c JOIN log ON log.day <= c.day GROUP BY c.no)"
+_CHAIN = f"{C._LOG}, c AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM log) ORDER BY day LIMIT 4), u AS (SELECT c.no, count(DISTINCT user_id) AS users FROM c JOIN log ON log.day <= c.day GROUP BY c.no)"
 
 
 @query(f"{_CHAIN} SELECT 'day ' || min(no) AS first_bad FROM u WHERE 2 * users >= (SELECT max(users) FROM u) AND no > 0")
 def repo_bisect(spark, d):
-    """In a history of six days of puts, the first version with half of the last one's users."""
+    """In a history of four days of puts, the first version with half of the last one's users."""
     repo = Repository(spark, new_path(spark, "repo"), I.USERS, 3, 2)
     log = I.log(spark, d)
-    days = [r.day for r in log.select("day").distinct().orderBy("day").limit(6).collect()]
+    days = [r.day for r in log.select("day").distinct().orderBy("day").limit(4).collect()]
     first = None
     for i, day in enumerate(days):
         puts = log.where(F.col("day") == day).withColumn("is_delete", F.lit(False))
