@@ -84,9 +84,10 @@ def tree(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None
 PER_TASK = 100_000
 
 
-def levels_above(level: DataFrame, bits: int) -> list[DataFrame]:
-    """The written levels above a written one, up to the root."""
-    size, out = level.count(), []
+def levels_above(level: DataFrame, bits: int, size: int | None = None) -> list[DataFrame]:
+    """The written levels above a written one (of ``size`` nodes, if that is known), up to
+    the root."""
+    size, out = level.count() if size is None else size, []
     while size > 1:
         up = materialize(parent_level(level, bits, -(-size // PER_TASK)), "level")
         new = up.count()

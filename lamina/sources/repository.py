@@ -278,16 +278,15 @@ class Repository:
         text = F.array_join(F.transform("es", lambda x: F.concat_ws(":", x["address"], x["n"].cast("string"))), ";")
         return grouped.select("batch", "seg", E.address(text).alias("address"), "n", "first_key", "last_key", F.transform("es", lambda x: x["address"]).alias("children"), F.transform("es", lambda x: x["n"]).alias("child_n"))
 
-    def _publish_tree(self, segments: DataFrame, schema: T.StructType) -> str:
+    def _publish_tree(self, segments: DataFrame, schema: T.StructType, size: int) -> str:
         """Number the segments, make the levels above, and publish their root.  All of it is
-        metadata: a row for each segment and less above."""
+        metadata: a row for each of the ``size`` segments and less above."""
         keys, folder = list(self.spec.keys), f"trees/{uuid.uuid4().hex}"
         names = [f"__k{i}" for i in range(len(keys))]
         placed = segments.select("*", *(F.col(f"first_key.{k}").alias(n) for k, n in zip(keys, names)))
         kind = self._tree_type(schema)
-        ranges = -(-segments.count() // chunks.PER_TASK)
-        level = materialize(numbered(placed, names, "pos", max(1, ranges)).withColumn("level", F.lit(1)).select(*kind.names), "level")
-        above = chunks.levels_above(level, UP_BITS)
+        level = materialize(numbered(placed, names, "pos", max(1, -(-size // chunks.PER_TASK))).withColumn("level", F.lit(1)).select(*kind.names), "level")
+        above = chunks.levels_above(level, UP_BITS, size)
         whole = level
         for i, up in enumerate(above):
             full = up.select(F.lit(i + 2).alias("level"), *kind.names[1:8], F.lit(None).cast("string").alias("batch"), F.lit(None).cast("string").alias("seg"))
@@ -295,14 +294,14 @@ class Repository:
         whole.write.parquet(f"{self.path}/{folder}")
         top = (above[-1] if above else level).select("address", "n").first()
         root = top.address if top else chunks.EMPTY_ROOT
-        self._add_root(root, folder, schema, top.n if top else 0, 1 + len(above))
+        self._add_root(root, folder, schema, top.n if top else 0, 1 + len(above), size)
         for df in (level, *above):
             discard(df)
         return root
 
-    def _add_root(self, root: str, folder: str, schema: T.StructType, n: int, height: int) -> None:
+    def _add_root(self, root: str, folder: str, schema: T.StructType, n: int, height: int, segments: int) -> None:
         """The first writer of a root names its tree; later ones wrote the same."""
-        info = {"tree": folder, "schema": schema.jsonValue(), "n": n, "height": height}
+        info = {"tree": folder, "schema": schema.jsonValue(), "n": n, "height": height, "segments": segments}
         if not self.files.publish(f"roots/{root}.json", json.dumps(info)):
             self.files.delete(folder)
 
@@ -317,15 +316,17 @@ class Repository:
         if like is not None and self.schema(like) == schema:
             old = self.segments(like).select("address", F.col("batch").alias("old_batch"), F.col("seg").alias("old_seg"))
             both = materialize(made.join(old, "address", "left"), "segments")
-            for r in both.select("address", "batch", "seg", "old_batch").collect():
+            found = both.select("address", "batch", "seg", "old_batch").collect()
+            for r in found:
                 if r.old_batch is not None:
                     self.files.delete(f"data/{r.batch}/__seg={r.seg}")
                 else:
                     self.written.add(r.address)
             made = both.withColumn("batch", F.coalesce("old_batch", "batch")).withColumn("seg", F.coalesce("old_seg", "seg")).drop("old_batch", "old_seg")
         else:
-            self.written |= {r.address for r in made.select("address").collect()}
-        return self._publish_tree(made, schema)
+            found = made.select("address").collect()
+            self.written |= {r.address for r in found}
+        return self._publish_tree(made, schema, len(found))
 
     def store_edits(self, root: str, edits: DataFrame) -> str:
         """The version that compacted edits (``keys, values, is_delete``) make of another:
@@ -334,13 +335,14 @@ class Repository:
         spec, keys, schema = self.spec, list(self.spec.keys), self.schema(root)
         live = materialize(edits.select(*spec.columns, "is_delete"), "edits")
         segs = self.segments(root).select("*", *(F.col(f"last_key.{k}").alias(k) for k in keys))
-        last = segs.agg(F.max("pos")).first()[0]
-        if last is None:
+        size = self.root_of(root)["segments"]
+        if not size:
             return self.store(live.where(~F.col("is_delete")).select(*spec.columns))
+        last = size - 1
         hit = lower_bounds(segs, keys, live.select(*keys), F.col("pos"), "pos").select(F.coalesce("pos", F.lit(last)).alias("pos"))
         gone = live.where("is_delete").select(*(F.col(k).alias(f"__{k}") for k in keys))
         after = segs.join(gone, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).select((F.col("pos") + 1).alias("pos"))
-        touched = [r.pos for r in hit.unionByName(after).distinct().collect()]
+        touched = [r.pos for r in hit.unionByName(after.where(F.col("pos") <= last)).distinct().collect()]
         if not touched:
             return root
         segs = self.segments(root)
@@ -348,9 +350,10 @@ class Repository:
         old = self._rows(segs.where(inside), schema)
         rows = materialize(apply_edits(old, live, spec), "rows")
         new = materialize(self._over(self._write(rows)), "segments")
-        self.written |= {r.address for r in new.select("address").collect()}
+        found = new.select("address").collect()
+        self.written |= {r.address for r in found}
         kept = segs.where(~inside).select(*new.columns)
-        return self._publish_tree(kept.unionByName(new), schema)
+        return self._publish_tree(kept.unionByName(new), schema, size - len(touched) + len(found))
 
     # committing -------------------------------------------------------------
 

@@ -133,7 +133,7 @@ def copy_root(source: Repository, target: Repository, root: str, known: DataFram
     folder, info = f"trees/{uuid.uuid4().hex}", source.root_of(root)
     kind = target._tree_type(schema)
     low.unionByName(up).select(*kind.names).write.mode("overwrite").parquet(f"{target.path}/{folder}")
-    target._add_root(root, folder, schema, info["n"], info["height"])
+    target._add_root(root, folder, schema, info["n"], info["height"], info["segments"])
     return n
 
 
