@@ -250,7 +250,7 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     schema = T.StructType([*(joined.schema[n] for n in inner), T.StructField("__lines", T.IntegerType()), T.StructField("__cut", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts, cuts = batch.column(at).to_pylist(), batch.column(len(inner)).to_pylist()
             columns = batch.columns[: len(inner)]
             columns[at] = pa.array([cut_lines(t, c) for t, c in zip(texts, cuts)], pa.string())
