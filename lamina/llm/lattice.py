@@ -273,7 +273,7 @@ def _count(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 4 << 20):
                 own, codes, at = words_of(part.column(0))
                 kind = np.repeat(part.column(1).to_numpy().astype(np.int64) + 1, np.diff(at))
                 both, times = np.unique(kind * max(1, len(own)) + codes, return_counts=True)
@@ -442,7 +442,7 @@ def score_documents(
         key = TaskContext.get().partitionId() << 33
         place, shares, base = table.value
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 3 << 20):
                 own, doc, word, times, size = _counted(part.column(2))
                 n = len(size)
                 spot = np.fromiter(map(place.get, own.to_pylist(), repeat(-1)), np.int64, len(own))[word]
