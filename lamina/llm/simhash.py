@@ -168,10 +168,10 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     inner = [f"__c{i}" for i in range(len(names))]
     keyed = docs.toDF(*inner).select("*", order_key(inner[names.index(doc_id)]).alias("__k1"), F.xxhash64(inner[names.index(text)]).alias("__k2"))
     found = _labelled(keyed.select(F.col(inner[names.index(doc_id)]).alias("doc_id"), F.col(inner[names.index(text)]).alias("text"), "__k1", "__k2"), "doc_id", "text", width, distance, ("__k1", "__k2"))
-    best = found.groupBy("root").agg(F.min(F.struct("__k1", "__k2")).alias("best")).select("best.*")
-    twice = found.groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialize(best.join(twice, ["__k1", "__k2"]), "kept")
-    chosen = keyed.join(kept, ["__k1", "__k2"])
-    alone = chosen.where("__n = 1").select(*inner)
-    again = chosen.where("__n > 1").groupBy("__k1", "__k2").agg(F.first(F.struct(*inner)).alias("r")).select("r.*")
+    best = found.groupBy("root").agg(F.min(F.struct("__k1", "__k2")).alias("best")).select("best.*", F.lit(True).alias("__best"))
+    rows = found.groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("__n")).join(best, ["__k1", "__k2"], "left")
+    # Only rows that go, or that stand more than once, are looked up, so where these are few no text is shuffled.
+    special = materialize(rows.where("__best is null or __n > 1"), "special")
+    alone = keyed.join(special.select("__k1", "__k2"), ["__k1", "__k2"], "left_anti").select(*inner)
+    again = keyed.join(special.where("__best").select("__k1", "__k2"), ["__k1", "__k2"]).groupBy("__k1", "__k2").agg(F.first(F.struct(*inner)).alias("r")).select("r.*")
     return alone.unionByName(again).toDF(*names)
