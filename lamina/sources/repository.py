@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions import encoding as E
-from lamina.functions import fnv
 from lamina.model import TableSpec
 from lamina.operators import chunks, history, merge
 from lamina.operators.diff import as_edits, diff, invert
