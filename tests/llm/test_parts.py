@@ -9,7 +9,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from lamina.llm import bpe, components, decontaminate, hnsw, lattice, linedup, quality, segment, simhash, unigram, wavelet
 from lamina.llm.queries import vocabulary
