@@ -40,7 +40,7 @@ def closing(spec: TableSpec, bits: int) -> Column:
 def leaf_chunks(df: DataFrame, spec: TableSpec, bits: int, closes: Column | None = None) -> DataFrame:
     """``chunk, n, first_key, last_key, address``: a row for each leaf; keys are structs."""
     rows = entries(partition(df, list(spec.keys), closes if closes is not None else closing(spec, bits)), spec)
-    whole = F.array_sort(F.collect_list(F.struct(spec.key().alias("k"), F.col("entry").alias("e"))))
+    whole = F.sort_array(F.collect_list(F.struct(spec.key().alias("k"), F.col("entry").alias("e"))))
     return (
         rows.groupBy("chunk")
         .agg(F.count(F.lit(1)).alias("n"), F.min(spec.key()).alias("first_key"), F.max(spec.key()).alias("last_key"), whole.alias("es"))
@@ -55,7 +55,7 @@ def parent_level(level: DataFrame, bits: int, ranges: int | None = None) -> Data
 
 def _pack(marked: DataFrame) -> DataFrame:
     row = F.struct("pos", F.concat_ws(":", "address", F.col("n").cast("string")).alias("e"), "address", "n")
-    packed = marked.groupBy("chunk").agg(F.array_sort(F.collect_list(row)).alias("es"), F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    packed = marked.groupBy("chunk").agg(F.sort_array(F.collect_list(row)).alias("es"), F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
     return packed.select(
         F.col("chunk").alias("pos"),
         "n",

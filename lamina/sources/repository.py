@@ -245,11 +245,11 @@ class Repository:
         def closed(mask: int) -> Column:
             return F.coalesce(F.sum((F.col("__h").bitwiseAND(F.lit(mask)) == 0).cast("long")).over(before), F.lit(0))
 
-        placed = dealt.select("__b", closed(many).alias("__s"), closed(few).alias("__l"), *spec.columns)
+        key, last = spec.key(), F.lag(spec.key()).over(Window.partitionBy("__b").orderBy(*keys))
+        once = F.assert_true(~key.eqNullSafe(last), F.lit("key occurs twice"))
+        placed = dealt.select("__b", closed(many).alias("__s"), closed(few).alias("__l"), *spec.columns, once.alias("__once")).where("__once is null")
         entry = F.struct(spec.key().alias("k"), E.entry(*spec.columns).alias("e"), spec.value().alias("v") if spec.values else F.lit(None).alias("v"))
-        made = placed.groupBy("__b", "__s", "__l").agg(F.array_sort(F.collect_list(entry)).alias("x"))
-        once = F.assert_true(F.size(F.array_distinct(F.transform("x", lambda r: r["k"]))) == F.size("x"), F.lit("key occurs twice"))
-        made = made.where(once.isNull()).select(
+        made = placed.groupBy("__b", "__s", "__l").agg(F.sort_array(F.collect_list(entry)).alias("x")).select(
             F.concat_ws("-", "__b", "__s").alias("__seg"), E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("__leaf"), F.explode("x").alias("r")
         )
         flat = made.select("__seg", "__leaf", "r.k.*", *([f"r.v.{v}" for v in spec.values]))
@@ -273,7 +273,7 @@ class Repository:
     def _over(leaves: DataFrame) -> DataFrame:
         """The segments' nodes from their chunks."""
         row = F.struct("first_key", "address", "n")
-        grouped = leaves.groupBy("batch", "seg").agg(F.array_sort(F.collect_list(row)).alias("es"), F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+        grouped = leaves.groupBy("batch", "seg").agg(F.sort_array(F.collect_list(row)).alias("es"), F.sum("n").alias("n"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
         text = F.array_join(F.transform("es", lambda x: F.concat_ws(":", x["address"], x["n"].cast("string"))), ";")
         return grouped.select("batch", "seg", E.address(text).alias("address"), "n", "first_key", "last_key", F.transform("es", lambda x: x["address"]).alias("children"), F.transform("es", lambda x: x["n"]).alias("child_n"))
 
@@ -607,7 +607,7 @@ class Repository:
             fresh = {r.address for r in segs.select("address").collect()}
             rows = self._rows(segs, schema, True)
             entry = F.struct(self.spec.key().alias("k"), E.entry(*self.spec.columns).alias("e"))
-            made = rows.groupBy("__leaf").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+            made = rows.groupBy("__leaf").agg(F.sort_array(F.collect_list(entry)).alias("x"))
             made = made.select("__leaf", E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("now"))
             named = segs.select(F.explode("children").alias("__leaf")).distinct()
             bad = made.join(named.withColumn("named", F.lit(True)), "__leaf", "full_outer").where("now is null or named is null or now <> __leaf")
