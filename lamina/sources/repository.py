@@ -249,9 +249,9 @@ class Repository:
         once = F.assert_true(~key.eqNullSafe(last), F.lit("key occurs twice"))
         placed = dealt.select("__b", closed(many).alias("__s"), closed(few).alias("__l"), *spec.columns, once.alias("__once")).where("__once is null")
         entry = F.struct(spec.key().alias("k"), E.entry(*spec.columns).alias("e"), spec.value().alias("v") if spec.values else F.lit(None).alias("v"))
-        made = placed.groupBy("__b", "__s", "__l").agg(F.sort_array(F.collect_list(entry)).alias("x")).select(
-            F.concat_ws("-", "__b", "__s").alias("__seg"), E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("__leaf"), F.explode("x").alias("r")
-        )
+        made = placed.groupBy("__b", "__s", "__l").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+        made = made.select(F.concat_ws("-", "__b", "__s").alias("__seg"), E.address(F.array_join(F.transform("x", lambda r: r["e"]), "")).alias("__leaf"), "x")
+        made = made.select("__seg", "__leaf", F.explode("x").alias("r"))  # a step of its own, else each row would make its chunk's address
         flat = made.select("__seg", "__leaf", "r.k.*", *([f"r.v.{v}" for v in spec.values]))
         try:
             flat.sortWithinPartitions("__seg", *keys).write.partitionBy("__seg").parquet(f"{self.path}/data/{batch}")
