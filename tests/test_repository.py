@@ -522,3 +522,24 @@ def test_empty_versions(spark, repo, tmp_path):
     assert repo.nth(a.root, 0).count() == 0 and repo.get(a.root, 1).count() == 0
     same = repo.commit_edits("main", gone.where("false"), c.commit_id, "me", "no edits")
     assert same.root == c.root
+
+
+def test_small_segments_share_folders(spark, tmp_path):
+    """Folders grow with rows, not with segments; a folder that also holds what is stored already is written anew."""
+    repo = Repository(spark, f"file://{tmp_path}/r", SPEC, bits=2, file_bits=1)
+    base = {k: "0" for k in range(3000)}
+    a = put(repo, "main", base)
+    found = repo.segments(a.root).collect()
+    assert len(found) > 200 and len(repo.files.folders(f"data/{found[0].batch}")) <= 8
+    assert tuple(repo.get(a.root, 1500).first()) == (1500, "0") and tuple(repo.nth(a.root, 2000).first()) == (2000, "0")
+    edits = spark.createDataFrame([(k, "1", k % 2 == 0) for k in range(0, 3000, 10)], "k long, v string, is_delete boolean")
+    b = repo.commit_edits("main", edits, a.commit_id, "me", "edits")
+    now = {k: "1" if k % 10 == 0 else v for k, v in base.items() if k % 20 != 0 and (k % 10 or k % 2)}
+    assert content(repo.branch("main")) == now and content(repo.at(a.commit_id)) == base
+    c = put(repo, "main", now | {7: "7", 1507: "7"})
+    last = {r.batch for r in repo.segments(c.root).collect()} - {r.batch for r in repo.segments(b.root).collect()}
+    kept = spark.read.parquet(*(f"{repo.path}/data/{x}" for x in last))
+    assert kept.count() < 300 and content(repo.branch("main")) == now | {7: "7", 1507: "7"} and repo.verify() == []
+    other = Repository(spark, f"file://{tmp_path}/o", SPEC, bits=2, file_bits=1)
+    assert sync.pull(repo, other, "main") == "pulled" and content(other.branch("main")) == now | {7: "7", 1507: "7"}
+    assert repo.gc(last=1) == (1, 2) and content(repo.branch("main")) == now | {7: "7", 1507: "7"} and repo.verify() == []
